@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskloom.llm import chat, media, mixing, packing, sstable, token_counts
-from riskloom.llm.common import shared_path, table
+from riskloom.llm import chat, jaccard, language, media, mixing, packing, quality, search, sstable, token_counts
+from riskloom.llm.common import in_training_folds, shared_path, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -28,6 +29,20 @@ def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = language.train_on_folds(documents)
+    rows = documents.select("doc_id", (~in_training_folds(F.col("doc_id"))).alias("held_out"), "text")
+    return language.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op5_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality.fit_on_folds(documents, table(spark, sf_dir, "labels"))
+    rows = documents.select("doc_id", (~in_training_folds(F.col("doc_id"))).alias("held_out"), "text")
+    return quality.classify(rows, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_differencing_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
 
@@ -38,6 +53,14 @@ def op7_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(spark, path)
 
 
+def op8_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+def op9_rtree_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
 def op10_snapshot_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
 
@@ -47,11 +70,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_png_media": op1_png_media,
         "op2_wordpiece_counts": op2_wordpiece_counts,
         "op3_pareto_mix": op3_pareto_mix,
+        "op4_viterbi_language": op4_viterbi_language,
+        "op5_neighbour_quality": op5_neighbour_quality,
         "op6_differencing_pack": op6_differencing_pack,
         "op7_sstable_tokens": op7_sstable_tokens,
+        "op8_impact_topk": op8_impact_topk,
+        "op9_rtree_jaccard": op9_rtree_jaccard,
         "op10_snapshot_chat": op10_snapshot_chat,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_pareto_mix": mixing.ORACLE_SQL, "op10_snapshot_chat": chat.ORACLE_SQL}
+    return {"op3_pareto_mix": mixing.ORACLE_SQL, "op8_impact_topk": search.ORACLE_SQL, "op10_snapshot_chat": chat.ORACLE_SQL}
