@@ -9,8 +9,8 @@ advance together, one word at a time, in numpy.
 
 A text's language is the one with most letters in its spans (ties: by name); its score is that language's share of the
 letters, counting only letters in a script that some language uses. Null texts and texts without a letter are `und` with
-score 0. Texts whose letters are all in unlearned scripts get the first language, with score 0. An empty training set is
-an error; an empty table gives no rows; repeated rows and null identifiers stay as they are.
+score 0. Texts whose letters are all in unlearned scripts get the first language, with score 0. A model that learned from
+nothing calls every text `und`; an empty table gives no rows; repeated rows and null identifiers stay as they are.
 """
 
 from __future__ import annotations
@@ -78,7 +78,7 @@ def train(labelled: DataFrame, docs_per_language: int = 1500, max_grams: int = 3
     labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        raise ValueError("no labelled text to learn a language from")
+        return LanguageModel([], {}, np.zeros((0, 0), np.float32), {}, switch_penalty)
     rates = labelled.sparkSession.createDataFrame([(k, docs_per_language / n) for k, n in counts.items()], "lang string, rate double")
     chance = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
     sample = labelled.join(F.broadcast(rates), "lang").where(chance < F.col("rate"))  # a row per language
@@ -177,6 +177,8 @@ class Labeller:
 
     def languages(self, texts: list[str]) -> list[tuple[str, float]]:
         width, found = len(self.model.languages), [(UNDETERMINED, 0.0)] * len(texts)
+        if not width:
+            return found
         for chunk, _, lengths, labels, counts in self.label(texts):
             text_of = np.repeat(np.arange(len(chunk)), lengths)
             by = np.bincount(text_of * width + labels, counts[:, 1], len(chunk) * width).reshape(-1, width)
@@ -190,6 +192,8 @@ class Labeller:
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """(first word, one past the last, language) per text."""
         found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+        if not self.model.languages:
+            return found
         for chunk, _, lengths, labels, _ in self.label(texts):
             at = 0
             for i, n in zip(chunk, lengths):
@@ -220,14 +224,14 @@ def _map_texts(df: DataFrame, text: str, model: LanguageModel, work, new: str) -
     return df.select(*(F.col(f"`{c}`") for c in kept), F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
-def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """Adds lang_pred and score; columns of these names are replaced."""
+def identify(df: DataFrame, model: LanguageModel, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the language and its score; columns of these names are replaced."""
 
     def work(labeller, texts):
         found = labeller.languages(texts)
         return [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
 
-    return _map_texts(df, text, model, work, "lang_pred string, score double")
+    return _map_texts(df, text, model, work, f"{into[0]} string, {into[1]} double")
 
 
 def language_spans(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ Every text's vector is multiplied with all labelled vectors, in blocks; the `nei
 label, weighted by a power of the cosine.
 
 Cases: a null or empty text has no terms and gets the labelled share of label 1. Conflicting labels of one document count
-by their rounded mean; null labels are left out; without any label, fitting raises. Repeated rows, null identifiers and
+by their rounded mean; null labels are left out; a model without any label scores 0.5. Repeated rows, null identifiers and
 extra columns stay as they are; an empty table gives no rows.
 """
 
@@ -74,6 +74,8 @@ class NeighbourModel:
         return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
+        if not len(self.labels):
+            return np.full(len(counts), 0.5)
         cosines = self.embed(counts) @ self.vectors.T
         k = min(self.neighbours, len(self.labels))
         near = np.argpartition(cosines, -k, axis=1)[:, -k:]
@@ -105,7 +107,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = 6000, dimensions:
     chosen = one_each.orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id").limit(sample)
     rows = _sparse_terms(documents.select("doc_id", F.col(text).cast("binary").alias("_text")).join(F.broadcast(chosen), "doc_id").select("label", "_text")).limit(2 * sample).collect()
     if not rows:
-        raise ValueError("no labelled text to learn from")
+        return NeighbourModel(np.zeros(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), neighbours, power)
     rows.sort(key=lambda r: (r.places, r.counts, r.label))
     counts = np.zeros((len(rows), TERMS), np.float32)
     for x, r in zip(counts, rows):
@@ -124,10 +126,10 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = 6000, dimensions:
     return model
 
 
-def classify(df: DataFrame, model: NeighbourModel, text: str = "text", block: int = 512) -> DataFrame:
-    """Adds score and predicted; columns of these names are replaced."""
+def classify(df: DataFrame, model: NeighbourModel, text: str = "text", block: int = 512, into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Adds the score and the predicted label; columns of these names are replaced."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
-    kept = [c for c in df.columns if c not in ("score", "predicted")]
+    kept = [c for c in df.columns if c not in into]
 
     def work(batches):
         for batch in batches:
@@ -135,9 +137,9 @@ def classify(df: DataFrame, model: NeighbourModel, text: str = "text", block: in
             for at in range(0, batch.num_rows, block):
                 part = texts.slice(at, block).to_pylist()
                 scores[at : at + block] = shared.value.score(np.stack([term_counts(x or b"") for x in part]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=[*kept, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=[*kept, *into])
 
-    schema = df.select(*(F.col(f"`{c}`") for c in kept), F.lit(0.0).alias("score"), F.lit(0).alias("predicted")).schema
+    schema = df.select(*(F.col(f"`{c}`") for c in kept), F.lit(0.0).alias(into[0]), F.lit(0).alias(into[1])).schema
     return df.select(*(F.col(f"`{c}`") for c in kept), F.col(text).cast("binary").alias("_text")).mapInArrow(work, schema)
 
 
