@@ -49,15 +49,18 @@ def hash64(data: bytes) -> int:
 
 
 class Remembered(dict):
-    """Values of `compute(key)`, kept for the next call. Forgets all when `limit` keys are held: a cache, never a cap on results."""
+    """Values of `compute(key)`, kept for later calls. Beyond `limit` keys, those not asked for since the last time go. A cache, never a cap on results."""
 
-    def __init__(self, compute, limit: int = 400_000):
+    def __init__(self, compute, limit: int = 300_000):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.before = compute, limit, {}
 
     def __missing__(self, key):
-        value = self.compute(key)
+        value = self.before.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(self) >= self.limit:
+            self.before = dict(self)
             self.clear()
         self[key] = value
         return value
