@@ -11,7 +11,8 @@
 
 The place where taking ends is found without sorting a source: its documents fall into about sqrt(n) rank buckets, the
 buckets are added up (combined before the shuffle), and only the bucket that holds the end is sorted. What is joined back
-is one row per source, so documents are not shuffled, and a source with a third of all rows is spread like any other.
+is one row per source, sent to all tasks while their counted number is small and salted beyond, so a source with a third
+of all rows is spread like any other.
 
 Cases: null and empty texts have size 0 and taken 0; a null source is a source of its own; rows that tie in rank,
 identifier and size share what is left equally (rounded down); an empty table gives no rows; a source without words has
@@ -20,12 +21,14 @@ target 0.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import WORD, settled
 
 WEIGHTS, SHARE, LIMIT, SEED = (5, 2, 1), 1.5, 2, "mix"
+#: Up to so many sources, their table (some 100 bytes a row) is sent to all tasks; beyond, documents are joined under a salt.
+BROADCAST_SOURCES, SALTS = 50_000, 64
 
 
 def with_size(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -54,48 +57,57 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, limi
     )
 
 
-def _ranked(sizes: DataFrame, sources: DataFrame, seed: str) -> DataFrame:
+def _with_source(df: DataFrame, sources: DataFrame, n_sources: int, more: Column | None = None) -> DataFrame:
+    """df with the columns of its source; `sources` has `_source` in place of source. No source's rows go to one task."""
+    same = df["source"].eqNullSafe(sources["_source"]) if more is None else df["source"].eqNullSafe(sources["_source"]) & more
+    if n_sources <= BROADCAST_SOURCES:
+        return df.join(F.broadcast(sources), same).drop("_source")
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    spread = sources.withColumn("_salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(spread, same & (F.col("_salt") == F.col("_salt_of"))).drop("_source", "_salt", "_salt_of")
+
+
+def _ranked(sizes: DataFrame, sources: DataFrame, n_sources: int, seed: str) -> DataFrame:
     """sizes with its source's columns, rank (null where nothing is sampled) and bucket."""
-    s = sources.withColumnRenamed("source", "_source")
     u = (F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":" + seed)).cast("binary")), 1, 13), 16, 10).cast("long") + 0.5) / float(2**52)
     inclusion = F.col("open_words") / (F.col("source_size") - F.col("open_words")) * F.sqrt(F.col("source_size") / F.col("n_docs") / F.col("size"))
     return (
-        sizes.join(s, sizes["source"].eqNullSafe(s["_source"]))
-        .drop("_source")
+        _with_source(sizes, sources.withColumnRenamed("source", "_source"), n_sources)
         .withColumn("rank", F.when((F.col("size") > 0) & (F.col("open_words") > 0), u / (1 - u) / inclusion))
         .withColumn("bucket", F.floor(F.col("rank") / (F.col("rank") + 1) * F.ceil(F.sqrt("n_docs"))))
     )
 
 
-def mixing_plan(sizes: DataFrame, seed: str = SEED, **how) -> DataFrame:
-    """One row per source: its target, whole copies, and the rank, identifier and size of the document at which sampling ends, with the words taken of it."""
-    sources = (
+def mixing_plan(sizes: DataFrame, seed: str = SEED, **how) -> tuple[DataFrame, int]:
+    """The number of sources, and one row for each: its target, whole copies, and the rank, identifier and size of the document at which sampling ends, with the words taken of it."""
+    sources = settled(
         source_targets(sizes, **how)
         .withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
         .withColumn("open_words", F.round("target").cast("long") - F.col("copies") * F.col("source_size"))
     )
-    ranked = _ranked(sizes, sources, seed).where("rank IS NOT NULL")
+    n = sources.count()
+    ranked = _ranked(sizes, sources, n, seed).where("rank IS NOT NULL")
     buckets = ranked.groupBy("source", "bucket", "open_words").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     last = buckets.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).where("before < open_words AND before + words >= open_words")
     last = last.select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"), "before")
     tied = Window.partitionBy("source").orderBy("rank", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
     ends = (
-        ranked.join(last, ranked["source"].eqNullSafe(last["_source"]) & (ranked["bucket"] == last["_bucket"]))
+        _with_source(ranked, last, n, F.col("bucket") == F.col("_bucket"))
         .groupBy("source", "rank", "doc_id", "size", "before", "open_words")
         .agg(F.count("*").alias("rows"))
         .withColumn("left", F.col("open_words") - F.col("before") - F.coalesce(F.sum(F.col("size") * F.col("rows")).over(tied), F.lit(0)))
         .where("left > 0 AND left <= size * rows")
         .select(F.col("source").alias("_source"), F.struct("rank", "doc_id", "size").alias("end"), F.floor(F.col("left") / F.col("rows")).alias("end_words"))
     )
-    return sources.join(ends, sources["source"].eqNullSafe(ends["_source"]), "left").drop("_source")
+    return settled(sources.join(ends, sources["source"].eqNullSafe(ends["_source"]), "left").drop("_source")), n
 
 
-def apply_plan(sizes: DataFrame, plan: DataFrame, seed: str = SEED) -> DataFrame:
-    """sizes with source_size, target, copies and taken. The plan has one row per source: Spark sends it to all tasks if it is small."""
+def apply_plan(sizes: DataFrame, plan: tuple[DataFrame, int], seed: str = SEED) -> DataFrame:
+    """sizes with source_size, target, copies and taken."""
     place = F.struct("rank", "doc_id", "size")
     sampled = F.when(F.col("rank").isNull() | (place > F.col("end")), 0).when(place < F.col("end"), F.col("size")).otherwise(F.col("end_words"))
-    return _ranked(sizes, plan, seed).withColumn("taken", F.col("copies") * F.col("size") + F.coalesce(sampled, F.lit(0))).drop("n_docs", "open_words", "rank", "bucket", "end", "end_words")
+    return _ranked(sizes, *plan, seed).withColumn("taken", F.col("copies") * F.col("size") + F.coalesce(sampled, F.lit(0))).drop("n_docs", "open_words", "rank", "bucket", "end", "end_words")
 
 
 def mix(documents: DataFrame, text: str = "text", seed: str = SEED, **how) -> DataFrame:

@@ -65,5 +65,11 @@ def test_rows_of_the_mix(awkward, small):
         assert {k: v for k, v in got.items() if v} == {k: v for k, v in per_source.items() if v}
 
 
+def test_many_sources_are_salted(small, monkeypatch):
+    expected = sorted(map(tuple, mixing.mix(small).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(tuple, mixing.mix(small).collect())) == expected
+
+
 def test_nothing(nothing):
     assert mixing.mix(nothing).count() == 0 and mixing.mixed_documents(nothing).count() == 0
