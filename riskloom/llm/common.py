@@ -48,6 +48,13 @@ def hash64(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
+def slices(batches, rows: int = 1000):
+    """Arrow batches in parts of at most so many rows, so that a task holds few whole texts as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class Remembered(dict):
     """Values of `compute(key)`, kept for later calls. Beyond `limit` keys, those not asked for since the last time go. A cache, never a cap on results."""
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import Remembered, hash64, settled
+from riskloom.llm.common import Remembered, hash64, settled, slices
 from riskloom.llm.graph import components
 
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -204,7 +204,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
     def work(batches):
         shingler = Shingler(width)
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingler.hashes(x) for x in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array(map(set_id, found), pa.binary())], names=["doc_id", "n_shingles", "set_id"])
 
@@ -217,7 +217,7 @@ def _signatures(docs: DataFrame, width: int, similarity: Similarity) -> DataFram
     def work(batches):
         shingler, signatures = Shingler(width), Signatures(similarity)
         fresh = Remembered(lambda identity: True)
-        for batch in batches:
+        for batch in slices(batches):
             keys, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for data in batch.column("_text").to_pylist():
                 hashes = shingler.hashes(data)
@@ -235,7 +235,7 @@ def _members(docs: DataFrame, width: int, similarity: Similarity) -> DataFrame:
 
     def work(batches):
         shingler, firsts = Shingler(width), similarity.bounds()
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingler.hashes(x) for x in batch.column("_text").to_pylist()]
             own = [i for i, (x, y) in enumerate(zip(found, batch.column("_wanted").to_pylist())) if set_id(x) == y]
             sizes = np.array([len(found[i]) for i in own], np.int64)
@@ -302,6 +302,6 @@ def jaccard_components(documents: DataFrame, width: int = 5, num: int = 8, den:
     linked = components(settled(_linked(_block_pairs(members, sets_at_once, shingles_at_once), similarity)))
 
     known = sets.where("n_shingles > 0").join(linked.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    smallest = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    smallest = settled(known.groupBy("root").agg(F.min("doc_id").alias("component_id")))  # a plain table, so that a large component's side of the join can be split
     linked_docs = known.join(smallest, "root").select("doc_id", "n_shingles", "component_id")
     return linked_docs.union(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import Remembered, in_training_folds
+from riskloom.llm.common import Remembered, in_training_folds, slices
 
 UNDETERMINED = "und"
 
@@ -139,7 +139,7 @@ def best_paths(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.nd
 class Labeller:
     """Words of texts to scores and labels; remembers words."""
 
-    def __init__(self, model: LanguageModel, words_at_once: int = 500_000):
+    def __init__(self, model: LanguageModel, words_at_once: int = 200_000):
         self.model = model
         self.most = max(20_000, words_at_once * 4 // max(4, len(model.languages)))
         self._forget()
@@ -159,27 +159,27 @@ class Labeller:
         return self.used - 1
 
     def label(self, texts: list[str]):
-        """For each text (words of it, labels, letters and known letters of the words), longest texts together."""
-        words = {i: texts[i].lower().split() for i in range(len(texts))}
-        order = sorted(words, key=lambda i: -len(words[i]))
+        """For chunks of texts, longest texts together: their positions, numbers of words, and per word label, letters and known letters."""
+        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         while order:
-            n = k = 0
-            while k < len(order) and (k == 0 or n + len(words[order[k]]) <= self.most):
-                n += len(words[order[k]])
-                k += 1
-            chunk, order = order[:k], order[k:]
+            at: list[int] = []
+            lengths, k = [], 0
             if self.used > 400_000:
                 self._forget()
-            at = np.fromiter((p for i in chunk for p in map(self.places.__getitem__, words[i])), np.int64, n)
-            lengths = np.array([len(words[i]) for i in chunk])
-            labels = best_paths(self.table[at], lengths, self.model.switch_penalty)
-            yield chunk, words, lengths, labels, self.counts[at]
+            while k < len(order) and len(at) < self.most:
+                before = len(at)
+                at += map(self.places.__getitem__, texts[order[k]].lower().split())
+                lengths.append(len(at) - before)
+                k += 1
+            chunk, order = order[:k], order[k:]
+            places, sizes = np.array(at, np.int64), np.array(lengths)
+            yield chunk, sizes, best_paths(self.table[places], sizes, self.model.switch_penalty), self.counts[places]
 
     def languages(self, texts: list[str]) -> list[tuple[str, float]]:
         width, found = len(self.model.languages), [(UNDETERMINED, 0.0)] * len(texts)
         if not width:
             return found
-        for chunk, _, lengths, labels, counts in self.label(texts):
+        for chunk, lengths, labels, counts in self.label(texts):
             text_of = np.repeat(np.arange(len(chunk)), lengths)
             by = np.bincount(text_of * width + labels, counts[:, 1], len(chunk) * width).reshape(-1, width)
             letters = np.bincount(text_of, counts[:, 0], len(chunk))
@@ -194,7 +194,7 @@ class Labeller:
         found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
         if not self.model.languages:
             return found
-        for chunk, _, lengths, labels, _ in self.label(texts):
+        for chunk, lengths, labels, _ in self.label(texts):
             at = 0
             for i, n in zip(chunk, lengths):
                 own = labels[at : at + n]
@@ -212,7 +212,7 @@ def _map_texts(df: DataFrame, text: str, model: LanguageModel, work, new: str) -
 
     def run(batches):
         labeller = Labeller(shared.value)
-        for batch in batches:
+        for batch in slices(batches, 5000):
             texts = [x or "" for x in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *work(labeller, texts)], names=[*kept, *added])
 

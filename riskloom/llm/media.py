@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import slices
+
 #: Fixed values of the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
@@ -160,7 +162,7 @@ def store_png(df: DataFrame, payload: str = "payload", media: str = "media") ->
     """Adds the column `media`: the binary column `payload` as an image; the payload's own length goes to `n_bytes`."""
 
     def work(batches):
-        for batch in batches:
+        for batch in slices(batches):
             payloads = batch.column(payload).to_pylist()
             images = [encode_png(padded(x or b"")) for x in payloads]
             kept = [batch.column(i) for i, x in enumerate(batch.schema.names) if x != payload]
@@ -183,7 +185,7 @@ def read_png(df: DataFrame, media: str = "media") -> DataFrame:
     fields = [x.split(" ") for x in new.split(", ")]
 
     def work(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = list(zip(*map(describe, batch.column(media).to_pylist()))) or [[]] * len(fields)
             kept = [batch.column(i) for i, x in enumerate(batch.schema.names) if x != media]
             arrays = [pa.array(x, pa.int64() if kind == "long" else pa.string()) for x, (_, kind) in zip(found, fields)]

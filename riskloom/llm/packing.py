@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import slices
 from riskloom.llm.tokenizing import ID_TYPE, word_encoder
 
 CAPACITY = 2048
@@ -115,7 +116,7 @@ def pack(
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
         rows = []
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("_text").to_pylist()):
                 rows += packer.add(doc_id, np.concatenate([encoder.encode(data or b""), end]))
                 if len(rows) >= 2000:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import in_training_folds
+from riskloom.llm.common import in_training_folds, slices
 
 CLASSES = 64
 EXTRA = 2
@@ -90,7 +90,7 @@ def _sparse_terms(df: DataFrame) -> DataFrame:
     """label and a text's terms as (places, counts) in bytes."""
 
     def work(batches):
-        for batch in batches:
+        for batch in slices(batches):
             counts = [term_counts(x or b"") for x in batch.column("_text").to_pylist()]
             places = [np.flatnonzero(x) for x in counts]
             yield pa.RecordBatch.from_arrays(
@@ -132,7 +132,7 @@ def classify(df: DataFrame, model: NeighbourModel, text: str = "text", block: in
     kept = [c for c in df.columns if c not in into]
 
     def work(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts, scores = batch.column("_text"), np.zeros(batch.num_rows)
             for at in range(0, batch.num_rows, block):
                 part = texts.slice(at, block).to_pylist()

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import hash64
+from riskloom.llm.common import hash64, slices
 from riskloom.llm.tokenizing import ID_TYPE, word_encoder
 
 MAGIC = b"SSTTOK1"
@@ -157,7 +157,7 @@ def write_shards(df: DataFrame, path: str, tokenizer_file: str, end_id: int, tex
     def work(batches):
         encoder, end = word_encoder(tokenizer_file), np.array([end_id], ID_TYPE)
         writer = ShardWriter(TaskContext.get().partitionId(), id_bytes, block_bytes)
-        for batch in batches:
+        for batch in slices(batches):
             parts: list[bytes] = []
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("_text").to_pylist()):
                 parts += writer.add(doc_id, np.concatenate([encoder.encode(data or b""), end]))

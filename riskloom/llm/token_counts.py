@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import Remembered
+from riskloom.llm.common import Remembered, slices
 
 MARK = "▁"
 
@@ -96,7 +96,7 @@ def count_tokens(df: DataFrame, model_file: str, text: str = "text") -> DataFram
     def work(batches):
         automaton = LongestMatch(load_pieces(model_file))
         counts = Remembered(automaton.count)
-        for batch in batches:
+        for batch in slices(batches):
             words, tokens, unknown = [], [], []
             for data in batch.column("_text").to_pylist():
                 each = list(map(counts.__getitem__, (data or b"").split()))
