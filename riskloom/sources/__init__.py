@@ -1 +1 @@
-
+"""Readers, catalogs and settings."""

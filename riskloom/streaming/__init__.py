@@ -1 +1 @@
-
+"""Scoring of streams."""
