@@ -108,17 +108,17 @@ def row_order_chunks(df: DataFrame, row_id: str, label: str, watched: str, size:
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     """Rows beyond the first of their key; null keys are equal to each other."""
-    return df.groupBy(key).agg(F.count("*").alias("k")).agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.count("*").alias("n_keys")).withColumn("n_duplicates", F.col("n") - F.col("n_keys"))
+    return df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_rows")).agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("n"), F.count("*").alias("n_keys")).withColumn("n_duplicates", F.col("n") - F.col("n_keys"))
 
 
 def full_row_duplicates(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.groupBy(*columns).agg((F.count("*") - 1).alias("k")).agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n_duplicates"))
+    return df.groupBy(*columns).agg((F.count("*") - 1).alias("_more")).agg(F.coalesce(F.sum("_more"), F.lit(0)).alias("n_duplicates"))
 
 
 def label_conflicts(df: DataFrame, key: str, label: str) -> DataFrame:
     """Keys that occur more than once, and those of them with more than one label."""
-    t = df.groupBy(key).agg(F.count("*").alias("k"), (F.min(label) != F.max(label)).alias("conflict")).where("k > 1")
-    return t.agg(F.count("*").alias("n_repeated_keys"), F.count_if("conflict").alias("n_conflicts"))
+    t = df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_rows"), (F.min(label) != F.max(label)).alias("_conflict")).where("_rows > 1")
+    return t.agg(F.count("*").alias("n_repeated_keys"), F.count_if("_conflict").alias("n_conflicts"))
 
 
 def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
