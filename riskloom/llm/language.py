@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import Remembered, in_training_folds, slices
+from riskloom.llm.common import Remembered, in_training_folds
 
 UNDETERMINED = "und"
 
@@ -117,7 +117,7 @@ def best_paths(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.nd
     n_labels = scores.shape[1]
     order = np.argsort(-lengths, kind="stable")
     sizes, starts = lengths[order], (np.cumsum(lengths) - lengths)[order]
-    back = np.empty((len(scores), n_labels), np.int32)
+    back = np.empty((len(scores), n_labels), np.int8 if n_labels <= 127 else np.int32)
     value, own = np.zeros((len(sizes), n_labels), np.float32), np.arange(n_labels)
     active = np.searchsorted(-sizes, -np.arange(sizes[0] if len(sizes) else 0), "left")  # texts longer than t
     for t, n in enumerate(active):
@@ -139,7 +139,7 @@ def best_paths(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.nd
 class Labeller:
     """Words of texts to scores and labels; remembers words."""
 
-    def __init__(self, model: LanguageModel, words_at_once: int = 200_000):
+    def __init__(self, model: LanguageModel, words_at_once: int = 1_000_000):
         self.model = model
         self.most = max(20_000, words_at_once * 4 // max(4, len(model.languages)))
         self._forget()
@@ -204,6 +204,16 @@ class Labeller:
         return found
 
 
+_LABELLERS: list[Labeller] = []
+
+
+def _worker_labeller(model: LanguageModel) -> Labeller:
+    """The worker's labeller for the model of the last task: it remembers words from task to task."""
+    if not _LABELLERS or _LABELLERS[0].model is not model:
+        _LABELLERS[:] = [Labeller(model)]
+    return _LABELLERS[0]
+
+
 def _map_texts(df: DataFrame, text: str, model: LanguageModel, work, new: str) -> DataFrame:
     """Keeps all columns of df and adds those that work(labeller, texts) gives as Arrow arrays."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by max_grams
@@ -211,8 +221,8 @@ def _map_texts(df: DataFrame, text: str, model: LanguageModel, work, new: str) -
     kept = [c for c in df.columns if c not in added]
 
     def run(batches):
-        labeller = Labeller(shared.value)
-        for batch in slices(batches, 5000):
+        labeller = _worker_labeller(shared.value)
+        for batch in batches:  # whole batches: texts advance together
             texts = [x or "" for x in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *work(labeller, texts)], names=[*kept, *added])
 

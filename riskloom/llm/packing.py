@@ -1,7 +1,7 @@
 """Packing token ids into sequences by Karmarkar-Karp multiway differencing.
 
 Each input partition is read as a stream. A document's full sequences of `capacity` ids stand alone. Its remainder is cut
-into pieces of at most `piece` ids, which gather in a pool of at most `windows` sequences' ids; a piece that crosses the
+into even pieces of at most `piece` ids, which gather in a pool of at most `windows` sequences' ids; a piece that crosses the
 pool's limit is cut there. A full pool is dealt by differencing: partial partitions are merged, the fullest window of one
 onto the emptiest of another, the two of largest spread first. If a window exceeds the capacity, the deal is made again
 with one window more. A pool's limit leaves a small share of `slack`, so one window more is seldom needed. Memory is one
@@ -30,24 +30,41 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def difference(sizes: list[int], windows: int) -> list[list[int]]:
-    """Positions of `sizes` dealt to `windows` windows of near-equal sums."""
+    """Positions of `sizes` dealt to `windows` windows of near-equal sums.
+
+    A partial partition is its sums, falling, and the bag of each window. A bag is a position, or a pair of bags once two met.
+    """
     if not sizes:
         return [[] for _ in range(windows)]
     heap = []
     for i, size in enumerate(sizes):
-        sums = np.zeros(windows, np.int64)
-        sums[0] = size
-        heap.append((-size, i, sums, [[i], *([] for _ in range(windows - 1))]))
+        sums, bags = np.zeros(windows, np.int64), np.full(windows, -1)
+        sums[0], bags[0] = size, i
+        heap.append((-size, i, sums, bags))
     heapq.heapify(heap)
+    pairs: list[tuple[int, int]] = [(-1, -1)] * len(sizes)
     while len(heap) > 1:
-        _, i, sums, members = heapq.heappop(heap)
+        _, i, sums, bags = heapq.heappop(heap)
         _, j, others, more = heapq.heappop(heap)
-        merged = sums + others[::-1]  # sums fall, so the fullest meets the emptiest
-        members = [a + b if b else a for a, b in zip(members, reversed(more))]
+        merged, more = sums + others[::-1], more[::-1]  # the fullest meets the emptiest
+        both = np.flatnonzero((bags >= 0) & (more >= 0))
+        bags_now = np.maximum(bags, more)
+        bags_now[both] = np.arange(len(pairs), len(pairs) + len(both))
+        pairs += zip(bags[both].tolist(), more[both].tolist())
         order = np.argsort(-merged, kind="stable")
         merged = merged[order]
-        heapq.heappush(heap, (int(merged[-1] - merged[0]), min(i, j), merged, [members[k] for k in order]))
-    return heap[0][3]
+        heapq.heappush(heap, (int(merged[-1] - merged[0]), min(i, j), merged, bags_now[order]))
+    dealt = []
+    for top in heap[0][3].tolist():
+        members, open_ = [], [top] if top >= 0 else []
+        while open_:
+            bag = open_.pop()
+            if bag < len(sizes):
+                members.append(bag)
+            else:
+                open_ += pairs[bag]
+        dealt.append(members)
+    return dealt
 
 
 def deal(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -79,8 +96,10 @@ class Packer:
             yield self._row(doc_id, ids, start, self.capacity, 0)
             self.sequence += 1
             start += self.capacity
+        cuts = max(1, -(-(len(ids) - start) // self.piece))
+        even = -(-(len(ids) - start) // cuts)  # pieces of many sizes balance better than many of one size
         while start < len(ids):
-            length = min(self.piece, len(ids) - start, self.limit - self.held)
+            length = min(even, len(ids) - start, self.limit - self.held)
             self.pool.append((doc_id, ids, start, length))
             self.held += length
             start += length
@@ -99,7 +118,7 @@ class Packer:
 
 
 def pack(
-    df: DataFrame, tokenizer_file: str, end_id: int, text: str = "text", capacity: int = CAPACITY, piece: int = 384, windows: int = 48, slack: float = 0.002, with_ids: bool = False
+    df: DataFrame, tokenizer_file: str, end_id: int, text: str = "text", capacity: int = CAPACITY, piece: int = 384, windows: int = 128, slack: float = 0.002, with_ids: bool = False
 ) -> DataFrame:
     """Rows of SCHEMA, one per piece; with_ids adds `ids array<int>`. The tokenizer's file must lie at the same path on every worker."""
 
