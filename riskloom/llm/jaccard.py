@@ -5,8 +5,11 @@ A text's set holds its shingles of `width` words. Sets that are equal are one se
 1. Blocking, without loss. A set of n shingles is hashed to groups. If two sets reach the similarity num/den, at most
    (den-num)/num of the smaller set's size differ; each difference touches one group; so of sufficiently many groups one
    is left untouched, equal in both. Each set emits the contents' hash of just so many groups, per size class; sets that
-   share one form a family. Empty groups say nothing and are not emitted; `spare` more groups make up for them, and a set
-   with more empty groups than that emits each shingle as well (two such sets of that similarity share one).
+   share one form a family. The most frequent shingles (at most `common_kept`, counted over all texts) are left out of the
+   groups of every set, which adds no difference, so that a common passage makes no family. Empty groups say nothing and
+   are not emitted; `spare` more groups make up for them. If that can fail for two similar sets, both have more empty
+   groups than that; such a set also emits its prefix: its first shingles in a fixed order, frequent ones last, as many as
+   two similar sets need to share one. What is counted as frequent changes the work, never the result.
 2. In a family (a connected component over shared groups), sets fall into blocks of bounded size by size band and hash;
    each pair of blocks of equal or adjacent bands is one task, so a family with a third of all sets is spread.
 3. In a task, the sets' group counts are points in an R-tree. Summed minima of a set's counts and a node's upper corner,
@@ -75,21 +78,22 @@ def node_of(identity: bytes) -> int:
 
 @dataclass(frozen=True)
 class Similarity:
-    """Jaccard similarity of at least num/den, by size classes of ratio den/num."""
+    """Jaccard similarity of at least num/den (one half or more), by size classes of ratio 2."""
 
     num: int
     den: int
 
     def bounds(self) -> np.ndarray:
-        firsts = [1]
-        while firsts[-1] < 2**40:
-            firsts.append(firsts[-1] * self.den // self.num + 1)
-        return np.array(firsts)
+        return 2 ** np.arange(41)
 
     def differences(self, n: int) -> int:
         """At most so many shingles are in one only of two similar sets, the smaller of n."""
         return (self.den - self.num) * n // self.num
 
+    def prefix(self, n: int) -> int:
+        """Of the first so many shingles in any fixed order, two similar sets share one."""
+        return n - -(-self.num * n // self.den) + 1
+
     def overlap(self, a: int, b):
         """The overlap that sizes a and b need."""
         return -(-self.num * (a + b) // (self.num + self.den))
@@ -112,33 +116,41 @@ class Signatures:
         """Number of groups and spare groups of a size class."""
         if c not in self.plans:
             most = self.similarity.differences(int(self.firsts[c + 1]) - 1)
-            least = max(1, int(self.firsts[c]) * self.similarity.num // self.similarity.den)
-            spare = 1
-            for _ in range(8):
-                empty = (most + 1 + spare) * np.exp(-least / (most + 1 + spare))
-                spare = 1 + int(np.ceil(empty + 4 * np.sqrt(empty)))
+            usual, spare = 0.7 * float(self.firsts[c + 1]), 1
+            for _ in range(3):
+                empty = (most + 1 + spare) * np.exp(-usual / (most + 1 + spare))
+                spare = 1 + int(np.ceil(empty + 2 * np.sqrt(empty)))
             self.plans[c] = most + 1 + spare, spare
         return self.plans[c]
 
-    def keys(self, hashes: np.ndarray) -> np.ndarray:
-        n, found = len(hashes), []
+    def keys(self, hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+        """hashes: sorted; frequent: which of them the groups leave out."""
+        n, found, enough = len(hashes), [], True
         if self.similarity.differences(n) == 0:
             return np.zeros(0, np.uint64)  # only equal to what is similar
+        rest = hashes[~frequent]
         for c in self.classes(n):
             groups, spare = self.plan(c)
             emitted = min(groups, self.similarity.differences(n) + 1 + spare)
-            group = ((hashes >> np.uint64(33)) * np.uint64(groups)) >> np.uint64(31)  # rises with the sorted hashes
-            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            contents = np.add.reduceat(_mix(hashes), starts)
+            group = ((rest >> np.uint64(33)) * np.uint64(groups)) >> np.uint64(31)  # rises with the sorted hashes
+            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]][: len(rest)])
+            contents = np.add.reduceat(_mix(rest), starts) if len(rest) else rest
             group = group[starts]
             own = group < emitted
-            salt = np.uint64(c + 1) * np.uint64(1 << 40)
-            found.append(_mix(_mix(contents[own]) + salt + group[own]))
-            if emitted - int(own.sum()) > spare:
-                found.append(_mix(_mix(hashes) + salt + np.uint64(1 << 39)))
+            found.append(_mix(_mix(contents[own]) + np.uint64(c + 1) * np.uint64(1 << 40) + group[own]))
+            enough &= emitted - int(own.sum()) <= spare
+        if not enough:
+            found.append(_mix(np.concatenate([rest, hashes[frequent]])[: self.similarity.prefix(n)] + np.uint64(1)))
         return np.concatenate(found)
 
 
+def is_frequent(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Which hashes are in the sorted array `frequent`."""
+    if not len(frequent):
+        return np.zeros(len(hashes), bool)
+    return frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes
+
+
 class RTree:
     """Points (counts per group) packed into leaves and nodes by size, each with its upper corner and sizes."""
 
@@ -199,20 +211,57 @@ def links(similarity: Similarity, left: list[np.ndarray], right: list[np.ndarray
     return found
 
 
+class Repeats:
+    """Counts shingles over the sets of a task, a bounded number at a time; gives those that occur in more than one."""
+
+    def __init__(self, at_once: int = 2_000_000):
+        self.at_once, self.held, self.parts = at_once, 0, []
+
+    def add(self, hashes: np.ndarray) -> bool:
+        self.parts.append(hashes)
+        self.held += len(hashes)
+        return self.held >= self.at_once
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        values, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.parts]), return_counts=True)
+        self.held, self.parts = 0, []
+        return values[times > 1], times[times > 1]
+
+
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set_id of every row."""
+    """Two kinds of rows: doc_id, n_shingles, set_id of every row; and shingle, times of shingles that are repeated in a task (set_id null)."""
+
+    def counted(repeats):
+        values, times = repeats.take()
+        nulls = pa.nulls(len(values))
+        return pa.RecordBatch.from_arrays([nulls.cast(pa.int64()), nulls.cast(pa.int64()), nulls.cast(pa.binary()), pa.array(values.view(np.int64)), pa.array(times.astype(np.int64))], names=names)
 
     def work(batches):
-        shingler = Shingler(width)
+        shingler, repeats, fresh = Shingler(width), Repeats(), Remembered(lambda identity: True)
         for batch in slices(batches):
             found = [shingler.hashes(x) for x in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array(map(set_id, found), pa.binary())], names=["doc_id", "n_shingles", "set_id"])
+            identities = [set_id(x) for x in found]
+            nulls = pa.nulls(len(found), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array(identities, pa.binary()), nulls, nulls], names=names)
+            for identity, hashes in zip(identities, found):
+                if identity not in fresh and fresh[identity] and repeats.add(hashes):
+                    yield counted(repeats)
+        yield counted(repeats)
+
+    names = ["doc_id", "n_shingles", "set_id", "shingle", "times"]
+    return docs.mapInArrow(work, "doc_id long, n_shingles long, set_id binary, shingle long, times long")
+
 
-    return docs.mapInArrow(work, "doc_id long, n_shingles long, set_id binary")
+def _frequent(sets: DataFrame, least: int, kept: int) -> np.ndarray:
+    """The most frequent shingles, sorted: at most `kept`, 8 bytes each."""
+    counts = sets.where("set_id IS NULL").groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") >= least)
+    table = counts.orderBy(F.desc("times"), "shingle").limit(kept).select("shingle").toArrow()
+    return np.sort(table.column("shingle").to_numpy().astype(np.int64).view(np.uint64))
 
 
-def _signatures(docs: DataFrame, width: int, similarity: Similarity) -> DataFrame:
+def _signatures(docs: DataFrame, width: int, similarity: Similarity, frequent: np.ndarray) -> DataFrame:
     """key, node (half of the set's identity): equal keys may mean similar sets. A task skips sets it has met."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # bounded by common_kept
 
     def work(batches):
         shingler, signatures = Shingler(width), Signatures(similarity)
@@ -223,7 +272,7 @@ def _signatures(docs: DataFrame, width: int, similarity: Similarity) -> DataFram
                 hashes = shingler.hashes(data)
                 identity = set_id(hashes)
                 if len(hashes) and identity not in fresh and fresh[identity]:
-                    keys.append(signatures.keys(hashes))
+                    keys.append(signatures.keys(hashes, is_frequent(hashes, shared.value)))
                     nodes.append(np.full(len(keys[-1]), node_of(identity)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["key", "node"])
 
@@ -285,12 +334,14 @@ def _linked(pairs: DataFrame, similarity: Similarity) -> DataFrame:
     return pairs.groupBy("family", "low_band", "low", "high_band", "high").applyInArrow(work, "u binary, v binary")
 
 
-def jaccard_components(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10, text: str = "text", sets_at_once: int = 512, shingles_at_once: int = 1_000_000) -> DataFrame:
+def jaccard_components(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10, text: str = "text", sets_at_once: int = 512, shingles_at_once: int = 1_000_000, common_least: int = 8, common_kept: int = 500_000) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; links are similarities of num/den or more."""
     similarity = Similarity(num, den)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("_text"))
-    sets = settled(_sets(docs, width))
-    shared = _signatures(docs, width, similarity).withColumn("center", F.min("node").over(Window.partitionBy("key")))
+    rows = settled(_sets(docs, width))
+    frequent = _frequent(rows, common_least, common_kept)
+    sets = rows.where("set_id IS NOT NULL").select("doc_id", "n_shingles", "set_id")
+    shared = _signatures(docs, width, similarity, frequent).withColumn("center", F.min("node").over(Window.partitionBy("key")))
     families = settled(components(shared.where("node != center").select(F.col("node").alias("u"), F.col("center").alias("v"))).withColumnRenamed("root", "family"))
 
     # one document for each set of a family; a null identifier only stands for itself

@@ -19,6 +19,7 @@ from riskloom.operators import explain, folds, metrics, models, prepare, profile
 from riskloom.plans.fixtures import ADDRESS_CATALOG as CATALOG
 from riskloom.plans.fixtures import ADDRESS_SQL, DOCS_SQL, LINE_FEATURES, LINES_SQL, RISK, RISK_INTERCEPT, address_profile, labeled_docs, line_flags, scored_lines, table
 from riskloom.plans.woe_sql import BAND, categorical, numeric
+from riskloom.session import scratch_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -555,6 +556,44 @@ def shell_row_attribution(spark, sf_dir):
     return t.withColumn("mean_all", F.abs(F.round("mean_all", 6)))
 
 
+@query(f"""WITH {_PHI} SELECT round(max(b.base), 6) AS base, round(sum(phi), 6) AS total, round(max(b.base) + sum(phi), 6) AS margin, round(1 / (1 + exp(-(max(b.base) + sum(phi)))), 6) AS p
+FROM phi, (SELECT avg({RISK_SQL}) AS base FROM risk) b WHERE row_id = 7""")
+def local_summary(spark, sf_dir):
+    df = risk_scores(spark, sf_dir)
+    return explain.local_summary(explain.linear_shap(df, "row_id", RISK), explain.linear_base(df, RISK, RISK_INTERCEPT), "row_id", 7)
+
+
+@query(f"""WITH {RISK_CTE}, r AS (SELECT flag, row_id FROM (SELECT *, row_number() OVER (PARTITION BY flag ORDER BY CASE WHEN flag = 1 THEN -p ELSE p END, row_id) AS place FROM risk) WHERE place = 1) """ + " UNION ALL ".join(f"SELECT r.flag AS label, '{f}' AS feature, round(CAST(x.{f} AS DOUBLE), 6) AS value, round((SELECT quantile_cont(CAST(y.{f} AS DOUBLE), 0.5) FROM risk y WHERE y.flag = r.flag), 6) AS median FROM r JOIN risk x USING (row_id)" for f in RISK))
+def representative_vs_medians(spark, sf_dir):
+    df = risk_scores(spark, sf_dir)
+    chosen = explain.representative_rows(df, "row_id", "p", "flag").select("row_id")
+    values = profile.long_numeric(df.join(F.broadcast(chosen), "row_id"), list(RISK), ["flag"]).select(F.col("flag").alias("label"), "feature", F.col("v").alias("value"))  # a row per class
+    medians = profile.group_medians(df, F.col("flag"), list(RISK)).withColumn("label", F.col("group").cast("int")).drop("group")
+    return values.join(medians, ["label", "feature"])
+
+
+@query(f"WITH {LINES_SQL} SELECT round(avg(p), 6) AS mean_p, round(avg(y), 6) AS base_rate, round(quantile_cont(p, 0.05), 6) AS p5, round(quantile_cont(p, 0.5), 6) AS p50, round(quantile_cont(p, 0.95), 6) AS p95 FROM lines")
+def score_summary(spark, sf_dir):
+    df = scored_lines(spark, sf_dir)
+    q = exact_quantiles(df.select(F.lit(0).alias("g"), "p"), ["g"], "p", [0.05, 0.5, 0.95]).select(*(F.col("quantiles")[i].alias(n) for i, n in enumerate(["p5", "p50", "p95"])))
+    return df.agg(F.avg("p").alias("mean_p"), F.avg("y").alias("base_rate")).crossJoin(q)  # single rows
+
+
+@query(f"WITH {_SWEEP} SELECT round(min(alert_rate), 6) AS least_alert_rate FROM sweep")
+def least_alert_rate(spark, sf_dir):
+    return _sweep(spark, sf_dir).agg(F.min("alert_rate").alias("least_alert_rate"))
+
+
+# ---- data of figures
+
+
+@query(f"WITH {LINES_SQL} " + " UNION ALL ".join(f"SELECT y, '{f}' AS feature, round(quantile_cont(ln(1 + greatest({f}, 0)), 0.25), 6) AS q25, round(quantile_cont(ln(1 + greatest({f}, 0)), 0.5), 6) AS q50, round(quantile_cont(ln(1 + greatest({f}, 0)), 0.75), 6) AS q75 FROM lines GROUP BY y" for f in LINE_FEATURES))
+def box_plot_quartiles(spark, sf_dir):
+    long = profile.long_numeric(line_flags(spark, sf_dir), LINE_FEATURES, ["y"]).withColumn("v", scalars.log1p_clipped(F.col("v")))
+    q = exact_quantiles(long, ["y", "feature"], "v", [0.25, 0.5, 0.75])
+    return q.select("y", "feature", *(F.col("quantiles")[i].alias(n) for i, n in enumerate(["q25", "q50", "q75"])))
+
+
 # ---- models (no SQL)
 
 MODEL_FEATURES = ["n_words", "n_lines", "n_chars", "digit_share"]
@@ -577,3 +616,12 @@ def oof_scores(spark, sf_dir):
 @query()
 def permutation_control(spark, sf_dir):
     return models.permutation_control(_model_rows(spark, sf_dir), models.LOGISTIC, MODEL_FEATURES, "doc_id", "junk", k=3)
+
+
+@query()
+def tree_shap_global(spark, sf_dir):
+    """Boosted trees on labelled documents, explained row by row, then by feature."""
+    df = _model_rows(spark, sf_dir)
+    scorer = models.fit(df, models.BOOSTING, MODEL_FEATURES, "junk", trees=5)
+    trees = explain.trees_of(spark, scorer.model, scratch_path(spark, "trees"))
+    return explain.global_importance(explain.tree_shap(df, "doc_id", MODEL_FEATURES, trees))

@@ -1,5 +1,8 @@
 """Session defaults for local work and tests; a cluster brings its own."""
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -15,3 +18,9 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that the cluster shares (spark.checkpoint.dir); a local temporary one only where none is named."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="riskloom-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

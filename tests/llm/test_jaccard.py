@@ -87,7 +87,19 @@ def test_similar_sets_share_a_signature():
                 b = np.unique(np.r_[a[rng.permutation(len(a))[cut:]], rng.integers(0, 2**63, rng.integers(0, 2 + n // 20)).astype(np.uint64) * np.uint64(2)])
                 overlap = len(np.intersect1d(a, b))
                 if similarity.similar(overlap, len(a), len(b)) and overlap < max(len(a), len(b)):
-                    assert np.intersect1d(signatures.keys(a), signatures.keys(b)).size, (num, n)
+                    for share in (0, 0.1, 0.5, 0.95, 1):
+                        common = np.sort(rng.permutation(a)[: int(share * len(a))])
+                        keys = [signatures.keys(x, jaccard.is_frequent(x, common)) for x in (a, b)]
+                        assert np.intersect1d(*keys).size, (num, n, share)
+
+
+def test_frequent_shingles_change_no_result(spark, copies):
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = copies + [(10_000 + i, f"{text} {passage}") for i, text in copies[::3]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    expected = brute(rows, 3, 80, 100)
+    for least, kept in ((2, 10**6), (3, 50), (10**9, 1)):
+        assert found(df, 3, 80, 100, common_least=least, common_kept=kept) == expected
 
 
 def test_tree_keeps_every_similar_set():

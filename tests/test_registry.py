@@ -15,4 +15,5 @@ def test_query_equals_sql(spark, name):
 
 def test_queries_without_sql(spark):
     rest = set(registry.queries()) - set(registry.oracle_sql())
-    assert rest == {"permuted_labels", "cv_model_comparison", "oof_scores", "permutation_control"}
+    assert rest == {"permuted_labels", "cv_model_comparison", "oof_scores", "permutation_control", "tree_shap_global"}
+    assert registry.queries()["tree_shap_global"](spark, SMALL).count() == 4
