@@ -279,14 +279,27 @@ def _signatures(docs: DataFrame, width: int, similarity: Similarity, frequent: n
     return docs.mapInArrow(work, "key long, node long")
 
 
+def _maybe_among(docs: DataFrame, chosen: DataFrame, bits: int = 1 << 25) -> DataFrame:
+    """docs without most rows whose `_k` is not among chosen's, so that their texts are not shuffled: a filter of one hash and `bits` bits, whatever the corpus."""
+    place = (F.pmod(F.xxhash64("_k"), F.lit(bits)) + 1).alias("_place")
+    maps = chosen.select(place).groupBy(F.bitmap_bucket_number("_place").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_map"))
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_map", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    kept = docs.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(maps), "_bucket")  # bits / 8 bytes at most
+    return kept.where(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1).drop("_bucket", "_map")
+
+
 def _members(docs: DataFrame, width: int, similarity: Similarity) -> DataFrame:
-    """docs: _wanted (set_id), family, _text. Gives set_id, family, band, n, hashes of the texts that have the wanted set."""
+    """docs: _wanted (set_id), family, _text. Gives set_id, family, band, n, hashes of the texts that have the wanted set, mostly once for each set."""
 
     def work(batches):
-        shingler, firsts = Shingler(width), similarity.bounds()
+        shingler, firsts, fresh = Shingler(width), similarity.bounds(), Remembered(lambda identity: True)
         for batch in slices(batches):
             found = [shingler.hashes(x) for x in batch.column("_text").to_pylist()]
-            own = [i for i, (x, y) in enumerate(zip(found, batch.column("_wanted").to_pylist())) if set_id(x) == y]
+            own = []
+            for i, (x, y) in enumerate(zip(found, batch.column("_wanted").to_pylist())):
+                if set_id(x) == y and y not in fresh and fresh[y]:
+                    own.append(i)
             sizes = np.array([len(found[i]) for i in own], np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_wanted").take(pa.array(own, pa.int64())), batch.column("family").take(pa.array(own, pa.int64())), pa.array(np.searchsorted(firsts, sizes, "right").astype(np.int32)), pa.array(sizes), pa.array([found[i].tobytes() for i in own], pa.binary())],
@@ -296,8 +309,8 @@ def _members(docs: DataFrame, width: int, similarity: Similarity) -> DataFrame:
     return docs.mapInArrow(work, "set_id binary, family long, band int, n long, hashes binary")
 
 
-def _block_pairs(members: DataFrame, sets_at_once: int, shingles_at_once: int) -> DataFrame:
-    """Members once for each pair of blocks they belong to: low band, low block, high band, high block, is_low."""
+def _block_pairs(members: DataFrame, similarity: Similarity, sets_at_once: int, shingles_at_once: int) -> DataFrame:
+    """Members once for each pair of blocks they belong to: low band, low block, high band, high block, is_low. Only sets of a size that may be similar to one beyond a band's end meet the next band."""
     blocks = members.groupBy("family", "band").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / sets_at_once), F.ceil(F.sum("n") / shingles_at_once)).cast("int").alias("blocks"))
     near = [blocks.select("family", (F.col("band") + d).alias("band"), F.col("blocks").alias(name)) for d, name in ((-1, "above"), (1, "below"))]
     placed = members.join(blocks, ["family", "band"]).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
@@ -311,12 +324,15 @@ def _block_pairs(members: DataFrame, sets_at_once: int, shingles_at_once: int) -
     def each(n, make):
         return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), make)).otherwise(F.array().cast("array<struct<low_band:int,low:int,high_band:int,high:int,is_low:boolean>>"))
 
+    first = F.pow(F.lit(2), band - 1)  # a band's least size; its end is twice that
+    up = F.when(F.col("n") * similarity.den >= 2 * first * similarity.num, F.col("above"))
+    down = F.when(F.col("n") * similarity.num < first * similarity.den, F.col("below"))
     none = F.lit(0)
     pairs = F.concat(
         each(F.col("blocks") - block, lambda i: pair(band, block, band, block + i, True)),
         each(block, lambda i: pair(band, i, band, block, False)),
-        each(F.coalesce("above", none), lambda i: pair(band, block, band + 1, i, True)),
-        each(F.coalesce("below", none), lambda i: pair(band - 1, i, band, block, False)),
+        each(F.coalesce(up, none), lambda i: pair(band, block, band + 1, i, True)),
+        each(F.coalesce(down, none), lambda i: pair(band - 1, i, band, block, False)),
     )
     return placed.select("set_id", "family", "hashes", F.explode(pairs).alias("p")).select("set_id", "family", "hashes", "p.*")
 
@@ -348,9 +364,10 @@ def jaccard_components(documents: DataFrame, width: int = 5, num: int = 8, den:
     lowest = F.lit(-(2**63))
     node = F.conv(F.hex(F.substring("set_id", 1, 8)), 16, -10).cast("long")
     chosen = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).withColumn("node", node).join(families, "node")
-    chosen = chosen.select(F.col("set_id").alias("_wanted"), "family", F.coalesce("doc_id", lowest).alias("_k"))
-    members = settled(_members(docs.withColumn("_k", F.coalesce("doc_id", lowest)).join(chosen, "_k").select("_wanted", "family", "_text"), width, similarity).dropDuplicates(["set_id"]))
-    linked = components(settled(_linked(_block_pairs(members, sets_at_once, shingles_at_once), similarity)))
+    chosen = settled(chosen.select(F.col("set_id").alias("_wanted"), "family", F.coalesce("doc_id", lowest).alias("_k")))
+    possible = _maybe_among(docs.withColumn("_k", F.coalesce("doc_id", lowest)), chosen)
+    members = settled(_members(possible.join(chosen, "_k").select("_wanted", "family", "_text"), width, similarity))
+    linked = components(settled(_linked(_block_pairs(members, similarity, sets_at_once, shingles_at_once), similarity)))
 
     known = sets.where("n_shingles > 0").join(linked.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     smallest = settled(known.groupBy("root").agg(F.min("doc_id").alias("component_id")))  # a plain table, so that a large component's side of the join can be split
