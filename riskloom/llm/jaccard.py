@@ -8,8 +8,8 @@ A text's set holds its shingles of `width` words. Sets that are equal are one se
    share one form a family. The most frequent shingles (at most `common_kept`, counted over all texts) are left out of the
    groups of every set, which adds no difference, so that a common passage makes no family. Empty groups say nothing and
    are not emitted; `spare` more groups make up for them. If that can fail for two similar sets, both have more empty
-   groups than that; such a set also emits its prefix: its first shingles in a fixed order, frequent ones last, as many as
-   two similar sets need to share one. What is counted as frequent changes the work, never the result.
+   groups than that; such a set also emits its prefix: its first shingles in a fixed order, rarest first, as many as two
+   similar sets need to share one. What is counted as frequent changes the work, never the result.
 2. In a family (a connected component over shared groups), sets fall into blocks of bounded size by size band and hash;
    each pair of blocks of equal or adjacent bands is one task, so a family with a third of all sets is spread.
 3. In a task, the sets' group counts are points in an R-tree. Summed minima of a set's counts and a node's upper corner,
@@ -123,9 +123,9 @@ class Signatures:
             self.plans[c] = most + 1 + spare, spare
         return self.plans[c]
 
-    def keys(self, hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-        """hashes: sorted; frequent: which of them the groups leave out."""
-        n, found, enough = len(hashes), [], True
+    def keys(self, hashes: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """hashes: sorted; times: how often the frequent ones occur, which the groups leave out, and 0 for the others."""
+        n, found, enough, frequent = len(hashes), [], True, times > 0
         if self.similarity.differences(n) == 0:
             return np.zeros(0, np.uint64)  # only equal to what is similar
         rest = hashes[~frequent]
@@ -140,15 +140,18 @@ class Signatures:
             found.append(_mix(_mix(contents[own]) + np.uint64(c + 1) * np.uint64(1 << 40) + group[own]))
             enough &= emitted - int(own.sum()) <= spare
         if not enough:
-            found.append(_mix(np.concatenate([rest, hashes[frequent]])[: self.similarity.prefix(n)] + np.uint64(1)))
+            first = hashes[np.argsort(times, kind="stable")[: self.similarity.prefix(n)]]  # rarest first, ties by hash
+            found += [_mix(first + np.uint64(c + 1)) for c in self.classes(n)]
         return np.concatenate(found)
 
 
-def is_frequent(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Which hashes are in the sorted array `frequent`."""
-    if not len(frequent):
-        return np.zeros(len(hashes), bool)
-    return frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes
+def times_of(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """frequent: sorted hashes and how often they occur. 0 for hashes not among them."""
+    known, times = frequent
+    if not len(known):
+        return np.zeros(len(hashes), np.int64)
+    place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[place] == hashes, times[place], 0)
 
 
 class RTree:
@@ -252,14 +255,16 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(work, "doc_id long, n_shingles long, set_id binary, shingle long, times long")
 
 
-def _frequent(sets: DataFrame, least: int, kept: int) -> np.ndarray:
-    """The most frequent shingles, sorted: at most `kept`, 8 bytes each."""
+def _frequent(sets: DataFrame, least: int, kept: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, sorted, and how often they occur: at most `kept`, 16 bytes each."""
     counts = sets.where("set_id IS NULL").groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") >= least)
-    table = counts.orderBy(F.desc("times"), "shingle").limit(kept).select("shingle").toArrow()
-    return np.sort(table.column("shingle").to_numpy().astype(np.int64).view(np.uint64))
+    table = counts.orderBy(F.desc("times"), "shingle").limit(kept).toArrow()
+    known, times = (table.column(c).to_numpy().astype(np.int64) for c in ("shingle", "times"))
+    order = np.argsort(known.view(np.uint64))
+    return known.view(np.uint64)[order], times[order]
 
 
-def _signatures(docs: DataFrame, width: int, similarity: Similarity, frequent: np.ndarray) -> DataFrame:
+def _signatures(docs: DataFrame, width: int, similarity: Similarity, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """key, node (half of the set's identity): equal keys may mean similar sets. A task skips sets it has met."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # bounded by common_kept
 
@@ -272,7 +277,7 @@ def _signatures(docs: DataFrame, width: int, similarity: Similarity, frequent: n
                 hashes = shingler.hashes(data)
                 identity = set_id(hashes)
                 if len(hashes) and identity not in fresh and fresh[identity]:
-                    keys.append(signatures.keys(hashes, is_frequent(hashes, shared.value)))
+                    keys.append(signatures.keys(hashes, times_of(hashes, shared.value)))
                     nodes.append(np.full(len(keys[-1]), node_of(identity)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["key", "node"])
 
