@@ -13,9 +13,10 @@ A text's set holds its shingles of `width` words. Sets that are equal are one se
 2. In a family (a connected component over shared groups), sets fall into blocks of bounded size by size band and hash;
    each pair of blocks of equal or adjacent bands is one task, so a family with a third of all sets is spread.
 3. In a task, the sets' group counts are points in an R-tree. Summed minima of a set's counts and a node's upper corner,
-   then a point's, bound the overlap; what survives is verified on the whole sets. Pairs that are linked through others
-   already are not verified again, and only links that connect are given: no link between components is lost, and a
-   group of copies never expands into all pairs.
+   then a point's, bound the overlap. Only sets that keep a partner go on, with their hashes, to a second task for the pair
+   of blocks, where what survives is verified on the whole sets. Pairs that are linked through others already are not
+   verified again, and only links that connect are given: no link between components is lost, and a group of copies never
+   expands into all pairs.
 4. Links connect sets to components; every document gets the smallest doc_id of its component.
 
 Cases: words are lower-cased in A-Z only and parted by ASCII blanks; with fewer words than `width` the whole sequence is
@@ -190,14 +191,33 @@ class RTree:
         return self.order[at]
 
 
+def resolution(size: int) -> int:
+    """Number of coordinates for sets of about that size: some 4 to 8 shingles each."""
+    return max(64, 1 << max(0, int(size).bit_length() - 3))
+
+
+def point_of(hashes: np.ndarray, groups: int) -> np.ndarray:
+    return np.bincount((hashes >> np.uint64(7)).astype(np.int64) & (groups - 1), minlength=groups)
+
+
+def involved(similarity: Similarity, sizes: np.ndarray, points: np.ndarray, n_left: int | None) -> np.ndarray:
+    """Which sets the R-tree's bound leaves a partner: between the first n_left and the rest, or (None) among all."""
+    first, found = n_left or 0, np.zeros(len(sizes), bool)
+    tree = RTree(sizes[first:], points[first:])
+    for i in range(n_left or len(sizes)):
+        near = tree.candidates(similarity, int(sizes[i]), points[i]) + first
+        near = near[near != i]
+        found[near] = True
+        found[i] |= len(near) > 0
+    return found
+
+
 def links(similarity: Similarity, left: list[np.ndarray], right: list[np.ndarray] | None) -> list[tuple[int, int]]:
     """Positions of similar sets in left and right (None: within left), as many as connect all that are similar. Right's positions follow left's."""
     sets = left + (right or [])
     sizes = np.array([len(x) for x in sets])
-    groups = 64
-    while groups < 4096 and groups * 10 < sizes.max():
-        groups *= 2
-    counts = np.stack([np.bincount((x >> np.uint64(7)).astype(np.int64) & (groups - 1), minlength=groups) for x in sets]).astype(np.int32)
+    groups = min(4096, resolution(sizes.max()))
+    counts = np.stack([point_of(x, groups) for x in sets]).astype(np.int32)
     first = len(left) if right else 0
     tree, label, found = RTree(sizes[first:], counts[first:]), np.arange(len(sets)), []
     for i in range(len(left)):
@@ -284,18 +304,18 @@ def _signatures(docs: DataFrame, width: int, similarity: Similarity, frequent: t
     return docs.mapInArrow(work, "key long, node long")
 
 
-def _maybe_among(docs: DataFrame, chosen: DataFrame, bits: int = 1 << 25) -> DataFrame:
-    """docs without most rows whose `_k` is not among chosen's, so that their texts are not shuffled: a filter of one hash and `bits` bits, whatever the corpus."""
-    place = (F.pmod(F.xxhash64("_k"), F.lit(bits)) + 1).alias("_place")
+def _maybe_among(rows: DataFrame, chosen: DataFrame, key: str, bits: int = 1 << 25) -> DataFrame:
+    """rows without most of those whose key is not among chosen's, so that they are not shuffled: a filter of one hash and `bits` bits, whatever the corpus."""
+    place = (F.pmod(F.xxhash64(key), F.lit(bits)) + 1).alias("_place")
     maps = chosen.select(place).groupBy(F.bitmap_bucket_number("_place").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_map"))
     bit = F.bitmap_bit_position(place)
     byte = F.conv(F.hex(F.substring("_map", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    kept = docs.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(maps), "_bucket")  # bits / 8 bytes at most
+    kept = rows.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(maps), "_bucket")  # bits / 8 bytes at most
     return kept.where(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1).drop("_bucket", "_map")
 
 
 def _members(docs: DataFrame, width: int, similarity: Similarity) -> DataFrame:
-    """docs: _wanted (set_id), family, _text. Gives set_id, family, band, n, hashes of the texts that have the wanted set, mostly once for each set."""
+    """docs: _wanted (set_id), family, _text. Gives set_id, family, band, n, point (R-tree coordinates), hashes of the texts that have the wanted set, mostly once for each set."""
 
     def work(batches):
         shingler, firsts, fresh = Shingler(width), similarity.bounds(), Remembered(lambda identity: True)
@@ -307,11 +327,11 @@ def _members(docs: DataFrame, width: int, similarity: Similarity) -> DataFrame:
                     own.append(i)
             sizes = np.array([len(found[i]) for i in own], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_wanted").take(pa.array(own, pa.int64())), batch.column("family").take(pa.array(own, pa.int64())), pa.array(np.searchsorted(firsts, sizes, "right").astype(np.int32)), pa.array(sizes), pa.array([found[i].tobytes() for i in own], pa.binary())],
-                names=["set_id", "family", "band", "n", "hashes"],
+                [batch.column("_wanted").take(pa.array(own, pa.int64())), batch.column("family").take(pa.array(own, pa.int64())), pa.array(np.searchsorted(firsts, sizes, "right").astype(np.int32)), pa.array(sizes), pa.array([point_of(found[i], resolution(len(found[i]))).astype("<u2").tobytes() for i in own], pa.binary()), pa.array([found[i].tobytes() for i in own], pa.binary())],
+                names=["set_id", "family", "band", "n", "point", "hashes"],
             )
 
-    return docs.mapInArrow(work, "set_id binary, family long, band int, n long, hashes binary")
+    return docs.mapInArrow(work, "set_id binary, family long, band int, n long, point binary, hashes binary")
 
 
 def _block_pairs(members: DataFrame, similarity: Similarity, sets_at_once: int, shingles_at_once: int) -> DataFrame:
@@ -339,20 +359,43 @@ def _block_pairs(members: DataFrame, similarity: Similarity, sets_at_once: int,
         each(F.coalesce(up, none), lambda i: pair(band, block, band + 1, i, True)),
         each(F.coalesce(down, none), lambda i: pair(band - 1, i, band, block, False)),
     )
-    return placed.select("set_id", "family", "hashes", F.explode(pairs).alias("p")).select("set_id", "family", "hashes", "p.*")
+    return placed.select("set_id", "family", "n", "point", F.explode(pairs).alias("p")).select("set_id", "family", "n", "point", "p.*")
+
+
+_PAIR = ["family", "low_band", "low", "high_band", "high"]
+
+
+def _in_order(table: pa.Table) -> tuple[pa.Table, int | None]:
+    """A pair of blocks, the low one first, and its number of sets; None if the blocks are one."""
+    is_low = table.column("is_low").to_numpy()
+    same = table.column("low_band")[0].as_py() == table.column("high_band")[0].as_py() and table.column("low")[0].as_py() == table.column("high")[0].as_py()
+    return table.take(np.argsort(~is_low, kind="stable")), None if same else int(is_low.sum())
+
+
+def _involved(pairs: DataFrame, similarity: Similarity) -> DataFrame:
+    """Of pairs of blocks, the sets that the R-tree leaves a partner in the other block. Only points are shuffled, no hashes."""
+
+    def work(table: pa.Table) -> pa.Table:
+        table, n_left = _in_order(table)
+        kept = np.zeros(table.num_rows, bool)
+        if n_left is None or 0 < n_left < table.num_rows:
+            points = [np.frombuffer(x, "<u2").astype(np.int32) for x in table.column("point").to_pylist()]
+            groups = min(map(len, points))
+            folded = np.stack([x.reshape(-1, groups).sum(axis=0, dtype=np.int32) for x in points])
+            kept = involved(similarity, table.column("n").to_numpy(), folded, n_left)
+        return table.select(["set_id", *_PAIR, "is_low"]).filter(pa.array(kept))
+
+    return pairs.groupBy(*_PAIR).applyInArrow(work, "set_id binary, family long, low_band int, low int, high_band int, high int, is_low boolean")
 
 
 def _linked(pairs: DataFrame, similarity: Similarity) -> DataFrame:
     def work(table: pa.Table) -> pa.Table:
-        is_low = np.array(table.column("is_low").to_pylist())
-        ids, order = table.column("set_id").to_pylist(), np.argsort(~is_low, kind="stable")
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-        sets, ids, n = [sets[i] for i in order], [ids[i] for i in order], int(is_low.sum())
-        same = table.column("low_band")[0].as_py() == table.column("high_band")[0].as_py() and table.column("low")[0].as_py() == table.column("high")[0].as_py()
-        found = links(similarity, sets, None) if same else links(similarity, sets[:n], sets[n:]) if 0 < n < len(sets) else []
+        table, n = _in_order(table)
+        ids, sets = table.column("set_id").to_pylist(), [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        found = links(similarity, sets, None) if n is None else links(similarity, sets[:n], sets[n:]) if 0 < n < len(sets) else []
         return pa.table({"u": pa.array([ids[i] for i, _ in found], pa.binary()), "v": pa.array([ids[j] for _, j in found], pa.binary())})
 
-    return pairs.groupBy("family", "low_band", "low", "high_band", "high").applyInArrow(work, "u binary, v binary")
+    return pairs.groupBy(*_PAIR).applyInArrow(work, "u binary, v binary")
 
 
 def jaccard_components(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10, text: str = "text", sets_at_once: int = 512, shingles_at_once: int = 1_000_000, common_least: int = 8, common_kept: int = 500_000) -> DataFrame:
@@ -370,9 +413,11 @@ def jaccard_components(documents: DataFrame, width: int = 5, num: int = 8, den:
     node = F.conv(F.hex(F.substring("set_id", 1, 8)), 16, -10).cast("long")
     chosen = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).withColumn("node", node).join(families, "node")
     chosen = settled(chosen.select(F.col("set_id").alias("_wanted"), "family", F.coalesce("doc_id", lowest).alias("_k")))
-    possible = _maybe_among(docs.withColumn("_k", F.coalesce("doc_id", lowest)), chosen)
+    possible = _maybe_among(docs.withColumn("_k", F.coalesce("doc_id", lowest)), chosen, "_k")
     members = settled(_members(possible.join(chosen, "_k").select("_wanted", "family", "_text"), width, similarity))
-    linked = components(settled(_linked(_block_pairs(members, similarity, sets_at_once, shingles_at_once), similarity)))
+    near = settled(_involved(_block_pairs(members.drop("hashes"), similarity, sets_at_once, shingles_at_once), similarity))
+    hashes = _maybe_among(members.select("set_id", "hashes"), near.select("set_id").distinct(), "set_id")
+    linked = components(settled(_linked(near.join(hashes, "set_id"), similarity)))
 
     known = sets.where("n_shingles > 0").join(linked.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     smallest = settled(known.groupBy("root").agg(F.min("doc_id").alias("component_id")))  # a plain table, so that a large component's side of the join can be split
