@@ -113,8 +113,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = 6000, dimensions:
     for x, r in zip(counts, rows):
         x[np.frombuffer(r.places, "<u2")] = np.frombuffer(r.counts, "<f4")
     idf = np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(1)
-    weighted = np.log1p(counts) * idf
-    weighted /= np.maximum(np.linalg.norm(weighted, axis=1, keepdims=True), 1e-12)
+    weighted = np.log1p(counts, out=counts)  # in place: the driver holds one such table
+    weighted *= idf
+    weighted /= np.maximum(np.sqrt(np.einsum("ij,ij->i", weighted, weighted)), 1e-12)[:, None]
     # leading right singular vectors by subspace iteration
     basis = np.random.default_rng(0).standard_normal((TERMS, min(dimensions + 16, len(rows)))).astype(np.float32)
     for _ in range(5):
@@ -122,7 +123,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = 6000, dimensions:
     _, sizes, right = np.linalg.svd(weighted @ basis, full_matrices=False)
     projection = (basis @ right[:dimensions].T).astype(np.float32)
     model = NeighbourModel(idf, projection, np.zeros((0, 0), np.float32), np.array([r.label for r in rows], float), neighbours, power)
-    model.vectors = model.embed(counts)
+    vectors = weighted @ projection
+    model.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     return model
 
 
