@@ -7,7 +7,8 @@
    u comes from the identifier's md5, so reruns agree. p/(1-p) is the source's open share f/(1-f) times
    sqrt(mean words / words): copies beyond the certain ones prefer shorter documents, which keeps more distinct ones and
    leaves less to one huge document. Taking follows the rank until the source's words are reached; the last document is
-   taken in part, so a source's words are its target, rounded.
+   taken in part, so a source's words are its target, rounded. Where the rounded rest is the whole source, nothing is left
+   to draw: every document is taken once more.
 
 The place where taking ends is found without sorting a source: its documents fall into about sqrt(n) rank buckets, the
 buckets are added up (combined before the shuffle), and only the bucket that holds the end is sorted. What is joined back
@@ -70,10 +71,11 @@ def _with_source(df: DataFrame, sources: DataFrame, n_sources: int, more: Column
 def _ranked(sizes: DataFrame, sources: DataFrame, n_sources: int, seed: str) -> DataFrame:
     """sizes with its source's columns, rank (null where nothing is sampled) and bucket."""
     u = (F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":" + seed)).cast("binary")), 1, 13), 16, 10).cast("long") + 0.5) / float(2**52)
+    drawn = (F.col("size") > 0) & (F.col("open_words") > 0) & (F.col("open_words") < F.col("source_size"))
     inclusion = F.col("open_words") / (F.col("source_size") - F.col("open_words")) * F.sqrt(F.col("source_size") / F.col("n_docs") / F.col("size"))
     return (
         _with_source(sizes, sources.withColumnRenamed("source", "_source"), n_sources)
-        .withColumn("rank", F.when((F.col("size") > 0) & (F.col("open_words") > 0), u / (1 - u) / inclusion))
+        .withColumn("rank", F.when(drawn, u / (1 - u) / inclusion))
         .withColumn("bucket", F.floor(F.col("rank") / (F.col("rank") + 1) * F.ceil(F.sqrt("n_docs"))))
     )
 
@@ -106,7 +108,7 @@ def mixing_plan(sizes: DataFrame, seed: str = SEED, **how) -> tuple[DataFrame, i
 def apply_plan(sizes: DataFrame, plan: tuple[DataFrame, int], seed: str = SEED) -> DataFrame:
     """sizes with source_size, target, copies and taken."""
     place = F.struct("rank", "doc_id", "size")
-    sampled = F.when(F.col("rank").isNull() | (place > F.col("end")), 0).when(place < F.col("end"), F.col("size")).otherwise(F.col("end_words"))
+    sampled = F.when(F.col("open_words") == F.col("source_size"), F.col("size")).when(F.col("rank").isNull() | (place > F.col("end")), 0).when(place < F.col("end"), F.col("size")).otherwise(F.col("end_words"))
     return _ranked(sizes, *plan, seed).withColumn("taken", F.col("copies") * F.col("size") + F.coalesce(sampled, F.lit(0))).drop("n_docs", "open_words", "rank", "bucket", "end", "end_words")
 
 

@@ -71,5 +71,18 @@ def test_many_sources_are_salted(small, monkeypatch):
     assert sorted(map(tuple, mixing.mix(small).collect())) == expected
 
 
+# the last source's target is 1.5, 20.5 and 19.5 words: half a word below once or twice its size
+@pytest.mark.parametrize("sizes", [{"a": [1]}, {"a": [13], "b": [9], "c": [10, 11]}, {"a": [15], "b": [20, 14], "c": [4, 6]}])
+def test_target_that_rounds_to_the_whole_source(spark, sizes):
+    df = spark.createDataFrame([(10 * i + j, " ".join(["w"] * n), s) for i, (s, ns) in enumerate(sizes.items()) for j, n in enumerate(ns)], "doc_id long, text string, source string")
+    documents = df.toPandas()  # noqa: F841
+    expected = duckdb.sql(mixing.ORACLE_SQL).df().sort_values("doc_id")
+    got = mixing.mix(df).toPandas().sort_values("doc_id")
+    assert (got[expected.columns].values == expected.values).all()
+    last = got[got.source == max(sizes)]
+    assert set(last.taken / last["size"]) == {round(last.target.iloc[0] / sum(sizes[max(sizes)]))}
+    assert sum(len(r.text.split()) for r in mixing.mixed_documents(df).collect()) == got.taken.sum()
+
+
 def test_nothing(nothing):
     assert mixing.mix(nothing).count() == 0 and mixing.mixed_documents(nothing).count() == 0
