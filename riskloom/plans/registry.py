@@ -605,7 +605,7 @@ def _model_rows(spark, sf_dir):
 
 @query()
 def cv_model_comparison(spark, sf_dir):
-    return models.compare(_model_rows(spark, sf_dir), MODEL_FEATURES, "doc_id", "junk", (models.LOGISTIC, models.FOREST), k=3, trees=10)[0]
+    return models.compare(_model_rows(spark, sf_dir), MODEL_FEATURES, "doc_id", "junk")[0]
 
 
 @query()
@@ -615,13 +615,13 @@ def oof_scores(spark, sf_dir):
 
 @query()
 def permutation_control(spark, sf_dir):
-    return models.permutation_control(_model_rows(spark, sf_dir), models.LOGISTIC, MODEL_FEATURES, "doc_id", "junk", k=3)
+    return models.permutation_control(_model_rows(spark, sf_dir), models.BOOSTING, MODEL_FEATURES, "doc_id", "junk")
 
 
 @query()
 def tree_shap_global(spark, sf_dir):
     """Boosted trees on labelled documents, explained row by row, then by feature."""
     df = _model_rows(spark, sf_dir)
-    scorer = models.fit(df, models.BOOSTING, MODEL_FEATURES, "junk", trees=5)
+    scorer = models.fit(df, models.BOOSTING, MODEL_FEATURES, "junk")
     trees = explain.trees_of(spark, scorer.model, scratch_path(spark, "trees"))
     return explain.global_importance(explain.tree_shap(df, "doc_id", MODEL_FEATURES, trees))

@@ -1,3 +1,4 @@
+import inspect
 import itertools
 import math
 
@@ -8,8 +9,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from riskloom.operators import explain, models
+from riskloom.operators import explain, metrics, models
 from riskloom.operators.woe import WoeModel
+from riskloom.plans import registry
 from riskloom.streaming.scoring import score_stream
 
 
@@ -31,6 +33,65 @@ def test_cross_validation_and_control(rows):
         models.make_estimator("other", 1)
 
 
+def test_registered_models_are_whole(spark, monkeypatch):
+    asked, stop = [], RuntimeError("asked")
+
+    def cross_validate(df, name, features, row_id, label, k=5, **how):
+        asked.append((name, k, how))
+        return spark.createDataFrame([(name, 0, 0.5, 0.0, 0.0, 0.0, 0.0)], "model string, fold int, auc double, ks double, f1 double, precision double, recall double")
+
+    def fit(df, name, features, label, **how):
+        asked.append((name, how))
+        raise stop
+
+    monkeypatch.setattr(models, "cross_validate", cross_validate)
+    assert inspect.signature(models.fit).parameters["trees"].default == 300
+    monkeypatch.setattr(models, "fit", fit)
+    summary = registry.queries()["cv_model_comparison"](spark, "/root/testdata/sf0.001")
+    assert asked == [(n, 5, {}) for n in (models.LOGISTIC, models.BOOSTING, models.FOREST)] and "text" in summary.columns
+    registry.queries()["permutation_control"](spark, "/root/testdata/sf0.001")
+    assert asked[3:] == [(models.BOOSTING, 5, {})]
+    with pytest.raises(RuntimeError):
+        registry.queries()["tree_shap_global"](spark, "/root/testdata/sf0.001")
+    assert asked[4:] == [(models.BOOSTING, {})]
+
+
+def test_forest_depth_is_the_librarys_limit(spark):
+    assert models.make_estimator(models.FOREST, 1).getMaxDepth() == 30
+
+
+def auc_of(rows):
+    good, bad = [r.p for r in rows if r.y], [r.p for r in rows if not r.y]
+    return np.mean([[(g > b) + 0.5 * (g == b) for b in bad] for g in good])
+
+
+def test_comparison_values(rows):
+    how = {"k": 2, "trees": 2}
+    summary, detail = models.compare(rows, ["a", "b", "c"], "id", "y", (models.BOOSTING,), **how)
+    scores = models.out_of_fold(rows, models.BOOSTING, ["a", "b", "c"], "id", "y", **how).collect()
+    expected = [auc_of([r for r in scores if r.fold == i]) for i in range(2)]
+    assert [r.auc for r in sorted(detail.collect(), key=lambda r: r.fold)] == pytest.approx(expected, abs=1e-6)
+    auc = summary.where("metric = 'auc'").first()
+    assert (auc.mean, auc.deviation) == pytest.approx((np.mean(expected), np.std(expected, ddof=1)), abs=1e-6)
+
+
+def test_track_difference(spark):
+    """G11: two tracks side by side, by model and metric."""
+    names = "model string, fold int, auc double, ks double, f1 double, precision double, recall double"
+    full = spark.createDataFrame([("m", 0, 0.9, 0.8, 0.7, 0.6, 0.5), ("m", 1, 0.7, 0.6, 0.5, 0.4, 0.3)], names)
+    no_leak = spark.createDataFrame([("m", 0, 0.6, 0.8, 0.5, 0.6, 0.4), ("m", 1, 0.6, 0.5, 0.5, 0.4, 0.5)], names)
+    got = {r.metric: r.difference for r in metrics.track_difference(metrics.fold_summary(full), metrics.fold_summary(no_leak)).collect()}
+    assert got == pytest.approx({"auc": 0.2, "ks": 0.05, "f1": 0.1, "precision": 0.0, "recall": -0.05})
+
+
+def test_comparison_without_shells(spark, rows):
+    """G12: rows whose features are all 0 go, no others; the rerun then has the rows it would have had without them."""
+    shells = spark.createDataFrame([(1000, 1, 0.0, 0.0, 0.0), (1001, 0, 0.0, 0.0, 0.0)], rows.schema)
+    nearly = spark.createDataFrame([(1002, 1, 0.0, 0.0, 1.0), (1003, 0, None, 0.0, 0.0)], rows.schema)
+    kept = models.without_shells(rows.unionByName(shells).unionByName(nearly), ["a", "b", "c"])
+    assert kept.count() == rows.count() + 2 and kept.where("id in (1000, 1001)").count() == 0
+
+
 def brute_shapley(tree, x, m):
     def worth(known, node=0):
         if tree.feature[node] < 0:
