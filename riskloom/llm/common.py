@@ -6,6 +6,8 @@ import hashlib
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,15 +19,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """A column by its whole name, dots and blanks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """`name`, with underscores before it until no column of the table is called so."""
+    taken = {x.lower() for x in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local temporary one is made only where the cluster names none."""
+    """The folder that driver and executors share. A local temporary one is made only on a local master; a cluster has to name its own."""
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="riskloom-")
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="riskloom-")
     if not context.getCheckpointDir():
-        context.setCheckpointDir(named)
-    return named.rstrip("/")
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -48,11 +65,16 @@ def hash64(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
-def slices(batches, rows: int = 1000):
-    """Arrow batches in parts of at most so many rows, so that a task holds few whole texts as Python objects."""
+def slices(batches, rows: int = 1000, size: int = 1 << 23, text: str = "_text"):
+    """Arrow batches in parts of at most so many rows and bytes of text (one text, if it is longer), so that a task holds few whole texts as Python objects."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(lengths, dtype=np.int64), 0
+        while at < batch.num_rows:
+            within = int(np.searchsorted(ends, ends[at] - lengths[at] + size, "right"))
+            stop = min(at + rows, max(at + 1, within))
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 class Remembered(dict):

@@ -1,30 +1,35 @@
 """Language identification: script ranges narrow the candidates, Viterbi over per-word scores labels spans.
 
 Training counts letter 1- to 3-grams of words in Spark, over a sample of about `docs_per_language` whole texts of each
-language (chosen by a hash), and keeps the `max_grams` most frequent: both parameters bound what the driver and the
-broadcast hold. A word's score for a language is the mean over gram orders of its grams' log-probabilities; languages
-that do not use the script of the word's first letter are no candidates for it. Viterbi's path over a text's words pays
-`switch_penalty` for each change of language, so spans come out whole and lone odd words do not. Paths of a batch's texts
-advance together, one word at a time, in numpy.
+language, chosen by a hash: that parameter bounds the labelled rows learned from, and every gram of the sample counts. A
+word's score for a language is the mean over gram orders of its grams' log-probabilities; languages that do not use the
+script of a run of letters are no candidates for it. Viterbi's path over a text's words pays `switch_penalty` for each
+change of language, so spans come out whole and lone odd words do not. In a task, texts of a bounded number of bytes go
+together: their distinct words are scored at once, and their paths advance together, one word at a time, in numpy.
 
 A text's language is the one with most letters in its spans (ties: by name); its score is that language's share of the
-letters, counting only letters in a script that some language uses. Null texts and texts without a letter are `und` with
-score 0. Texts whose letters are all in unlearned scripts get the first language, with score 0. A model that learned from
-nothing calls every text `und`; an empty table gives no rows; repeated rows and null identifiers stay as they are.
+letters, counting only letters in a script that some language uses. `known` is the share of letters in such scripts, whatever
+their language: a clean text in three languages scores low and is known all the same.
+
+Cases: null texts and texts without a letter are `und` with score 0. Texts whose letters are all in unlearned scripts get the
+first language, with score 0. Very long texts are read whole; one longer than a part's bytes makes a part of its own. A model
+that learned from nothing calls every text `und`; an empty table gives no rows; repeated rows and null identifiers stay as
+they are, and so do extra columns, whatever they are called, but for those that the results replace.
 """
 
 from __future__ import annotations
 
-import bisect
-import re
-from dataclasses import dataclass
+from array import array
+from collections import defaultdict
+from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import Remembered, in_training_folds
+from riskloom.llm.common import in_training_folds, named, slices, unused
 
 UNDETERMINED = "und"
 
@@ -36,49 +41,98 @@ SCRIPT_RANGES = [
     (0x1100, 0x11FF, "Hangul"), (0x1E00, 0x1EFF, "Latin"), (0x1F00, 0x1FFF, "Greek"), (0x3040, 0x30FF, "Kana"),
     (0x3400, 0x4DBF, "Han"), (0x4E00, 0x9FFF, "Han"), (0xAC00, 0xD7AF, "Hangul"), (0x20000, 0x2FA1F, "Han"),
 ]
-_FIRSTS = [x[0] for x in SCRIPT_RANGES]
-_RUN = re.compile(r"[^\W\d_]+")
+_FIRSTS = np.array([x[0] for x in SCRIPT_RANGES])
+_LASTS = np.array([x[1] for x in SCRIPT_RANGES])
+OTHER = "Other"
+#: What stands for a run's ends in grams of two and three; neither is a letter.
+START, END = ord("^"), ord("$")
+
+
+def range_of(codes: np.ndarray) -> np.ndarray:
+    """Position in SCRIPT_RANGES of each code point, -1 outside of all."""
+    k = np.searchsorted(_FIRSTS, codes, "right") - 1
+    return np.where((k >= 0) & (codes <= _LASTS[k]), k, -1)
 
 
 def script_of(letter: str) -> str:
-    k = bisect.bisect_right(_FIRSTS, ord(letter)) - 1
-    return SCRIPT_RANGES[k][2] if k >= 0 and ord(letter) <= SCRIPT_RANGES[k][1] else "Other"
+    k = int(range_of(np.array([ord(letter)]))[0])
+    return SCRIPT_RANGES[k][2] if k >= 0 else OTHER
+
 
+@cache
+def _letter_kinds() -> np.ndarray:
+    """Per code point: 0 no part of a run, 1 part of a run (a word character, but no digit and no underscore), 3 also a letter."""
+    points = list(map(chr, range(0x110000)))
+    in_run = np.fromiter((c.isalnum() and not c.isdecimal() for c in points), bool, len(points))
+    return in_run.astype(np.uint8) + 2 * np.fromiter(map(str.isalpha, points), bool, len(points)).astype(np.uint8)
 
-def grams_of(run: str) -> list[str]:
-    edged = f"^{run}$"
-    return [*run, *(edged[i : i + 2] for i in range(len(edged) - 1)), *(edged[i : i + 3] for i in range(len(edged) - 2))]
+
+def gram_key(gram: str) -> int:
+    """A gram of one to three code points as 64 bits; its order is not part of it."""
+    key = 0
+    for c in gram:
+        key = key << 21 | ord(c)
+    return key
+
+
+def _keys(*codes: np.ndarray) -> np.ndarray:
+    key = codes[0].astype(np.int64)
+    for x in codes[1:]:
+        key = (key << 21) | x
+    return key
 
 
 @dataclass
 class LanguageModel:
     languages: list[str]
-    grams: dict[str, int]
-    scores: np.ndarray  # grams x languages
-    scripts: dict[str, np.ndarray]  # of a script: 0 for languages that use it, else a large negative score
+    keys: list[np.ndarray]  # per order 1 to 3: its grams' keys, rising
+    scores: list[np.ndarray]  # per order: (grams + 1) x languages; the last row, zeros, is for unknown grams
+    scripts: dict[str, np.ndarray] = field(default_factory=dict)  # of a script: 0 for languages that use it, else a large negative score
     switch_penalty: float = 8.0
 
-    def word(self, word: str) -> tuple[np.ndarray, int, int]:
-        """Score per language, number of letters, number of those in a known script."""
-        total, letters, known = np.zeros(len(self.languages), np.float32), 0, 0
-        for run in _RUN.findall(word):
-            n = sum(map(str.isalpha, run))
-            letters += n
-            narrowed = self.scripts.get(script_of(run[0]))
-            if narrowed is None:
-                continue
-            known += n
-            rows = [self.grams[g] for g in grams_of(run) if g in self.grams]
-            total += self.scores[rows].sum(axis=0) / 3 + narrowed
-        return total, letters, known
-
-
-def train(labelled: DataFrame, docs_per_language: int = 1500, max_grams: int = 30_000, switch_penalty: float = 8.0) -> LanguageModel:
+    def _found(self, order: int, keys: np.ndarray) -> np.ndarray:
+        known = self.keys[order - 1]
+        if not len(known):
+            return self.scores[order - 1][np.zeros(len(keys), np.int64)]
+        place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return self.scores[order - 1][np.where(known[place] == keys, place, len(known))]
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Per word: a score for each language; number of letters and number of those in runs of a known script."""
+        total, counts = np.zeros((len(words), len(self.languages)), np.float32), np.zeros((len(words), 2), np.int64)
+        codes = np.frombuffer("\n".join(["", *words, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds = _letter_kinds()[codes]
+        at = np.flatnonzero(kinds & 1)
+        if not len(at):
+            return total, counts
+        word = (np.cumsum(codes == 10) - 1)[at]
+        own, before, after = codes[at], codes[at - 1], codes[at + 1]
+        first, last = (kinds[at - 1] & 1) == 0, (kinds[at + 1] & 1) == 0
+        before, after = np.where(first, START, before), np.where(last, END, after)
+        score = self._found(1, own.astype(np.int64)) + self._found(2, _keys(before, own)) + self._found(3, _keys(before, own, after))
+        score[last] += self._found(2, _keys(own[last], np.full(int(last.sum()), END)))
+        # runs, narrowed by the script of their first letter
+        starts = np.flatnonzero(first)
+        runs, letters = np.add.reduceat(score, starts) / 3, np.add.reduceat(kinds[at] >> 1, starts, dtype=np.int64)
+        narrowings = np.stack([self.scripts.get(x, np.full(len(self.languages), np.nan, np.float32)) for x in [*(x[2] for x in SCRIPT_RANGES), OTHER]])
+        narrowed = narrowings[range_of(own[starts])]
+        unknown = np.isnan(narrowed[:, 0])
+        runs = np.where(unknown[:, None], 0, runs + np.nan_to_num(narrowed))
+        # words of at least one run
+        of_run = word[starts]
+        heads = np.flatnonzero(np.r_[True, of_run[1:] != of_run[:-1]])
+        total[of_run[heads]] = np.add.reduceat(runs, heads)
+        counts[of_run[heads]] = np.stack([np.add.reduceat(letters, heads), np.add.reduceat(np.where(unknown, 0, letters), heads)], axis=1)
+        return total, counts
+
+
+def train(labelled: DataFrame, docs_per_language: int = 1500, switch_penalty: float = 8.0) -> LanguageModel:
     """labelled: doc_id, text, lang."""
     labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    languages = sorted(counts, key=lambda x: x.encode())
     if not counts:
-        return LanguageModel([], {}, np.zeros((0, 0), np.float32), {}, switch_penalty)
+        return LanguageModel([], [np.zeros(0, np.int64)] * 3, [np.zeros((1, 0), np.float32)] * 3, {}, switch_penalty)
     rates = labelled.sparkSession.createDataFrame([(k, docs_per_language / n) for k, n in counts.items()], "lang string, rate double")
     chance = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
     sample = labelled.join(F.broadcast(rates), "lang").where(chance < F.col("rate"))  # a row per language
@@ -90,26 +144,23 @@ def train(labelled: DataFrame, docs_per_language: int = 1500, max_grams: int = 3
         .groupBy("gram", "lang")
         .agg(F.sum("n").alias("n"))
         .groupBy("gram")
-        .agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-        .orderBy(F.desc("total"), "gram")
-        .limit(max_grams)
-        .collect()
+        .agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))  # a row per language at most
+        .collect()  # the grams of the bounded sample
     )
-    languages = sorted(counts, key=lambda x: x.encode())
-    table = np.array([[r.by.get(x, 0) for x in languages] for r in grams], float).reshape(len(grams), len(languages))
-    scores = np.zeros_like(table)
-    order = np.array([len(r.gram) for r in grams])
-    for k in (1, 2, 3):
-        own = table[order == k] + 0.5
-        scores[order == k] = np.log(own / own.sum(axis=0))
-    letters: dict[str, np.ndarray] = {}
-    for r, row in zip(grams, table):
-        if len(r.gram) == 1:
-            letters[script_of(r.gram)] = letters.get(script_of(r.gram), 0) + row
+    keys, scores, letters = [], [], {}
+    for order in (1, 2, 3):
+        own = sorted((gram_key(r.gram), r.by) for r in grams if len(r.gram) == order)
+        table = np.array([[by.get(x, 0) for x in languages] for _, by in own], float).reshape(len(own), len(languages))
+        smoothed = table + 0.5
+        keys.append(np.array([k for k, _ in own], np.int64))
+        scores.append(np.concatenate([np.log(smoothed / smoothed.sum(axis=0)), np.zeros((1, len(languages)))]).astype(np.float32))
+        if order == 1:
+            for (key, _), row in zip(own, table):
+                letters[script_of(chr(key))] = letters.get(script_of(chr(key)), 0) + row
     total = np.maximum(sum(letters.values()), 1) if letters else 1
     uses = {k: v / total >= 0.01 for k, v in letters.items()}
     scripts = {k: np.where(v, 0, -50).astype(np.float32) for k, v in uses.items() if v.any()}
-    return LanguageModel(languages, {r.gram: i for i, r in enumerate(grams)}, scores.astype(np.float32), scripts, switch_penalty)
+    return LanguageModel(languages, keys, scores, scripts, switch_penalty)
 
 
 def best_paths(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
@@ -137,46 +188,33 @@ def best_paths(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.nd
 
 
 class Labeller:
-    """Words of texts to scores and labels; remembers words."""
+    """Texts to scored and labelled words. Holds nothing between calls."""
 
     def __init__(self, model: LanguageModel, words_at_once: int = 1_000_000):
         self.model = model
         self.most = max(20_000, words_at_once * 4 // max(4, len(model.languages)))
-        self._forget()
-
-    def _forget(self):
-        self.used = 0
-        self.table = np.empty((4096, len(self.model.languages)), np.float32)
-        self.counts = np.empty((4096, 2), np.int64)
-        self.places = Remembered(self._add, 10**9)
-
-    def _add(self, word: str) -> int:
-        row, letters, known = self.model.word(word)
-        if self.used == len(self.table):
-            self.table, self.counts = (np.concatenate([x, np.empty_like(x)]) for x in (self.table, self.counts))
-        self.table[self.used], self.counts[self.used] = row, (letters, known)
-        self.used += 1
-        return self.used - 1
 
     def label(self, texts: list[str]):
         """For chunks of texts, longest texts together: their positions, numbers of words, and per word label, letters and known letters."""
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         while order:
-            at: list[int] = []
-            lengths, k = [], 0
-            if self.used > 400_000:
-                self._forget()
+            at, sizes, k = array("i"), [], 0
+            places: defaultdict = defaultdict()
+            places.default_factory = places.__len__  # distinct words by first occurrence
             while k < len(order) and len(at) < self.most:
                 before = len(at)
-                at += map(self.places.__getitem__, texts[order[k]].lower().split())
-                lengths.append(len(at) - before)
+                at.extend(map(places.__getitem__, texts[order[k]].lower().split()))
+                sizes.append(len(at) - before)
                 k += 1
             chunk, order = order[:k], order[k:]
-            places, sizes = np.array(at, np.int64), np.array(lengths)
-            yield chunk, sizes, best_paths(self.table[places], sizes, self.model.switch_penalty), self.counts[places]
-
-    def languages(self, texts: list[str]) -> list[tuple[str, float]]:
-        width, found = len(self.model.languages), [(UNDETERMINED, 0.0)] * len(texts)
+            scores, counts = self.model.words(list(places))
+            del places
+            own, lengths = np.frombuffer(at, np.int32) if at else np.zeros(0, np.int32), np.array(sizes)
+            yield chunk, lengths, best_paths(scores[own], lengths, self.model.switch_penalty), counts[own]
+
+    def languages(self, texts: list[str]) -> list[tuple[str, float, float]]:
+        """Language, its share of the letters, and the share of letters in known scripts."""
+        width, found = len(self.model.languages), [(UNDETERMINED, 0.0, 0.0)] * len(texts)
         if not width:
             return found
         for chunk, lengths, labels, counts in self.label(texts):
@@ -186,7 +224,7 @@ class Labeller:
             for i, row, n in zip(chunk, by, letters):
                 if n:
                     k = int(row.argmax())
-                    found[i] = (self.model.languages[k], float(row[k] / n))
+                    found[i] = (self.model.languages[k], float(row[k] / n), float(row.sum() / n))
         return found
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
@@ -204,44 +242,33 @@ class Labeller:
         return found
 
 
-_LABELLERS: list[Labeller] = []
-
-
-def _worker_labeller(model: LanguageModel) -> Labeller:
-    """The worker's labeller for the model of the last task: it remembers words from task to task."""
-    if not _LABELLERS or _LABELLERS[0].model is not model:
-        _LABELLERS[:] = [Labeller(model)]
-    return _LABELLERS[0]
-
-
-def _map_texts(df: DataFrame, text: str, model: LanguageModel, work, new: str) -> DataFrame:
+def _map_texts(df: DataFrame, text: str, model: LanguageModel, work, new: list[tuple[str, str]]) -> DataFrame:
     """Keeps all columns of df and adds those that work(labeller, texts) gives as Arrow arrays."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by max_grams
-    added = [x.split(" ")[0] for x in new.split(", ")]
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the sample it learned from
+    added = [x for x, _ in new]
     kept = [c for c in df.columns if c not in added]
+    column = unused("_text", df.columns)
 
     def run(batches):
-        labeller = _worker_labeller(shared.value)
-        for batch in batches:  # whole batches: texts advance together
-            texts = [x or "" for x in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *work(labeller, texts)], names=[*kept, *added])
-
-    from pyspark.sql.types import _parse_datatype_string
+        labeller = Labeller(shared.value)
+        for batch in slices(batches, 10_000, text=column):
+            texts = [x or "" for x in batch.column(column).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *work(labeller, texts)], names=[*kept, *added])
 
-    schema = df.select(*kept).schema
-    for field in _parse_datatype_string(new):
-        schema = schema.add(field)
-    return df.select(*(F.col(f"`{c}`") for c in kept), F.col(text).alias("_text")).mapInArrow(run, schema)
+    columns = [named(c) for c in kept]
+    schema = df.select(*columns, *(F.lit(None).cast(kind).alias(x) for x, kind in new)).schema
+    return df.select(*columns, named(text).alias(column)).mapInArrow(run, schema)
 
 
-def identify(df: DataFrame, model: LanguageModel, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """Adds the language and its score; columns of these names are replaced."""
+def identify(df: DataFrame, model: LanguageModel, text: str = "text", into: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the language and its score, and the known share too if `into` has a third name; columns of these names are replaced."""
+    kinds = ["string", "double", "double"]
 
     def work(labeller, texts):
-        found = labeller.languages(texts)
-        return [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
+        columns = list(zip(*labeller.languages(texts))) if texts else [()] * 3
+        return [pa.array(x, pa.string() if kind == "string" else pa.float64()) for x, kind, _ in zip(columns, kinds, into)]
 
-    return _map_texts(df, text, model, work, f"{into[0]} string, {into[1]} double")
+    return _map_texts(df, text, model, work, list(zip(into, kinds)))
 
 
 def language_spans(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
@@ -251,7 +278,7 @@ def language_spans(df: DataFrame, model: LanguageModel, text: str = "text") -> D
         kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("lang", pa.string())]))
         return [pa.array([[{"first": a, "last": b, "lang": x} for a, b, x in each] for each in labeller.spans(texts)], kind)]
 
-    return _map_texts(df, text, model, work, "spans array<struct<first:long,last:long,lang:string>>")
+    return _map_texts(df, text, model, work, [("spans", "array<struct<first:long,last:long,lang:string>>")])
 
 
 def train_on_folds(documents: DataFrame, **how) -> LanguageModel:

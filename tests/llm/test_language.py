@@ -1,4 +1,5 @@
 import itertools
+import re
 import zlib
 
 import numpy as np
@@ -52,7 +53,45 @@ def test_scripts_narrow(spark):
     rows = [(i, "привет как дела мир", "ru") for i in range(30)] + [(100 + i, "hello how are you world", "en") for i in range(30)]
     model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     labeller = language.Labeller(model)
-    assert labeller.languages(["щжщж", "zzqq", "日本", "123", ""]) == [("ru", 1.0), ("en", 1.0), ("en", 0.0), ("und", 0.0), ("und", 0.0)]
+    assert labeller.languages(["щжщж", "zzqq", "日本", "123", "", "zzqq 日本"]) == [("ru", 1.0, 1.0), ("en", 1.0, 1.0), ("en", 0.0, 0.0), ("und", 0.0, 0.0), ("und", 0.0, 0.0), ("en", 4 / 6, 4 / 6)]
+
+
+def test_word_scores_equal_a_sum_over_grams(model):
+    """Word by word and gram by gram, as the docstring says it."""
+    words = ["grün", "don't", "x", "abc123déf_ghi", "42", "日本語", "straße,", "e\u0301tude", "привет-hello", "𝒳yz", "a1b2", "Ⅷ", "²"]
+    scores, counts = model.words(words)
+    known = [dict(zip(k.tolist(), s)) for k, s in zip(model.keys, model.scores)]
+    for word, score, (letters, in_known) in zip(words, scores, counts):
+        total, n, n_known = np.zeros(len(model.languages)), 0, 0
+        for run in re.findall(r"[^\W\d_]+", word):
+            n += sum(map(str.isalpha, run))
+            narrowed = model.scripts.get(language.script_of(run[0]))
+            if narrowed is not None:
+                n_known += sum(map(str.isalpha, run))
+                total += narrowed
+                for order in (1, 2, 3):
+                    edged = run if order == 1 else f"^{run}$"
+                    for i in range(len(edged) - order + 1):
+                        total += known[order - 1].get(language.gram_key(edged[i : i + order]), 0) / 3
+        assert (letters, in_known) == (n, n_known), word
+        assert score == pytest.approx(total, rel=1e-4, abs=1e-3), word
+    nothing, none = model.words([])
+    assert nothing.shape == (0, len(model.languages)) and none.shape == (0, 2)
+
+
+def test_parts_of_few_words_change_nothing(small, model):
+    texts = [r.text for r in small.limit(60).collect()]
+    parted = language.Labeller(model)
+    parted.most = 1
+    assert language.Labeller(model).languages(texts) == parted.languages(texts)
+
+
+def test_clashing_names_stay(spark, small, model):
+    """Columns called like the operator's own temporary ones come out unchanged."""
+    df = small.limit(5).selectExpr("doc_id", "text", "1 as _text", "2 as __text", "3 as _lang", "4 as `a.b`", "'x' as SCORE_")
+    out = language.identify(df, model)
+    assert out.columns == [*df.columns, "lang_pred", "score"]
+    assert {(r._text, r.__getattr__("__text"), r._lang, r["a.b"]) for r in out.collect()} == {(1, 2, 3, 4)}
 
 
 def test_awkward_rows(awkward, nothing, model):
