@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def named(column: str) -> Column:
-    """A column by its whole name, dots and blanks included."""
+    """A column by its whole name, blanks included."""
     return F.col("`" + column.replace("`", "``") + "`")
 
 
