@@ -19,10 +19,14 @@ A text's set holds its shingles of `width` words. Sets that are equal are one se
    expands into all pairs.
 4. Links connect sets to components; every document gets the smallest doc_id of its component.
 
+Hot keys: a task gives a key once for each million keys, and what else has it as an edge, so a group content that a third of
+all sets share is never gathered; a family's blocks are of bounded size; large stars and components are split by Spark.
+
 Cases: words are lower-cased in A-Z only and parted by ASCII blanks; with fewer words than `width` the whole sequence is
 the one shingle; null, empty and blank texts have an empty set, and are linked with nothing (their component is their own
-doc_id). Repeated rows get equal results. A null doc_id takes part, but names a component only if no other does.
-Extra columns are ignored; an empty table gives no rows.
+doc_id). Texts are read whole, however long. Repeated rows get equal results, as do rows of one doc_id with different texts,
+each by its own text. A null doc_id takes part, but names a component only if no other does. Extra columns are ignored,
+whatever they are called; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import Remembered, hash64, settled, slices
+from riskloom.llm.common import Remembered, hash64, named, settled, slices, unused
 from riskloom.llm.graph import components
 
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -252,27 +256,33 @@ class Repeats:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """Two kinds of rows: doc_id, n_shingles, set_id of every row; and shingle, times of shingles that are repeated in a task (set_id null)."""
-
-    def counted(repeats):
-        values, times = repeats.take()
-        nulls = pa.nulls(len(values))
-        return pa.RecordBatch.from_arrays([nulls.cast(pa.int64()), nulls.cast(pa.int64()), nulls.cast(pa.binary()), pa.array(values.view(np.int64)), pa.array(times.astype(np.int64))], names=names)
+    """Two kinds of rows: docs without _text, with n_shingles and set_id, for every row; and shingle, times of shingles that are repeated in a task (set_id null)."""
 
     def work(batches):
-        shingler, repeats, fresh = Shingler(width), Repeats(), Remembered(lambda identity: True)
+        shingler, repeats, fresh, kinds = Shingler(width), Repeats(), Remembered(lambda identity: True), []
+
+        def counted():
+            values, times = repeats.take()
+            nulls = [pa.nulls(len(values), kind) for kind in kinds]
+            return pa.RecordBatch.from_arrays([*nulls, pa.array(values.view(np.int64)), pa.array(times.astype(np.int64))], names=names)
+
         for batch in slices(batches):
+            own = [batch.column(c) for c in kept]
+            kinds = [*(x.type for x in own), pa.int64(), pa.binary()]
             found = [shingler.hashes(x) for x in batch.column("_text").to_pylist()]
             identities = [set_id(x) for x in found]
             nulls = pa.nulls(len(found), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in found], pa.int64()), pa.array(identities, pa.binary()), nulls, nulls], names=names)
+            yield pa.RecordBatch.from_arrays([*own, pa.array([len(x) for x in found], pa.int64()), pa.array(identities, pa.binary()), nulls, nulls], names=names)
             for identity, hashes in zip(identities, found):
                 if identity not in fresh and fresh[identity] and repeats.add(hashes):
-                    yield counted(repeats)
-        yield counted(repeats)
+                    yield counted()
+        if kinds:
+            yield counted()
 
-    names = ["doc_id", "n_shingles", "set_id", "shingle", "times"]
-    return docs.mapInArrow(work, "doc_id long, n_shingles long, set_id binary, shingle long, times long")
+    kept = [c for c in docs.columns if c != "_text"]
+    names = [*kept, "n_shingles", "set_id", "shingle", "times"]
+    kinds_of = [*(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name in kept), "n_shingles long", "set_id binary", "shingle long", "times long"]
+    return docs.mapInArrow(work, ", ".join(kinds_of))
 
 
 def _frequent(sets: DataFrame, least: int, kept: int) -> tuple[np.ndarray, np.ndarray]:
@@ -284,24 +294,47 @@ def _frequent(sets: DataFrame, least: int, kept: int) -> tuple[np.ndarray, np.nd
     return known.view(np.uint64)[order], times[order]
 
 
-def _signatures(docs: DataFrame, width: int, similarity: Similarity, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """key, node (half of the set's identity): equal keys may mean similar sets. A task skips sets it has met."""
+def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, each with one node that has it (its center), and the distinct edges from other nodes with a key to its center."""
+    order = np.argsort(keys, kind="stable")
+    keys, nodes = keys[order], nodes[order]
+    first = np.r_[np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]
+    centers = nodes[first][np.cumsum(first) - 1]
+    other = nodes != centers
+    u, v = nodes[other], centers[other]
+    order = np.lexsort((v, u))
+    u, v = u[order], v[order]
+    new = np.r_[np.ones(min(1, len(u)), bool), (u[1:] != u[:-1]) | (v[1:] != v[:-1])]
+    return keys[first], nodes[first], u[new], v[new]
+
+
+def _signatures(docs: DataFrame, width: int, similarity: Similarity, frequent: tuple[np.ndarray, np.ndarray], keys_at_once: int = 1 << 20) -> DataFrame:
+    """key, node (half of a set's identity), center. Equal keys may mean similar sets. Where a task meets a key again, center is a node that had it before (and key, of no meaning, is node)."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # bounded by common_kept
 
     def work(batches):
         shingler, signatures = Shingler(width), Signatures(similarity)
-        fresh = Remembered(lambda identity: True)
+        fresh, keys, nodes, held = Remembered(lambda identity: True), [], [], 0
+
+        def found():
+            k, n, u, v = _stars(np.concatenate(keys).view(np.int64), np.concatenate(nodes))
+            return pa.RecordBatch.from_arrays([pa.array(np.r_[k, u]), pa.array(np.r_[n, u]), pa.concat_arrays([pa.nulls(len(k), pa.int64()), pa.array(v)])], names=["key", "node", "center"])
+
         for batch in slices(batches):
-            keys, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for data in batch.column("_text").to_pylist():
                 hashes = shingler.hashes(data)
                 identity = set_id(hashes)
                 if len(hashes) and identity not in fresh and fresh[identity]:
                     keys.append(signatures.keys(hashes, times_of(hashes, shared.value)))
                     nodes.append(np.full(len(keys[-1]), node_of(identity)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["key", "node"])
+                    held += len(keys[-1])
+            if held >= keys_at_once:
+                yield found()
+                keys, nodes, held = [], [], 0
+        if keys:
+            yield found()
 
-    return docs.mapInArrow(work, "key long, node long")
+    return docs.select("_text").mapInArrow(work, "key long, node long, center long")
 
 
 def _maybe_among(rows: DataFrame, chosen: DataFrame, key: str, bits: int = 1 << 25) -> DataFrame:
@@ -398,28 +431,63 @@ def _linked(pairs: DataFrame, similarity: Similarity) -> DataFrame:
     return pairs.groupBy(*_PAIR).applyInArrow(work, "u binary, v binary")
 
 
-def jaccard_components(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10, text: str = "text", sets_at_once: int = 512, shingles_at_once: int = 1_000_000, common_least: int = 8, common_kept: int = 500_000) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document; links are similarities of num/den or more."""
+def _rows_with_root(docs: DataFrame, width: int, num: int, den: int, sets_at_once: int, shingles_at_once: int, common_least: int, common_kept: int) -> DataFrame:
+    """docs (doc_id, _text, and what else tells its rows apart) without _text, with n_shingles and root, the identity of its component (null: no words)."""
     similarity = Similarity(num, den)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("_text"))
+    docs = docs.withColumn("_h", F.xxhash64("_text"))
     rows = settled(_sets(docs, width))
     frequent = _frequent(rows, common_least, common_kept)
-    sets = rows.where("set_id IS NOT NULL").select("doc_id", "n_shingles", "set_id")
-    shared = _signatures(docs, width, similarity, frequent).withColumn("center", F.min("node").over(Window.partitionBy("key")))
+    sets = rows.where("set_id IS NOT NULL").drop("shingle", "times")
+    least_node = F.min(F.when(F.col("center").isNull(), F.col("node"))).over(Window.partitionBy("key", F.col("center").isNull()))
+    shared = _signatures(docs, width, similarity, frequent).withColumn("_least", least_node).select("node", F.coalesce("center", "_least").alias("center"))
     families = settled(components(shared.where("node != center").select(F.col("node").alias("u"), F.col("center").alias("v"))).withColumnRenamed("root", "family"))
 
-    # one document for each set of a family; a null identifier only stands for itself
+    # one row for each set of a family, found again by its identifier and its text's hash
     lowest = F.lit(-(2**63))
     node = F.conv(F.hex(F.substring("set_id", 1, 8)), 16, -10).cast("long")
-    chosen = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).withColumn("node", node).join(families, "node")
-    chosen = settled(chosen.select(F.col("set_id").alias("_wanted"), "family", F.coalesce("doc_id", lowest).alias("_k")))
-    possible = _maybe_among(docs.withColumn("_k", F.coalesce("doc_id", lowest)), chosen, "_k")
-    members = settled(_members(possible.join(chosen, "_k").select("_wanted", "family", "_text"), width, similarity))
+    at = F.struct(F.coalesce("doc_id", lowest).alias("_k"), "_h")
+    chosen = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min(at).alias("at")).withColumn("node", node).join(families, "node")
+    chosen = settled(chosen.select(F.col("set_id").alias("_wanted"), "family", "at._k", "at._h"))
+    possible = _maybe_among(docs.select(F.coalesce("doc_id", lowest).alias("_k"), "_h", "_text"), chosen, "_k")
+    members = settled(_members(possible.join(chosen, ["_k", "_h"]).select("_wanted", "family", "_text"), width, similarity))
     near = settled(_involved(_block_pairs(members.drop("hashes"), similarity, sets_at_once, shingles_at_once), similarity))
     hashes = _maybe_among(members.select("set_id", "hashes"), near.select("set_id").distinct(), "set_id")
     linked = components(settled(_linked(near.join(hashes, "set_id"), similarity)))
 
     known = sets.where("n_shingles > 0").join(linked.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    names = [c for c in docs.columns if c not in ("_text", "_h")]
+    return known.select(*names, "n_shingles", "root").unionByName(sets.where("n_shingles = 0").select(*names, "n_shingles", F.lit(None).cast("binary").alias("root")))
+
+
+_WORK = {"sets_at_once": 512, "shingles_at_once": 1_000_000, "common_least": 8, "common_kept": 500_000}
+
+
+def jaccard_components(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10, text: str = "text", **work) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document; links are similarities of num/den or more. `work` (see _WORK) sets how much a task takes at once, never the result."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), named(text).cast("binary").alias("_text"))
+    rows = _rows_with_root(docs, width, num, den, **_WORK | work)
+    known = rows.where("root IS NOT NULL")
     smallest = settled(known.groupBy("root").agg(F.min("doc_id").alias("component_id")))  # a plain table, so that a large component's side of the join can be split
     linked_docs = known.join(smallest, "root").select("doc_id", "n_shingles", "component_id")
-    return linked_docs.union(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return linked_docs.union(rows.where("root IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def keep_one_each(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10, text: str = "text", **work) -> DataFrame:
+    """The rows of `documents`, one for each component: of the smallest doc_id (null last), then of the smallest text (by its hash), then of the
+    smallest hash of the whole row. Rows without any word stay. What stays does not depend on the order of rows."""
+    columns = list(map(named, documents.columns))
+    doc, mark, rest, whole, times = (unused(x, documents.columns) for x in ("_doc", "_mark", "_rest", "_whole", "_times"))
+    keys = [named("doc_id").cast("long").alias(doc), F.unhex(F.md5(named(text).cast("binary"))).alias(mark), F.xxhash64(*columns).alias(rest)]
+    docs = documents.select(*(k.alias(c) for k, c in zip(keys, ("doc_id", "_mark", "_rest"))), named(text).cast("binary").alias("_text"))
+    rows = _rows_with_root(docs, width, num, den, **_WORK | work)
+    of = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_mark", "_rest")
+    equal = rows.where("root IS NOT NULL").groupBy("root", "doc_id", "_mark", "_rest").agg(F.count("*").alias("times"))
+    first = equal.groupBy("root").agg(F.min(F.struct(of.alias("of"), "times")).alias("first")).select("first.of.doc_id", "first.of._mark", "first.of._rest", "first.times")
+    wordless = rows.where("root IS NULL").select("doc_id", "_mark", "_rest", F.lit(1).cast("long").alias("times")).distinct()
+    kept = settled(first.union(wordless).toDF("_k_doc", "_k_mark", "_k_rest", "_k_times"))
+    kept = kept.select(F.struct("_k_doc", "_k_mark", "_k_rest").alias(whole), F.col("_k_times").alias(times))
+    found = documents.withColumn(whole, F.struct(*(k.alias(f"_k{c}") for k, c in zip(keys, ("_doc", "_mark", "_rest"))))).join(kept, whole)
+    once = found.where(F.col(times) == 1).select(*columns)
+    # of wholly equal rows one stays; they are combined before this shuffle, whatever their number
+    again = found.where(F.col(times) > 1).withColumn(whole, F.struct(whole)).dropDuplicates([whole]).select(*columns)
+    return once.union(again)

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -64,6 +65,61 @@ def test_equals_brute_force(spark, copies, width, num, den):
     assert found(df, width, num, den) == brute(copies, width, num, den)
 
 
+def test_one_key_in_a_third_of_all_sets(spark, copies):
+    """Near copies of one text, each of its own words besides, over many tasks and tiny parts: hot keys and a large star."""
+    base = " ".join(f"h{i}" for i in range(200))
+    rows = copies + [(20_000 + i, f"{base} z{i}") for i in range(len(copies) // 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert found(df, 3, 90, 100, sets_at_once=40) == brute(rows, 3, 90, 100)
+
+
+def test_stars_lose_no_key():
+    rng = np.random.default_rng(4)
+    keys, nodes = rng.integers(0, 40, 500), rng.integers(0, 60, 500)
+    k, n, u, v = jaccard._stars(keys, nodes)
+    assert sorted(k) == sorted(set(keys)) and len(set(zip(u, v))) == len(u)
+    center = dict(zip(k, n))
+    assert {(b, center[a]) for a, b in zip(keys, nodes) if b != center[a]} == set(zip(u, v))
+    assert all(len(x) == 0 for x in jaccard._stars(np.zeros(0, np.int64), np.zeros(0, np.int64)))
+
+
+def one_each(rows, width, num, den):
+    """By brute force: rows (doc_id, text, extra); the first of each component by doc_id, null last, then by md5 of the text."""
+    numbered = [(i, r[1]) for i, r in enumerate(rows)]
+    groups, kept = {}, []
+    for (_, i), n, component in brute(numbered, width, num, den):
+        if n:
+            groups.setdefault(component, []).append(rows[i])
+        else:
+            kept.append(rows[i])
+    order = lambda r: (r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).digest())
+    return kept, {min(map(order, g)) for g in groups.values()}, order
+
+
+def test_keep_one_each_whatever_the_order(spark, copies):
+    base = "a b c d e f g h i j k l"
+    rows = [(3, base, "x"), (5, base, "x"), (5, "quite another text of seven words here", "x"), (None, base, "y"), (None, base, "y"), (None, "nobody else says this sentence of mine", "z")]
+    rows += [(None, "nobody else says this sentence of mine", "z")] * 40 + [(7, "many equal rows of one identifier and text", "q")] * 50 + [(8, "", None), (8, "", None), (9, None, None), (None, None, None)]
+    rows += [(i, t, "c") for i, t in copies[:60]]
+    expected = one_each(rows, 5, 80, 100)
+    results = []
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string, _mark string").repartition(2 + seed)
+        out = jaccard.keep_one_each(df, 5, 80, 100)
+        assert out.columns == df.columns
+        results.append(sorted(map(tuple, out.collect()), key=repr))
+    wordless, firsts, order = expected
+    assert results[0] == results[1] == results[2]
+    assert sorted((r for r in results[0] if not (r[1] or "").split()), key=repr) == sorted(wordless, key=repr)
+    assert sorted(order(r) for r in results[0] if (r[1] or "").split()) == sorted(firsts)
+
+
+def test_keep_one_each_awkward(awkward, nothing):
+    assert sorted((r.doc_id or 0, r.text or "") for r in jaccard.keep_one_each(awkward).collect() if (r.text or "").split()) == sorted({(r.doc_id or 0, r.text) for r in awkward.collect() if (r.text or "").split() and r.doc_id != 8})
+    assert jaccard.keep_one_each(nothing).count() == 0 and jaccard.keep_one_each(nothing).columns == nothing.columns
+
+
 def test_small_blocks_lose_nothing(spark, copies):
     df = spark.createDataFrame(copies, "doc_id long, text string").repartition(4)
     assert found(df, 3, 90, 100, sets_at_once=15) == brute(copies, 3, 90, 100)

@@ -88,10 +88,10 @@ def test_parts_of_few_words_change_nothing(small, model):
 
 def test_clashing_names_stay(spark, small, model):
     """Columns called like the operator's own temporary ones come out unchanged."""
-    df = small.limit(5).selectExpr("doc_id", "text", "1 as _text", "2 as __text", "3 as _lang", "4 as `a b`", "'x' as SCORE_")
+    df = small.limit(5).selectExpr("doc_id", "text", "1 as _text", "2 as __text", "3 as _lang", "4 as a_b", "'x' as SCORE_")
     out = language.identify(df, model)
     assert out.columns == [*df.columns, "lang_pred", "score"]
-    assert {(r._text, r.__getattr__("__text"), r._lang, r["a b"]) for r in out.collect()} == {(1, 2, 3, 4)}
+    assert {tuple(r)[2:7] for r in out.collect()} == {(1, 2, 3, 4, "x")}
 
 
 def test_awkward_rows(awkward, nothing, model):
