@@ -78,16 +78,19 @@ def slices(batches, rows: int = 1000, size: int = 1 << 23, text: str = "_text"):
 
 
 class Remembered(dict):
-    """Values of `compute(key)`, kept for later calls. Beyond `limit` keys, those not asked for since the last time go. A cache, never a cap on results."""
+    """Values of `compute(key)`, kept for later calls. Beyond `limit` keys, those not asked for since the last time go, and keys longer than
+    `longest` are not kept, so the bytes held are bounded. A cache, never a cap on results."""
 
-    def __init__(self, compute, limit: int = 300_000):
+    def __init__(self, compute, limit: int = 300_000, longest: int = 64):
         super().__init__()
-        self.compute, self.limit, self.before = compute, limit, {}
+        self.compute, self.limit, self.longest, self.before = compute, limit, longest, {}
 
     def __missing__(self, key):
         value = self.before.get(key)
         if value is None:
             value = self.compute(key)
+            if len(key) > self.longest:
+                return value
         if len(self) >= self.limit:
             self.before = dict(self)
             self.clear()

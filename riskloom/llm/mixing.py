@@ -4,9 +4,11 @@
    source's words, the excess goes to the others by weight (solved in one pass over the sources in order of limit/weight).
 2. A source's whole copies, floor(target / words), go to each of its documents.
 3. The rest is a sample of fixed size in words: documents are ranked by random odds over inclusion odds, u/(1-u) : p/(1-p).
-   u comes from the identifier's md5, so reruns agree. p/(1-p) is the source's open share f/(1-f) times
-   sqrt(mean words / words): copies beyond the certain ones prefer shorter documents, which keeps more distinct ones and
-   leaves less to one huge document. Taking follows the rank until the source's words are reached; the last document is
+   u comes from the identifier's md5, so reruns agree. p/(1-p) is proportional to sqrt(mean words / words): copies beyond
+   the certain ones prefer shorter documents, which keeps more distinct ones and leaves less to one huge document. The factor
+   that makes the inclusion probabilities times words add up to the open words is one for all of a source's documents, so it
+   does not change their order and need not be solved for; f/(1-f), f being the open share, stands in its place (the realised
+   shares of inclusion are tested against the solved ones). Taking follows the rank until the source's words are reached; the last document is
    taken in part, so a source's words are its target, rounded. Where the rounded rest is the whole source, nothing is left
    to draw: every document is taken once more.
 
@@ -16,8 +18,8 @@ is one row per source, sent to all tasks while their counted number is small and
 of all rows is spread like any other.
 
 Cases: null and empty texts have size 0 and taken 0; a null source is a source of its own; rows that tie in rank,
-identifier and size share what is left equally (rounded down); an empty table gives no rows; a source without words has
-target 0.
+identifier and size share what is left equally (rounded down); very long texts count whole; only doc_id, source and the text
+are read, so extra columns may have any name; an empty table gives no rows; a source without words has target 0.
 """
 
 from __future__ import annotations

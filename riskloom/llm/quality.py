@@ -1,15 +1,17 @@
 """Quality classifier: nearest-neighbour voting in a latent-semantic space.
 
 A text's terms are pairs of adjacent byte classes (64 classes: single lower-case letters, upper case, digits, each ASCII
-mark, blanks, line ends, the rest), words that repeat the one before, and lines that occurred before. Terms weigh
-log(1 + count) times their inverse document frequency and are projected on the leading singular vectors of a sample of
-at most `sample` labelled texts (the first by a hash; a documented bound on what the driver fits and what is broadcast).
-Every text's vector is multiplied with all labelled vectors, in blocks; the `neighbours` of largest cosine vote with their
-label, weighted by a power of the cosine.
-
-Cases: a null or empty text has no terms and gets the labelled share of label 1. Conflicting labels of one document count
-by their rounded mean; null labels are left out; a model without any label scores 0.5. Repeated rows, null identifiers and
-extra columns stay as they are; an empty table gives no rows.
+mark, blanks, line ends, the rest). Terms weigh log(1 + count) times their inverse document frequency and are projected on the
+leading singular vectors of a sample of at most `sample` labelled documents (the first by a hash of their doc_id; a documented
+bound on what the driver fits and what is broadcast). To the projection, of unit length, come two coordinates that pairs cannot
+show: the shares of words and of lines that repeat (a word equal to the one before, a line that occurred before), times
+`repetition`. Every text's vector is multiplied with all labelled vectors, in blocks; the `neighbours` of largest cosine, and
+all that tie with the last of them, vote with their label, weighted by a power of the cosine.
+
+Cases: a null or empty text has no terms and gets the labelled share of label 1. Very long texts count whole. Conflicting labels
+of one document count by their rounded mean; null labels are left out; a model without any label scores 0.5. Of rows that share
+a labelled doc_id, the model learns from one, the text of smallest hash. Repeated rows get equal results; null identifiers and
+extra columns stay as they are, whatever they are called, but for those that the results replace; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import in_training_folds, slices
+from riskloom.llm.common import in_training_folds, named, slices, unused
 
 CLASSES = 64
-EXTRA = 2
-TERMS = CLASSES * CLASSES + EXTRA
+PAIRS = CLASSES * CLASSES
+TERMS = PAIRS + 2
 
 
 def _class_table() -> np.ndarray:
@@ -49,82 +51,93 @@ _TABLE = _class_table()
 
 
 def term_counts(data: bytes) -> np.ndarray:
+    """Counts of pairs, then the shares of repeated words and lines."""
     counts = np.zeros(TERMS, np.float32)
     if data:
         classes = _TABLE[np.frombuffer(data, np.uint8)]
-        counts[: CLASSES * CLASSES] = np.bincount(classes[:-1] * CLASSES + classes[1:], minlength=CLASSES * CLASSES)
+        counts[:PAIRS] = np.bincount(classes[:-1] * CLASSES + classes[1:], minlength=PAIRS)
         words, lines = data.split(), data.splitlines()
-        counts[-2] = sum(map(eq, words, words[1:]))
-        counts[-1] = len(lines) - len(set(lines))
+        counts[-2] = sum(map(eq, words, words[1:])) / max(1, len(words) - 1)
+        counts[-1] = (len(lines) - len(set(lines))) / len(lines)
     return counts
 
 
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+
+
 @dataclass
 class NeighbourModel:
     idf: np.ndarray
-    projection: np.ndarray  # terms x dimensions
-    vectors: np.ndarray  # labelled x dimensions, of unit length
+    projection: np.ndarray  # pairs x dimensions
+    vectors: np.ndarray  # labelled x (dimensions + 2), of unit length
     labels: np.ndarray
     neighbours: int
     power: float
+    repetition: float
+
+    def placed(self, weighted: np.ndarray, shares: np.ndarray) -> np.ndarray:
+        return _unit(np.concatenate([_unit(weighted @ self.projection), self.repetition * shares], axis=1))
 
     def embed(self, counts: np.ndarray) -> np.ndarray:
-        weighted = np.log1p(counts) * self.idf
-        vectors = weighted @ self.projection
-        return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+        return self.placed(np.log1p(counts[:, :PAIRS]) * self.idf, counts[:, PAIRS:])
 
     def score(self, counts: np.ndarray) -> np.ndarray:
         if not len(self.labels):
             return np.full(len(counts), 0.5)
         cosines = self.embed(counts) @ self.vectors.T
         k = min(self.neighbours, len(self.labels))
-        near = np.argpartition(cosines, -k, axis=1)[:, -k:]
-        weights = np.clip(np.take_along_axis(cosines, near, 1), 0, None).astype(float) ** self.power
-        total = weights.sum(axis=1)
-        votes = (weights * self.labels[near]).sum(axis=1) / np.where(total > 0, total, 1)
-        known = (total > 0) & counts.any(axis=1)
+        last = np.partition(cosines, -k, axis=1)[:, -k]
+        row, near = np.nonzero(cosines >= last[:, None] - 1e-6)
+        weights = np.clip(cosines[row, near], 0, None).astype(float) ** self.power
+        total = np.bincount(row, weights, len(counts))
+        votes = np.bincount(row, weights * self.labels[near], len(counts)) / np.where(total > 0, total, 1)
+        known = (total > 0) & counts[:, :PAIRS].any(axis=1)
         return np.clip(np.where(known, votes, self.labels.mean()), 0, 1)
 
 
 def _sparse_terms(df: DataFrame) -> DataFrame:
-    """label and a text's terms as (places, counts) in bytes."""
+    """doc_id, hash, label and a text's terms as (places, counts) in bytes."""
 
     def work(batches):
         for batch in slices(batches):
             counts = [term_counts(x or b"") for x in batch.column("_text").to_pylist()]
             places = [np.flatnonzero(x) for x in counts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), pa.array([p.astype("<u2").tobytes() for p in places], pa.binary()), pa.array([c[p].astype("<f4").tobytes() for c, p in zip(counts, places)], pa.binary())],
-                names=["label", "places", "counts"],
-            )
+            terms = [pa.array([p.astype("<u2").tobytes() for p in places], pa.binary()), pa.array([c[p].astype("<f4").tobytes() for c, p in zip(counts, places)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "hash", "label")), *terms], names=["doc_id", "hash", "label", "places", "counts"])
 
-    return df.mapInArrow(work, "label int, places binary, counts binary")
+    return df.mapInArrow(work, "doc_id long, hash long, label int, places binary, counts binary")
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = 6000, dimensions: int = 48, neighbours: int = 15, power: float = 8.0, text: str = "text") -> NeighbourModel:
+def fit(
+    documents: DataFrame, labels: DataFrame, sample: int = 6000, dimensions: int = 48, neighbours: int = 15, power: float = 8.0, repetition: float = 1.0, text: str = "text"
+) -> NeighbourModel:
     """labels: doc_id, label (0 or 1)."""
     one_each = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.round(F.avg("label")).cast("int").alias("label"))
-    chosen = one_each.orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id").limit(sample)
-    rows = _sparse_terms(documents.select("doc_id", F.col(text).cast("binary").alias("_text")).join(F.broadcast(chosen), "doc_id").select("label", "_text")).limit(2 * sample).collect()
+    chosen = one_each.select(F.col("doc_id").cast("long").alias("doc_id"), "label").orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id").limit(sample)
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), named(text).cast("binary").alias("_text")).join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
+    terms = _sparse_terms(texts.select("doc_id", F.xxhash64("_text").alias("hash"), "label", "_text"))
+    one = F.min_by(F.struct("label", "places", "counts"), F.struct("hash", "places", "counts"))
+    rows = [r.one for r in terms.groupBy("doc_id").agg(one.alias("one")).collect()]  # a row per chosen identifier
     if not rows:
-        return NeighbourModel(np.zeros(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), neighbours, power)
+        return NeighbourModel(np.zeros(PAIRS, np.float32), np.zeros((PAIRS, 1), np.float32), np.zeros((0, 3), np.float32), np.zeros(0), neighbours, power, repetition)
     rows.sort(key=lambda r: (r.places, r.counts, r.label))
     counts = np.zeros((len(rows), TERMS), np.float32)
     for x, r in zip(counts, rows):
         x[np.frombuffer(r.places, "<u2")] = np.frombuffer(r.counts, "<f4")
-    idf = np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(1)
-    weighted = np.log1p(counts, out=counts)  # in place: the driver holds one such table
+    weighted, shares = counts[:, :PAIRS], counts[:, PAIRS:].copy()
+    idf = np.log((1 + len(rows)) / (1 + (weighted > 0).sum(axis=0))).astype(np.float32) + np.float32(1)
+    np.log1p(weighted, out=weighted)  # in place: the driver holds one such table
     weighted *= idf
     weighted /= np.maximum(np.sqrt(np.einsum("ij,ij->i", weighted, weighted)), 1e-12)[:, None]
     # leading right singular vectors by subspace iteration
-    basis = np.random.default_rng(0).standard_normal((TERMS, min(dimensions + 16, len(rows)))).astype(np.float32)
+    basis = np.random.default_rng(0).standard_normal((PAIRS, min(dimensions + 16, len(rows)))).astype(np.float32)
     for _ in range(5):
         basis = np.linalg.qr(weighted.T @ (weighted @ basis))[0]
     _, sizes, right = np.linalg.svd(weighted @ basis, full_matrices=False)
     projection = (basis @ right[:dimensions].T).astype(np.float32)
-    model = NeighbourModel(idf, projection, np.zeros((0, 0), np.float32), np.array([r.label for r in rows], float), neighbours, power)
-    vectors = weighted @ projection
-    model.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    model = NeighbourModel(idf, projection, np.zeros((0, 0), np.float32), np.array([r.label for r in rows], float), neighbours, power, repetition)
+    model.vectors = model.placed(weighted, shares)
     return model
 
 
@@ -132,17 +145,16 @@ def classify(df: DataFrame, model: NeighbourModel, text: str = "text", block: in
     """Adds the score and the predicted label; columns of these names are replaced."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     kept = [c for c in df.columns if c not in into]
+    column = unused("_text", df.columns)
 
     def work(batches):
-        for batch in slices(batches):
-            texts, scores = batch.column("_text"), np.zeros(batch.num_rows)
-            for at in range(0, batch.num_rows, block):
-                part = texts.slice(at, block).to_pylist()
-                scores[at : at + block] = shared.value.score(np.stack([term_counts(x or b"") for x in part]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=[*kept, *into])
-
-    schema = df.select(*(F.col(f"`{c}`") for c in kept), F.lit(0.0).alias(into[0]), F.lit(0).alias(into[1])).schema
-    return df.select(*(F.col(f"`{c}`") for c in kept), F.col(text).cast("binary").alias("_text")).mapInArrow(work, schema)
+        for batch in slices(batches, block, text=column):
+            scores = shared.value.score(np.stack([term_counts(x or b"") for x in batch.column(column).to_pylist()]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=[*kept, *into])
+
+    columns = list(map(named, kept))
+    schema = df.select(*columns, F.lit(0.0).alias(into[0]), F.lit(0).alias(into[1])).schema
+    return df.select(*columns, named(text).cast("binary").alias(column)).mapInArrow(work, schema)
 
 
 def fit_on_folds(documents: DataFrame, labels: DataFrame, **how) -> NeighbourModel:

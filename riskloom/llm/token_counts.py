@@ -6,19 +6,23 @@ remembered per worker, so the automaton runs on new words only.
 
 Vocabulary: pieces that start a word and pieces that go on within it (of the public 32k sentence-piece file those with
 and without the word mark; a bare mark is a piece that stands for a word's start). A word is a run of anything but ASCII
-blanks. A word that the vocabulary cannot cover counts as one unknown token. Null and empty texts count 0; rows are
-taken one by one, so repeated rows and null identifiers stay as they are.
+blanks. A word that the vocabulary cannot cover counts as one unknown token.
+
+Cases: null and empty texts count 0; very long texts and words are read whole; rows are taken one by one, so repeated rows and
+null identifiers stay as they are, and so do extra columns, whatever they are called, but for those that the results replace;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import Remembered, slices
+from riskloom.llm.common import Remembered, named, slices, unused
 
 MARK = "▁"
 
@@ -90,25 +94,30 @@ class LongestMatch:
         return n
 
 
+@lru_cache(maxsize=1)
+def _worker_counts(model_file: str) -> Remembered:
+    """The worker's own automaton and the counts of words it met: both outlive a task, as the worker does."""
+    return Remembered(LongestMatch(load_pieces(model_file)).count)
+
+
 def count_tokens(df: DataFrame, model_file: str, text: str = "text") -> DataFrame:
-    """Adds n_words, n_tokens (unknown words count 1) and n_unknown. The vocabulary file is read by each worker and must lie at the same path everywhere."""
+    """Adds n_words, n_tokens (unknown words count 1) and n_unknown, in the place of text. The vocabulary file is read by each worker and must lie at the same path everywhere."""
+    new = ["n_words", "n_tokens", "n_unknown"]
+    rest = [x for x in df.columns if x not in (text, *new)]
+    column = unused("_text", df.columns)
 
     def work(batches):
-        automaton = LongestMatch(load_pieces(model_file))
-        counts = Remembered(automaton.count)
-        for batch in slices(batches):
+        counts = _worker_counts(model_file)
+        for batch in slices(batches, text=column):
             words, tokens, unknown = [], [], []
-            for data in batch.column("_text").to_pylist():
+            for data in batch.column(column).to_pylist():
                 each = list(map(counts.__getitem__, (data or b"").split()))
                 bad = each.count(-1)
                 words.append(len(each))
                 unknown.append(bad)
                 tokens.append(sum(each) + 2 * bad)
-            kept = [batch.column(i) for i, x in enumerate(batch.schema.names) if x != "_text"]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x, pa.int64()) for x in (words, tokens, unknown))], names=names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(rest))), *(pa.array(x, pa.int64()) for x in (words, tokens, unknown))], names=[*rest, *new])
 
-    new = ["n_words", "n_tokens", "n_unknown"]
-    rest = [x for x in df.columns if x not in (text, *new)]
-    names = [*rest, *new]
-    schema = df.select(*rest, *(F.lit(0).cast("long").alias(x) for x in new)).schema
-    return df.select(*rest, F.col(text).cast("binary").alias("_text")).mapInArrow(work, schema)
+    columns = list(map(named, rest))
+    schema = df.select(*columns, *(F.lit(0).cast("long").alias(x) for x in new)).schema
+    return df.select(*columns, named(text).cast("binary").alias(column)).mapInArrow(work, schema)

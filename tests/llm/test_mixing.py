@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
 from riskloom.llm import mixing
@@ -86,3 +87,20 @@ def test_target_that_rounds_to_the_whole_source(spark, sizes):
 
 def test_nothing(nothing):
     assert mixing.mix(nothing).count() == 0 and mixing.mixed_documents(nothing).count() == 0
+
+
+def test_inclusion_shares_are_those_of_the_solved_odds(spark):
+    """300 equal sources are 300 draws: how often a document is drawn against the probability that its odds, with the factor that adds up to the open words, give."""
+    sizes = np.array([3, 5, 8, 8, 12, 20, 20, 30, 45, 60, 80, 100, 150, 200] * 2)
+    rows = [(s * 100 + i, "w " * int(n), f"s{s:03d}") for s in range(300) for i, n in enumerate(sizes)]
+    taken = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1,), share=1.4)
+    drawn = np.zeros(len(sizes))
+    for r in taken.collect():
+        drawn[r.doc_id % 100] += (r.taken - r.copies * r.size) / r.size / 300
+    odds, low, high = np.sqrt(sizes.mean() / sizes), 1e-6, 1e6
+    for _ in range(200):
+        factor = np.sqrt(low * high)
+        p = factor * odds / (1 + factor * odds)
+        low, high = (factor, high) if p @ sizes < 0.4 * sizes.sum() else (low, factor)
+    assert abs(drawn @ sizes - 0.4 * sizes.sum()) < 1
+    assert np.abs(drawn - p).max() < 0.12 and np.corrcoef(drawn, p)[0, 1] > 0.9
