@@ -10,9 +10,10 @@ from riskloom.llm.common import settled
 
 def _with_least(edges: DataFrame) -> DataFrame:
     """u, v and the least of u's neighbours and u. The minimum is combined before the shuffle. A vertex of many edges is a skewed key of the
-    join only: joined by a struct, both sides get an exchange of their own, which Spark can split; by u, the sums' exchange would serve, which it can't."""
+    join only: joined by a struct, both sides get an exchange of their own, which Spark can split; by u, the sums' exchange would serve, which it can't.
+    Merged, as only merged joins are split, and tables sent to all tasks round after round would fill the driver."""
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.struct("u").alias("_of"), F.least("u", "m").alias("m"))
-    return edges.withColumn("_of", F.struct("u")).join(least, "_of").drop("_of")
+    return edges.withColumn("_of", F.struct("u")).join(least.hint("merge"), "_of").drop("_of")
 
 
 def components(edges: DataFrame) -> DataFrame:
