@@ -1,13 +1,22 @@
-"""Connected components by alternating large and small stars, one settled table of edges per round."""
+"""Connected components by alternating large and small stars. Each half of a round is a settled table of edges, so every plan is a short one."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import settled
 
 
+def _edges(*pairs: Column) -> Column:
+    """Rows u, v of those pairs that are not null, from one pass over a table."""
+    return F.explode(F.filter(F.array(*pairs), lambda x: x.isNotNull())).alias("e")
+
+
+def _edge(u: str, v: str) -> Column:
+    return F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+
+
 def _with_least(edges: DataFrame) -> DataFrame:
     """u, v and the least of u's neighbours and u. The minimum is combined before the shuffle. A vertex of many edges is a skewed key of the
     join only: joined by a struct, both sides get an exchange of their own, which Spark can split; by u, the sums' exchange would serve, which it can't.
@@ -21,10 +30,9 @@ def components(edges: DataFrame) -> DataFrame:
     now = settled(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while True:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).where("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        stars = _with_least(large)
-        small = stars.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(stars.select("u", F.col("m").alias("v")))
+        both = now.select(_edges(_edge("u", "v"), _edge("v", "u"))).select("e.*")
+        large = settled(_with_least(both).where("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        small = _with_least(large).select(_edges(F.when(F.col("v") != F.col("m"), _edge("v", "m")), _edge("u", "m"))).select("e.*")
         now = settled(small.distinct())
         mark = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if mark == before:
