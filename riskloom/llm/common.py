@@ -55,6 +55,19 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    """The rows, as a table in the shared folder. Unlike a checkpoint, it carries nothing of the plan it came from, whose inferred constraints
+    would double from round to round of a loop."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def in_training_folds(doc_id: Column) -> Column:
     """True for documents whose crc32 of the identifier's text, modulo 3, is not 1. A null identifier counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 != 1

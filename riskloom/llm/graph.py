@@ -1,11 +1,11 @@
-"""Connected components by alternating large and small stars. Each half of a round is a settled table of edges, so every plan is a short one."""
+"""Connected components by alternating large and small stars. Each half of a round is a written table of edges, so every plan is a short one."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import settled
+from riskloom.llm.common import removed, shared_path, written
 
 
 def _edges(*pairs: Column) -> Column:
@@ -27,13 +27,21 @@ def _with_least(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: u, v of any one orderable type, in any direction. Gives node, root (the least node of its component) for all nodes of edges between two different nodes."""
-    now = settled(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    spark, paths = edges.sparkSession, []
+
+    def kept(df: DataFrame) -> DataFrame:
+        paths.append(shared_path(spark, "edges"))
+        return written(df, paths[-1])
+
+    now = kept(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while True:
         both = now.select(_edges(_edge("u", "v"), _edge("v", "u"))).select("e.*")
-        large = settled(_with_least(both).where("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = kept(_with_least(both).where("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         small = _with_least(large).select(_edges(F.when(F.col("v") != F.col("m"), _edge("v", "m")), _edge("u", "m"))).select("e.*")
-        now = settled(small.distinct())
+        now = kept(small.distinct())
+        while len(paths) > 1:
+            removed(spark, paths.pop(0))
         mark = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if mark == before:
             break
