@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,9 +79,10 @@ def hash64(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
-def slices(batches, rows: int = 1000, size: int = 1 << 23, text: str = "_text"):
+def slices(batches, rows: int = 1000, size: int = 1 << 22, text: str = "_text"):
     """Arrow batches in parts of at most so many rows and bytes of text (one text, if it is longer), so that a task holds few whole texts as Python objects."""
     for batch in batches:
+        pa.default_memory_pool().release_unused()  # of the batch before
         lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         ends, at = np.cumsum(lengths, dtype=np.int64), 0
         while at < batch.num_rows:

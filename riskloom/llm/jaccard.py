@@ -57,7 +57,7 @@ class Shingler:
 
     def __init__(self, width: int):
         self.width = width
-        self.words = Remembered(lambda word: hash64(word) & (2**64 - 1))
+        self.words = Remembered(lambda word: hash64(word) & (2**64 - 1), 100_000)
 
     def hashes(self, data: bytes | None) -> np.ndarray:
         words = (data or b"").lower().split()
@@ -241,7 +241,7 @@ def links(similarity: Similarity, left: list[np.ndarray], right: list[np.ndarray
 class Repeats:
     """Counts shingles over the sets of a task, a bounded number at a time; gives those that occur in more than one."""
 
-    def __init__(self, at_once: int = 2_000_000):
+    def __init__(self, at_once: int = 1_000_000):
         self.at_once, self.held, self.parts = at_once, 0, []
 
     def add(self, hashes: np.ndarray) -> bool:

@@ -62,9 +62,7 @@ def script_of(letter: str) -> str:
 @cache
 def _letter_kinds() -> np.ndarray:
     """Per code point: 0 no part of a run, 1 part of a run (a word character, but no digit and no underscore), 3 also a letter."""
-    points = list(map(chr, range(0x110000)))
-    in_run = np.fromiter((c.isalnum() and not c.isdecimal() for c in points), bool, len(points))
-    return in_run.astype(np.uint8) + 2 * np.fromiter(map(str.isalpha, points), bool, len(points)).astype(np.uint8)
+    return np.fromiter((2 * c.isalpha() + (c.isalnum() and not c.isdecimal()) for c in map(chr, range(0x110000))), np.uint8, 0x110000)
 
 
 def gram_key(gram: str) -> int:
@@ -97,8 +95,12 @@ class LanguageModel:
         place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
         return self.scores[order - 1][np.where(known[place] == keys, place, len(known))]
 
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def words(self, words: list[str], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
         """Per word: a score for each language; number of letters and number of those in runs of a known script."""
+        parts = [self._words(words[i : i + at_once]) for i in range(0, max(1, len(words)), at_once)]
+        return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         total, counts = np.zeros((len(words), len(self.languages)), np.float32), np.zeros((len(words), 2), np.int64)
         codes = np.frombuffer("\n".join(["", *words, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
         kinds = _letter_kinds()[codes]
