@@ -76,3 +76,18 @@ def interval_left_bound(label: Column) -> Column:
     bound = F.regexp_extract(label, r"^[(\[]([^,]+),", 1)
     number = F.when(bound == "-inf", F.lit(-math.inf)).otherwise(bound.try_cast("double"))
     return F.when(label == "zero", F.lit(0.0)).when(label == "missing", F.lit(math.inf)).otherwise(number)
+
+
+def steps(value: Column, bounds: list[float], inclusive: bool) -> Column:
+    """How many of the rising bounds a value reaches (inclusive) or passes: a balanced tree of CASE, so some log2(n) comparisons a row. A null value reaches none."""
+    if not bounds:
+        return F.lit(0)
+
+    def tree(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        reached = value >= F.lit(bounds[middle]) if inclusive else value > F.lit(bounds[middle])
+        return F.when(reached, tree(middle + 1, high)).otherwise(tree(low, middle))
+
+    return tree(0, len(bounds))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.functions.scalars import ratio
+from riskloom.functions.scalars import ratio, steps
 
 SCORE_BUCKETS = 1000
 CALIBRATION_EDGES = [0.0, 0.1, 0.3, 0.5, 0.7, 0.9, 1.0]
@@ -60,7 +60,7 @@ def evaluate(scores: DataFrame, threshold: float = 0.5, p: str = "p", y: str = "
 
 def calibration(scores: DataFrame, p: str = "p", y: str = "y", edges: list[float] = CALIBRATION_EDGES) -> DataFrame:
     """Right-closed bins, the first with its left edge."""
-    number = F.size(F.filter(F.array(*map(F.lit, edges[1:-1])), lambda e: F.col(p) > e))
+    number = steps(F.col(p), edges[1:-1], inclusive=False)
     return scores.groupBy(number.alias("bin")).agg(F.count("*").alias("n"), F.avg(y).alias("observed"), F.avg(p).alias("mean_p")).orderBy("bin")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.functions.scalars import ratio
+from riskloom.functions.scalars import ratio, steps
 from riskloom.operators.metrics import with_rates
 
 COST_RATIOS = [1, 5, 10, 20, 50]
@@ -17,9 +17,9 @@ def linspace(count: int = 99, first: float = 0.01, last: float = 0.99) -> list[f
 
 def sweep(scores: DataFrame, p: str = "p", y: str = "y", thresholds: list[float] | None = None) -> DataFrame:
     """Confusion and rates per threshold (p >= threshold alarms). A score counts once, under the number of thresholds it reaches; sums from above give the rest."""
-    values = thresholds or linspace()
+    values = sorted(thresholds or linspace())
     spark = scores.sparkSession
-    reached = F.size(F.filter(F.array(*map(F.lit, values)), lambda t: F.col(p) >= t))
+    reached = steps(F.col(p), values, inclusive=True)
     counts = scores.groupBy(reached.alias("reached")).agg(F.sum(F.col(y)).cast("long").alias("pos"), F.sum(1 - F.col(y)).cast("long").alias("neg"))
     table = spark.createDataFrame([(i, t) for i, t in enumerate([0.0, *values])], "reached int, t double").join(counts, "reached", "left")
     onward = Window.orderBy("reached").rowsBetween(0, Window.unboundedFollowing)  # a row per threshold

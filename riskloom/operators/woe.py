@@ -84,10 +84,12 @@ def woe_table(binned: DataFrame, label: str, bins: list[str], p: WoeParameters =
     )
 
 
-def numeric_order(table: DataFrame) -> DataFrame:
-    """Adds position: bins by left bound (zero at 0), missing last."""
-    key = F.when(F.col("bin_kind") == MISSING, 2).otherwise(F.when(F.col("bin_kind") == ZERO, 0).otherwise(1))
-    return table.withColumn("position", F.row_number().over(Window.partitionBy("feature").orderBy(key, "bin_number")))
+def numeric_order(table: DataFrame, edges: DataFrame) -> DataFrame:
+    """Adds position: bins by left bound, missing last. The first interval is open below; zero's own bin stands at 0, before an interval that starts there. A row of edges per feature."""
+    bounds = F.broadcast(edges.select("feature", F.col("interior").alias("_interior")))
+    low = F.when(F.col("bin_kind") != INTERVAL, 0.0).when(F.col("bin_number") > 0, F.try_element_at("_interior", F.col("bin_number"))).otherwise(float("-inf"))
+    key = [F.col("bin_kind") == MISSING, low, F.col("bin_kind") != ZERO, "bin_number"]
+    return table.join(bounds, "feature").withColumn("position", F.row_number().over(Window.partitionBy("feature").orderBy(*key))).drop("_interior")
 
 
 def category_order(table: DataFrame) -> DataFrame:
@@ -128,7 +130,7 @@ class WoeModel:
             long = long_numeric(df, numeric, [label])
             edges = [r.asDict() for r in fit_edges(long, p).collect()]  # a row per feature
             fitted = df.sparkSession.createDataFrame([(e["feature"], e["use_zero"], e["edges"], e["interior"]) for e in edges], "feature string, use_zero boolean, edges array<double>, interior array<double>")
-            tables.append(numeric_order(woe_table(assign_bins(long, fitted), label, ["bin_kind", "bin_number"], p)).withColumn("category", F.lit(None).cast("string")))
+            tables.append(numeric_order(woe_table(assign_bins(long, fitted), label, ["bin_kind", "bin_number"], p), fitted).withColumn("category", F.lit(None).cast("string")))
         if strings:
             long = long_strings(df, list(strings), [label])
             kept_df = kept_categories(long, p)

@@ -307,10 +307,11 @@ def woe_table_categories(spark, sf_dir):
     return woe.woe_table(binned, "flag", ["bin_kind", "category"], p).select("feature", "bin_kind", "category", *_WOE_NAMES)
 
 
-@query(f"""WITH {_LINE_WOE} SELECT feature, CAST(row_number() OVER (PARTITION BY feature ORDER BY CASE bin_kind WHEN 'missing' THEN 2 WHEN 'zero' THEN 0 ELSE 1 END, bin_number) AS INTEGER) AS position, bin_kind, bin_number, {_WOE_COLUMNS} FROM woe""")
+@query(f"""WITH {_LINE_WOE} SELECT feature, CAST(row_number() OVER (PARTITION BY feature ORDER BY bin_kind = 'missing',
+  CASE WHEN bin_kind <> 'interval' THEN 0e0 WHEN bin_number > 0 THEN edges[bin_number + 1] ELSE -1e308 END, bin_kind <> 'zero', bin_number) AS INTEGER) AS position, bin_kind, bin_number, {_WOE_COLUMNS} FROM woe JOIN edges USING (feature)""")
 def woe_table(spark, sf_dir):
-    _, _, t = _line_tables(spark, sf_dir)
-    return woe.numeric_order(t).select("feature", "position", "bin_kind", "bin_number", *_WOE_NAMES)
+    _, edges, t = _line_tables(spark, sf_dir)
+    return woe.numeric_order(t, edges).select("feature", "position", "bin_kind", "bin_number", *_WOE_NAMES)
 
 
 @query(f"WITH {_LINE_WOE} SELECT CAST(row_number() OVER (ORDER BY iv DESC, feature) AS INTEGER) AS rank, feature, round(iv, 6) AS iv, {BAND} AS band, n_bins FROM iv")
@@ -335,10 +336,9 @@ _WOE_OF = "(SELECT max(w.woe) FROM woe w WHERE w.feature = b.feature AND w.bin_k
 
 
 @query(f"""WITH {_LINE_WOE}, m AS (SELECT b.feature, b.v, b.y, w.woe FROM binned b JOIN woe w USING (feature, bin_kind, bin_number))
-SELECT feature, round(v, 6) AS value, count(*) AS n, round(avg(woe), 6) AS woe FROM m WHERE feature <> 'l_extendedprice' GROUP BY ALL""")
+SELECT feature, round(v, 6) AS value, count(*) AS n, round(avg(woe), 6) AS woe FROM m GROUP BY ALL""")
 def woe_transform(spark, sf_dir):
-    df = line_flags(spark, sf_dir)
-    names = [f for f in LINE_FEATURES if f != "l_extendedprice"]
+    df, names = line_flags(spark, sf_dir), LINE_FEATURES
     out = woe.WoeModel.fit(df, LINE_FEATURES, "y").transform(df, "_woe")
     pairs = F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("value"), F.col(f"{f}_woe").alias("woe")) for f in names))
     return out.select(F.explode(pairs).alias("r")).select("r.*").groupBy("feature", "value").agg(F.count("*").alias("n"), F.avg("woe").alias("woe"))
@@ -526,10 +526,10 @@ def risk_scores(spark, sf_dir):
 _PHI = RISK_CTE + ", phi AS (" + " UNION ALL ".join(f"SELECT row_id, '{f}' AS feature, CAST({f} AS DOUBLE) AS value, {b:.8f}e0 * ({f} - avg({f}) OVER ()) AS phi FROM risk" for f, b in RISK.items()) + ")"
 
 
-@query(f"WITH {_PHI}, t AS (SELECT feature, avg(abs(phi)) AS a, avg(phi) AS m FROM phi GROUP BY feature) SELECT feature, round(a, 6) AS mean_abs, abs(round(m, 6)) AS mean, CAST(row_number() OVER (ORDER BY a DESC, feature) AS INTEGER) AS rank FROM t")
+@query(f"WITH {_PHI}, t AS (SELECT feature, avg(abs(phi)) AS a, avg(phi) AS m FROM phi GROUP BY feature) SELECT feature, round(a, 6) AS mean_abs, round(CASE WHEN abs(m) < 1e-6 THEN 0 ELSE m END, 6) AS mean, CAST(row_number() OVER (ORDER BY a DESC, feature) AS INTEGER) AS rank FROM t")
 def linear_shap_global(spark, sf_dir):
     t = explain.global_importance(explain.linear_shap(risk_scores(spark, sf_dir), "row_id", RISK))
-    return t.withColumn("mean", F.abs(F.round("mean", 6)))
+    return t.withColumn("mean", F.when(F.abs("mean") < 1e-6, 0.0).otherwise(F.col("mean")))
 
 
 @query(f"""WITH {_PHI} SELECT row_id, feature, round(value, 6) AS value, round(phi, 6) AS phi, CASE WHEN phi > 0 THEN 'towards positive' ELSE 'towards negative' END AS direction, CAST(row_number() OVER (ORDER BY abs(phi) DESC, feature) AS INTEGER) AS place FROM phi WHERE row_id = 7""")
@@ -537,7 +537,8 @@ def linear_shap_local(spark, sf_dir):
     return explain.local_explanation(explain.linear_shap(risk_scores(spark, sf_dir), "row_id", RISK), "row_id", 7)
 
 
-@query("SELECT CAST(0 AS DOUBLE) AS max_error, true AS passed")
+@query(f"""WITH {_PHI}, b AS (SELECT avg({RISK_SQL}) AS base FROM risk), s AS (SELECT row_id, sum(phi) AS total FROM phi GROUP BY row_id),
+e AS (SELECT max(abs(b.base + s.total - ({RISK_SQL}))) AS error FROM risk JOIN s USING (row_id), b) SELECT round(error, 6) AS max_error, error < 1e-6 AS passed FROM e""")
 def shap_additivity(spark, sf_dir):
     df = risk_scores(spark, sf_dir).withColumn("p", scalars.sigmoid(explain.linear_margin(RISK, RISK_INTERCEPT)))
     return explain.additivity(explain.linear_shap(df, "row_id", RISK), explain.linear_base(df, RISK, RISK_INTERCEPT), df, "row_id").select("max_error", "passed")
@@ -549,11 +550,11 @@ def representative_rows(spark, sf_dir):
 
 
 @query(f"""WITH {_PHI}, t AS (SELECT feature, avg(CASE WHEN r.tok_n IS NULL THEN phi END) AS a, avg(phi) AS m FROM phi JOIN risk r USING (row_id) GROUP BY feature)
-SELECT feature, round(a, 6) AS mean_marked, abs(round(m, 6)) AS mean_all, CAST(row_number() OVER (ORDER BY abs(a) DESC, feature) AS INTEGER) AS place FROM t""")
+SELECT feature, round(a, 6) AS mean_marked, round(CASE WHEN abs(m) < 1e-6 THEN 0 ELSE m END, 6) AS mean_all, CAST(row_number() OVER (ORDER BY abs(a) DESC, feature) AS INTEGER) AS place FROM t""")
 def shell_row_attribution(spark, sf_dir):
     df = risk_scores(spark, sf_dir)
     t = explain.conditional_importance(explain.linear_shap(df, "row_id", RISK), df.where("tok_n IS NULL"), "row_id")
-    return t.withColumn("mean_all", F.abs(F.round("mean_all", 6)))
+    return t.withColumn("mean_all", F.when(F.abs("mean_all") < 1e-6, 0.0).otherwise(F.col("mean_all")))
 
 
 @query(f"""WITH {_PHI} SELECT round(max(b.base), 6) AS base, round(sum(phi), 6) AS total, round(max(b.base) + sum(phi), 6) AS margin, round(1 / (1 + exp(-(max(b.base) + sum(phi)))), 6) AS p

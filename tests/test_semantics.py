@@ -18,7 +18,7 @@ LONG = "feature string, v double, y int"
 def table_of(spark, values, p=woe.WoeParameters()):
     long = spark.createDataFrame([("f", v, y) for v, y in values], LONG)
     edges = woe.fit_edges(long, p)
-    return woe.numeric_order(woe.woe_table(woe.assign_bins(long, edges), "y", ["bin_kind", "bin_number"], p)).orderBy("position").collect()
+    return woe.numeric_order(woe.woe_table(woe.assign_bins(long, edges), "y", ["bin_kind", "bin_number"], p), edges).orderBy("position").collect()
 
 
 def test_an_edge_belongs_to_the_lower_bin(spark):
@@ -37,13 +37,30 @@ def test_an_edge_belongs_to_the_lower_bin(spark):
         ([(0.0, 1), (0.0, 0)], ["zero"]),
         ([(None, 1), (None, 0)], ["missing"]),
         ([(0.0, 1), (1.0, 0), (1.0, 1)], ["zero", "whole"]),
-        ([(0.0, 0), (2.0, 1), (3.0, 0), (None, 1)], ["zero"] + ["interval"] * 2 + ["missing"]),
+        ([(0.0, 0), (2.0, 1), (3.0, 0), (None, 1)], ["interval", "zero", "interval", "missing"]),
     ],
 )
 def test_degenerate_bins(spark, values, kinds):
     assert [r.bin_kind for r in table_of(spark, values)] == kinds
 
 
+def test_bins_stand_in_the_order_of_their_left_bounds(spark):
+    values = [(float(i), i % 2) for i in range(-50, 51) if i] + [(0.0, 1)] * 20 + [(None, 0)]
+    rows = table_of(spark, values)
+    edges = woe.fit_edges(spark.createDataFrame([("f", v, y) for v, y in values], LONG)).first().interior
+    low = [0.0 if r.bin_kind == "zero" else float("inf") if r.bin_kind == "missing" else edges[r.bin_number - 1] if r.bin_number else float("-inf") for r in rows]
+    assert low == sorted(low) and 0 < [r.bin_kind for r in rows].index("zero") < len(rows) - 2 and rows[-1].bin_kind == "missing"
+
+
+def test_steps_count_bounds(spark):
+    bounds = [0.1, 0.2, 0.5, 0.9]
+    df = spark.createDataFrame([(x,) for x in (None, -1.0, 0.1, 0.15, 0.2, 0.5, 0.91)], "v double")
+    got = df.select("v", scalars.steps(F.col("v"), bounds, True).alias("reached"), scalars.steps(F.col("v"), bounds, False).alias("passed"), scalars.steps(F.col("v"), [], True).alias("none")).collect()
+    for r in got:
+        known = r.v is not None
+        assert (r.reached, r.passed, r.none) == (sum(known and r.v >= b for b in bounds), sum(known and r.v > b for b in bounds), 0)
+
+
 def test_zero_bin_needs_its_share(spark):
     rare = [(0.0, 0)] * 4 + [(float(i), i % 2) for i in range(1, 97)]
     assert "zero" not in [r.bin_kind for r in table_of(spark, rare)]
@@ -154,9 +171,11 @@ def test_sweep_properties(spark):
     assert not plan[0.0].feasible and "0.0 %" in plan[0.0].reason and plan[0.5].threshold == min(r.threshold for r in rows if r.alert_rate <= 0.5)
 
 
-def test_published_costs_add_up():
-    for ratio, fn, fp, cost in ((1, 229, 61, 290), (5, 60, 419, 719), (10, 54, 463, 1003), (20, 32, 748, 1388), (50, 26, 1003, 2303)):
-        assert ratio * fn + fp == cost
+def test_published_costs(spark):
+    """Published confusion counts and their costs at a false alarm's cost of 1."""
+    rows = [(1, 229, 61, 290), (5, 60, 419, 719), (10, 54, 463, 1003), (20, 32, 748, 1388), (50, 26, 1003, 2303)]
+    table = thresholds.with_cost(spark.createDataFrame(rows, "ratio int, fn long, fp long, expected int"), F.col("ratio"), 1)
+    assert all(r.cost == r.expected for r in table.collect())
 
 
 CATALOG = FeatureCatalog("k", "y", "i", (Feature("a", "g"), Feature("b", "g"), Feature("c", "g"), Feature("s", "g")))
