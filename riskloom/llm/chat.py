@@ -6,7 +6,9 @@ hash is an earlier one of another conversation, at the same position, is a prefi
 conversations the one with the smallest conv_id stays. Only DataFrame operations are used.
 
 Turns are ordered by turn (null first), then role, then text. A null role is `unknown`, a null text is empty. Rows without
-conv_id belong to no conversation and are left out. `<|` in a text is written `<\\u200b|`, so that no text can forge a mark.
+conv_id belong to no conversation and are left out. Repeated rows are turns of their own. Very long texts are rendered whole; a
+conversation is rendered as one row, so its turns meet in one task. Only conv_id, turn, role and text are read, so extra columns
+may have any name; an empty table gives no rows. `<|` in a text is written `<\\u200b|`, so that no text can forge a mark.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ all five filters of the format.
 
 Cases: a null payload is an empty one. An empty payload becomes one row of blanks. A broken image (bad signature,
 checksum, chunk order, size or filter) raises `BadImage`. Images that the reader does not cover (interlaced, palette,
-other depths than 8) raise it too. Null identifiers and repeated rows pass through, row by row.
+other depths than 8) raise it too. Very long texts make tall images, none is cut. Null identifiers and repeated rows pass
+through, row by row; only doc_id and the text are read, so extra columns may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -162,7 +163,7 @@ def store_png(df: DataFrame, payload: str = "payload", media: str = "media") ->
     """Adds the column `media`: the binary column `payload` as an image; the payload's own length goes to `n_bytes`."""
 
     def work(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, text=payload):
             payloads = batch.column(payload).to_pylist()
             images = [encode_png(padded(x or b"")) for x in payloads]
             kept = [batch.column(i) for i, x in enumerate(batch.schema.names) if x != payload]
@@ -185,7 +186,7 @@ def read_png(df: DataFrame, media: str = "media") -> DataFrame:
     fields = [x.split(" ") for x in new.split(", ")]
 
     def work(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, text=media):
             found = list(zip(*map(describe, batch.column(media).to_pylist()))) or [[]] * len(fields)
             kept = [batch.column(i) for i, x in enumerate(batch.schema.names) if x != media]
             arrays = [pa.array(x, pa.int64() if kind == "long" else pa.string()) for x, (_, kind) in zip(found, fields)]

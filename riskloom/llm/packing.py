@@ -7,8 +7,10 @@ onto the emptiest of another, the two of largest spread first. If a window excee
 with one window more. A pool's limit leaves a small share of `slack`, so one window more is seldom needed. Memory is one
 pool per task, whatever the corpus; there is no shuffle, and a lost task packs the same pieces again.
 
-Cases: a null or empty text has only its end id and is packed as such; repeated rows are packed each on its own; an empty
-table gives no rows. Sequence ids are unique (partition, then number within it), not dense.
+Cases: a null or empty text has only its end id and is packed as such; very long texts are read whole, their full sequences one
+by one; repeated rows are packed each on its own; only doc_id and the text are read, so extra columns may have any name; an empty
+table gives no rows. Sequence ids are unique (partition, then number within it), not dense; they, and where a document is cut,
+depend on how the input's files are split.
 """
 
 from __future__ import annotations

@@ -10,8 +10,10 @@ still be among a query's k best; these possible members, all of them, are scored
 processed, and every possible member is scored all the same.
 
 Cases: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows without identifier;
-vectors of different lengths never meet. A candidate with the query's own identifier is skipped. Ties go to the smaller
-identifier. Equal rows each count. Scores are exact while |floor(scale * x)| < 2**28 for up to 64 components. Empty tables
+vectors of different lengths never meet. Rows that repeat both identifier and vector count once (they are combined before the
+shuffle, so no group holds them all). Rows that share an identifier only are each a candidate, and each a query with ranks of
+its own. A candidate with the query's own identifier is skipped. Ties go to the smaller identifier, then to the smaller
+vector. Only vec_id and embedding are read, so extra columns may have any name. Scores are exact while |floor(scale * x)| < 2**28 for up to 64 components. Empty tables
 give no rows.
 """
 
@@ -87,47 +89,48 @@ def quantised(vectors: DataFrame, scale: int) -> DataFrame:
         vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0))
         .where(whole)
         .select("vec_id", F.size("embedding").alias("dims"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("x"))
+        .distinct()
     )
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, levels: int = 12, candidates_at_once: int = 8192, queries_at_once: int = 2048, block: int = 128) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of `vectors` that is_query holds for, the k best of all other rows."""
     rows = settled(quantised(vectors, scale))
-    asked = rows.where(is_query).distinct()
+    asked = rows.where(is_query)
     groups = lambda df, most: max(1, math.ceil(df.count() / most))
     n_candidates, n_queries = groups(rows, candidates_at_once), groups(asked, queries_at_once)
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     own = lambda n: F.pmod(F.xxhash64("vec_id", "x"), F.lit(n)).cast("int")
     candidates = rows.withColumn("c", own(n_candidates)).withColumn("q", spread(n_queries))
-    wanted = asked.withColumn("q", own(n_queries)).withColumn("c", spread(n_candidates))
+    wanted = asked.withColumn("key", F.xxhash64("x")).withColumn("q", own(n_queries)).withColumn("c", spread(n_candidates))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = [(np.zeros(0, np.int64),) * 3]
+        found = [(np.zeros(0, np.int64),) * 4]
         if len(left) and len(right):
             index = ImpactIndex(left["vec_id"].to_numpy(np.int64), np.stack(left["x"].to_numpy()).astype(np.int64), levels)
             ids, queries = right["vec_id"].to_numpy(np.int64), np.stack(right["x"].to_numpy()).astype(np.int64)
             for a in range(0, len(ids), block):
                 which, docs, scores = index.search(ids[a : a + block], queries[a : a + block], k)
-                found.append((ids[a:][which], index.ids[docs], scores))
-        return pd.DataFrame({name: np.concatenate(x) for name, x in zip(("query_id", "vec_id", "score"), zip(*found))})
+                found.append((ids[a:][which], right["key"].to_numpy(np.int64)[a:][which], index.ids[docs], scores))
+        return pd.DataFrame({name: np.concatenate(x) for name, x in zip(("query_id", "key", "vec_id", "score"), zip(*found))})
 
-    found = candidates.groupBy("c", "q", "dims").cogroup(wanted.groupBy("c", "q", "dims")).applyInPandas(meet, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = candidates.groupBy("c", "q", "dims").cogroup(wanted.groupBy("c", "q", "dims")).applyInPandas(meet, "query_id long, key long, vec_id long, score long")
+    best = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 #: The same rows for k = 5, scale = 256 and queries whose vec_id 50 divides.
 ORACLE_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
   FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), p AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, q.x AS key, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
   FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 50 = 0
 ), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, key ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -12,8 +12,10 @@ a sparse index, a Bloom filter and a footer. All of Spark's commit protocol and
     filter  probes u8, then the bits
     footer  index position u64, filter position u64, block count u32, documents u64, ids u64, shard u32, bytes per id u8, b"SSTTOK1"
 
-Cases: a null text is an empty one and keeps its end id; rows of one identifier all stay (ordered by their text's hash);
-an empty table gives no shards with blocks and an empty result. A damaged file raises `BadShard`.
+Cases: a null text is an empty one and keeps its end id; very long texts are read whole and make a block of their own; rows of
+one identifier all stay (ordered by their text's hash); only doc_id and the text are read, so extra columns may have any name;
+an empty table gives no shards with blocks and an empty result. An id that does not fit `id_bytes` raises, as does a damaged
+file (`BadShard`).
 """
 
 from __future__ import annotations
@@ -76,6 +78,8 @@ class ShardWriter:
         else:
             while shared < min(len(key), len(self.last)) and key[shared] == self.last[shared]:
                 shared += 1
+        if len(ids) and int(ids.max()) >> (8 * self.id_bytes):
+            raise ValueError(f"an id does not fit {self.id_bytes} bytes; take id_bytes=4")
         value = ids.astype(f"<u{self.id_bytes}").tobytes()
         self.block += RECORD.pack(shared, len(key) - shared, len(value)) + key[shared:] + value
         self.last, self.docs, self.ids = key, self.docs + 1, self.ids + len(ids)

@@ -33,6 +33,22 @@ def test_test_table(spark):
     assert got == brute([(r.vec_id, list(r.embedding)) for r in df.collect()], 5)
 
 
+def test_repeated_identifiers(spark):
+    """A third of all rows are one row, which counts once; rows of one identifier with different vectors are candidates and queries of their own."""
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(60)]
+    rows += [rows[3]] * 40 + [rows[50]] * 5 + [(50, rng.normal(size=4).tolist()), (7, rng.normal(size=4).tolist())]
+    df = spark.createDataFrame([(i, v, 1, 1, 1) for i, v in rows], SCHEMA)
+    vectors = sorted({(i, tuple(np.floor(256 * np.array(v, np.float32).astype(float)).astype(int).tolist())) for i, v in rows})
+    expected = []
+    for i, v in vectors:
+        if i % 50 == 0:
+            best = sorted((-int(np.dot(v, w)), j) for j, w in vectors if j != i)[:5]
+            expected += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    got = [tuple(r) for r in search.top_k(df, F.col("vec_id") % 50 == 0, candidates_at_once=20, block=2).collect()]
+    assert sorted(got) == sorted(expected)
+
+
 @pytest.mark.parametrize("levels", [1, 3, 12])
 def test_index_alone(levels):
     rng = np.random.default_rng(levels)

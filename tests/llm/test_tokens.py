@@ -141,3 +141,10 @@ def test_differencing_is_near_equal_and_count_rises():
     sums = [sum(sizes[i] for i in w) for w in dealt]
     assert max(sums) - min(sums) <= 8
     assert len(packing.deal([6, 6, 6], 10)) == 3 and [sorted(w) for w in packing.deal([5, 5], 10)] == [[0, 1]]
+
+
+def test_ids_that_do_not_fit_are_refused():
+    writer = sstable.ShardWriter(0, 2, 1000)
+    list(writer.add(1, np.array([65_535], np.uint32)))
+    with pytest.raises(ValueError):
+        list(writer.add(2, np.array([65_536], np.uint32)))
