@@ -371,9 +371,11 @@ def _block_pairs(members: DataFrame, similarity: Similarity, sets_at_once: int,
     """Members once for each pair of blocks they belong to: low band, low block, high band, high block, is_low. Only sets of a size that may be similar to one beyond a band's end meet the next band."""
     blocks = members.groupBy("family", "band").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / sets_at_once), F.ceil(F.sum("n") / shingles_at_once)).cast("int").alias("blocks"))
     near = [blocks.select("family", (F.col("band") + d).alias("band"), F.col("blocks").alias(name)) for d, name in ((-1, "above"), (1, "below"))]
-    placed = members.join(blocks, ["family", "band"]).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    sizes = blocks
     for df in near:
-        placed = placed.join(df, ["family", "band"], "left")
+        sizes = sizes.join(df, ["family", "band"], "left")
+    # one join with a plain table, so that a large family's side of it can be split
+    placed = members.join(settled(sizes), ["family", "band"]).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     band, block = F.col("band"), F.col("block")
 
     def pair(low_band, low, high_band, high, is_low):
