@@ -20,6 +20,7 @@ from riskloom.plans.fixtures import ADDRESS_CATALOG as CATALOG
 from riskloom.plans.fixtures import ADDRESS_SQL, DOCS_SQL, LINE_FEATURES, LINES_SQL, RISK, RISK_INTERCEPT, address_profile, labeled_docs, line_flags, scored_lines, table
 from riskloom.plans.woe_sql import BAND, categorical, numeric
 from riskloom.session import scratch_path
+from riskloom.sources.readers import read_csv
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -66,6 +67,15 @@ def scan_project(spark, sf_dir):
     return t.where((F.col("l_returnflag") == "R") & ~(F.col("l_tax") == 0)).select("l_orderkey", "l_partkey", "l_extendedprice", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"))
 
 
+@query("SELECT n_nationkey AS id, n_name AS name, CAST(n_nationkey AS DOUBLE) / 4 AS share FROM nation")
+def csv_scan(spark, sf_dir):
+    """A CSV written with blanks around its names and NaN for a missing number, and read back."""
+    path = scratch_path(spark, "csv")
+    t = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias(" id"), F.col("n_name").alias("name "), (F.col("n_nationkey").cast("double") / 4).alias(" share "))
+    t.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return read_csv(spark, path).withColumn("id", F.col("id").cast("long"))
+
+
 @query(f"WITH {ADDRESS_SQL} SELECT * REPLACE (round(min_val, 6) AS min_val) FROM address")
 def address_view(spark, sf_dir):
     return address_profile(spark, sf_dir)
@@ -403,6 +413,12 @@ def permuted_labels(spark, sf_dir):
     return folds.permuted_labels(address_profile(spark, sf_dir), "row_id", "flag")
 
 
+@query(f"WITH {ADDRESS_SQL} SELECT flag, count(*) AS n, count(DISTINCT row_id) AS n_rows FROM address GROUP BY flag")
+def permuted_label_counts(spark, sf_dir):
+    """Dealing labels anew keeps how many there are of each, and gives every row one."""
+    return folds.permuted_labels(address_profile(spark, sf_dir), "row_id", "flag").groupBy("flag").agg(F.count("*").alias("n"), F.countDistinct("row_id").alias("n_rows"))
+
+
 # ---- metrics
 
 _GROUPS = f"{LINES_SQL}, g AS (SELECT p, CAST(sum(y) AS DOUBLE) AS pos, CAST(sum(1 - y) AS DOUBLE) AS neg FROM lines GROUP BY p)"
@@ -614,15 +630,70 @@ def oof_scores(spark, sf_dir):
     return models.out_of_fold(_model_rows(spark, sf_dir), models.LOGISTIC, MODEL_FEATURES, "doc_id", "junk")
 
 
+@query("""SELECT CAST(1 - quality AS INTEGER) AS junk, CAST(i AS INTEGER) AS fold, CAST((count(*) - i + 4) // 5 AS BIGINT) AS n, CAST((count(*) - i + 4) // 5 AS BIGINT) AS n_scored
+FROM labels JOIN documents USING (doc_id), range(5) AS r(i) GROUP BY quality, i""")
+def oof_fold_sizes(spark, sf_dir):
+    """Rows per class and fold, and those of them with a probability from the model that never saw them."""
+    scores = models.out_of_fold(_model_rows(spark, sf_dir), models.LOGISTIC, MODEL_FEATURES, "doc_id", "junk")
+    return scores.groupBy(F.col("junk").cast("int").alias("junk"), "fold").agg(F.count("*").alias("n"), F.count_if(F.col("p").between(0, 1)).alias("n_scored"))
+
+
+@query()
+def oof_capacity_plan(spark, sf_dir):
+    """Out-of-fold scores through sweep, cost and capacity: per cap the lowest threshold that keeps it, and its cost at 20 : 1."""
+    scores = models.out_of_fold(_model_rows(spark, sf_dir), models.LOGISTIC, MODEL_FEATURES, "doc_id", "junk")
+    plan = thresholds.capacity(thresholds.with_cost(thresholds.sweep(scores, "p", "junk"), 20.0, 1.0), _CAPS)
+    return plan.select("cap", "feasible", "threshold", "alert_rate", "recall", "cost")
+
+
+@query()
+def cv_fold_detail(spark, sf_dir):
+    return models.cross_validate(_model_rows(spark, sf_dir), models.LOGISTIC, MODEL_FEATURES, "doc_id", "junk")
+
+
+def _track_summary(spark, sf_dir, track, shells=True):
+    t = prepare.build_track(address_profile(spark, sf_dir), CATALOG, track, "tok_n")
+    rows = t.data if shells else models.without_shells(t.data, t.features)
+    return models.compare(rows, t.features, "row_id", "flag", (models.LOGISTIC,))[0]
+
+
+@query()
+def cv_track_difference(spark, sf_dir):
+    """The logistic model with and without the indicator of missing history, in mean metrics over folds."""
+    return metrics.track_difference(_track_summary(spark, sf_dir, prepare.FULL), _track_summary(spark, sf_dir, prepare.NO_LEAK))
+
+
+@query()
+def cv_without_shells(spark, sf_dir):
+    """The same for the track without leaks, with and without rows whose features are all 0."""
+    return metrics.track_difference(_track_summary(spark, sf_dir, prepare.NO_LEAK), _track_summary(spark, sf_dir, prepare.NO_LEAK, shells=False))
+
+
 @query()
 def permutation_control(spark, sf_dir):
     return models.permutation_control(_model_rows(spark, sf_dir), models.BOOSTING, MODEL_FEATURES, "doc_id", "junk")
 
 
+def _boosted(spark, sf_dir):
+    df = _model_rows(spark, sf_dir)
+    scorer = models.fit(df, models.BOOSTING, MODEL_FEATURES, "junk")
+    return df, scorer, explain.trees_of(spark, scorer.model, scratch_path(spark, "trees"))
+
+
 @query()
 def tree_shap_global(spark, sf_dir):
     """Boosted trees on labelled documents, explained row by row, then by feature."""
-    df = _model_rows(spark, sf_dir)
-    scorer = models.fit(df, models.BOOSTING, MODEL_FEATURES, "junk")
-    trees = explain.trees_of(spark, scorer.model, scratch_path(spark, "trees"))
+    df, _, trees = _boosted(spark, sf_dir)
     return explain.global_importance(explain.tree_shap(df, "doc_id", MODEL_FEATURES, trees))
+
+
+@query()
+def tree_shap_local(spark, sf_dir):
+    """The surest right row of each class, feature by feature, with the base value and how far base and sum lie from the model's own margin."""
+    df, scorer, trees = _boosted(spark, sf_dir)
+    chosen = explain.representative_rows(scorer.score(df), "doc_id", "p", "junk")  # a row per class
+    rows = df.join(F.broadcast(chosen.select("doc_id", "label", "p")), "doc_id")
+    phi = explain.tree_shap(rows, "doc_id", MODEL_FEATURES, trees)
+    base = F.lit(2.0 * explain.tree_base(trees))
+    total = phi.groupBy("doc_id").agg(F.sum("phi").alias("total"))
+    return phi.join(total, "doc_id").join(rows.select("doc_id", "label", "p"), "doc_id").select("label", "doc_id", "feature", "value", "phi", base.alias("base"), "p", F.abs(scalars.sigmoid(base + F.col("total")) - F.col("p")).alias("gap"))

@@ -1,6 +1,9 @@
+from functools import partial
+
 import pytest
 from compare import rows_of, run_sql
 
+from riskloom.operators import models
 from riskloom.plans import registry
 
 SMALL = "/root/testdata/sf0.001"
@@ -13,7 +16,39 @@ def test_query_equals_sql(spark, name):
     assert rows_of(got) == rows_of(expected)
 
 
-def test_queries_without_sql(spark):
+def test_queries_without_sql():
     rest = set(registry.queries()) - set(registry.oracle_sql())
-    assert rest == {"permuted_labels", "cv_model_comparison", "oof_scores", "permutation_control", "tree_shap_global"}
+    assert rest == {"permuted_labels", "cv_model_comparison", "cv_fold_detail", "cv_track_difference", "cv_without_shells", "oof_scores", "oof_capacity_plan", "permutation_control", "tree_shap_global", "tree_shap_local"}
+
+
+def test_tree_queries(spark, monkeypatch):
+    """With few trees."""
+    monkeypatch.setattr(models, "fit", partial(models.fit, trees=3))
     assert registry.queries()["tree_shap_global"](spark, SMALL).count() == 4
+    local = registry.queries()["tree_shap_local"](spark, SMALL).collect()
+    assert sorted((r.label, r.feature) for r in local) == sorted((y, f) for y in (0, 1) for f in registry.MODEL_FEATURES)
+    assert all(r.gap < 1e-6 for r in local)
+
+
+def test_out_of_fold_capacity(spark):
+    """Thresholds, alert rates, recall and cost as counted from the scores themselves."""
+    scores = registry.queries()["oof_scores"](spark, SMALL).toPandas()
+    plan = registry.queries()["oof_capacity_plan"](spark, SMALL).collect()
+    assert {r.cap for r in plan} == set(registry._CAPS)
+    for r in plan:
+        rates = [(t, (scores.p >= t).mean()) for t in (i / 100 for i in range(1, 100))]
+        kept = [(t, a) for t, a in rates if a <= r.cap]
+        assert r.feasible == bool(kept)
+        if kept:
+            alarm, junk = scores.p >= kept[0][0], scores.junk == 1
+            assert (r.threshold, r.alert_rate, r.recall) == pytest.approx((kept[0][0], kept[0][1], (alarm & junk).sum() / junk.sum()), abs=1e-6)
+            assert r.cost == 20.0 * (~alarm & junk).sum() + (alarm & ~junk).sum()
+
+
+def test_track_queries(spark):
+    detail = registry.queries()["cv_fold_detail"](spark, SMALL).collect()
+    assert sorted(r.fold for r in detail) == [0, 1, 2, 3, 4]
+    for name in ("cv_track_difference", "cv_without_shells"):
+        got = registry.queries()[name](spark, SMALL).collect()
+        assert {r.metric for r in got} == {"auc", "ks", "f1", "precision", "recall"}
+        assert all(abs(r.difference - (r.left - r.right)) < 1e-4 for r in got)
