@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import chat, jaccard, language, media, mixing, packing, quality, search, sstable, token_counts
+from riskloom.llm import chat, jaccard, language, media, mixing, packing, quality, search, sstable, token_counts, vector_codes
 from riskloom.llm.common import in_training_folds, shared_path, table
 
 
@@ -65,6 +65,10 @@ def op10_snapshot_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
 
 
+def op11_exact_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_png_media": op1_png_media,
@@ -77,8 +81,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_impact_topk": op8_impact_topk,
         "op9_rtree_jaccard": op9_rtree_jaccard,
         "op10_snapshot_chat": op10_snapshot_chat,
+        "op11_exact_vector_codes": op11_exact_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_pareto_mix": mixing.ORACLE_SQL, "op8_impact_topk": search.ORACLE_SQL, "op10_snapshot_chat": chat.ORACLE_SQL}
+    return {
+        "op3_pareto_mix": mixing.ORACLE_SQL,
+        "op8_impact_topk": search.ORACLE_SQL,
+        "op10_snapshot_chat": chat.ORACLE_SQL,
+        "op11_exact_vector_codes": vector_codes.oracle_sql(),
+    }
