@@ -1,4 +1,4 @@
-"""Exact ranks and quantiles without sorting a whole group in one task.
+"""Exact ranks, running totals and quantiles without sorting a whole group in one task.
 
 Rows fall into buckets that follow the order; bucket totals are added up (combined before the shuffle), and only rows of
 one bucket are sorted together. A group with a third of all rows is spread over its buckets.
@@ -10,7 +10,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def hash_rank(df: DataFrame, by: list[str], key: Column, key_range: int, tie: list[str], into: str = "rank", buckets: int = 512) -> DataFrame:
+#: Slices of a running total. Their cuts come from the rows, so each holds about that share of them however the keys lie.
+SLICES = 1024
+#: Rows of one task that come from one repeated row.
+CHUNK = 1 << 20
+
+
+def sliced(rows: DataFrame, key: str, slices: int = SLICES) -> DataFrame:
+    """Adds _slice, rising with `key` (a number without nulls). The cuts are quantiles from a mergeable sketch, one row sent to all tasks; a row finds its slice in
+    log2(slices) comparisons. Equal keys share a slice, so count them before where they can be many."""
+    width = 1 << (slices - 1).bit_length()
+    cuts = rows.agg(F.percentile_approx(key, [i / width for i in range(1, width)], F.lit(20 * width)).alias("_cuts"))
+    halves = F.array(*(F.lit(width >> i) for i in range(1, width.bit_length())))
+    place = F.aggregate(halves, F.lit(0), lambda at, step: F.when(F.element_at("_cuts", at + step) < F.col(key), at + step).otherwise(at))
+    return rows.crossJoin(F.broadcast(cuts)).withColumn("_slice", place).drop("_cuts")
+
+
+def running_totals(rows: DataFrame, key: str, sums: list[str], by: list[str] = (), tie: list[Column | str] = (), slices: int = SLICES) -> DataFrame:
+    """Adds <s>_before (the sum of s over rows of lower key, then lower tie) and <s>_total for each s, within each group of `by`: sums inside a slice, and the totals
+    of the slices before it. `key` and `tie` should tell rows apart."""
+    placed = sliced(rows, key, slices)
+    totals = placed.groupBy(*by, "_slice").agg(*(F.sum(s).alias(f"_{s}") for s in sums))
+    lower = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # a row a slice
+    everything = Window.partitionBy(*by)
+    offsets = totals.select(*by, "_slice", *(F.coalesce(F.sum(f"_{s}").over(lower), F.lit(0)).alias(f"_{s}_before") for s in sums), *(F.sum(f"_{s}").over(everything).alias(f"{s}_total") for s in sums))
+    within = Window.partitionBy(*by, "_slice").orderBy(key, *tie).rowsBetween(Window.unboundedPreceding, -1)
+    joined = placed.join(offsets, [*by, "_slice"])
+    return joined.withColumns({f"{s}_before": F.col(f"_{s}_before") + F.coalesce(F.sum(s).over(within), F.lit(0)) for s in sums}).drop("_slice", *(f"_{s}_before" for s in sums))
+
+
+def global_rank(rows: DataFrame, key: Column, tie: list[Column], into: str = "rank", chunk: int = CHUNK) -> DataFrame:
+    """Adds the row's rank from 0 among all rows, by a numeric key and then `tie`. Equal rows are counted first and dealt out again afterwards, in chunks if they are
+    many, so a row that repeats a billion times is sorted once."""
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n")).withColumn("_key", key)
+    placed = running_totals(counted, "_key", ["_n"], tie=tie).select(*rows.columns, "_n", "_n_before")
+    dealt = lambda low, high: F.explode(F.sequence(low, high))
+    few = placed.where(F.col("_n") <= chunk).withColumn("_i", dealt(F.lit(0).cast("long"), F.col("_n") - 1))
+    many = placed.where(F.col("_n") > chunk).withColumn("_c", dealt(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / chunk))).repartition("_c", "_n_before")
+    many = many.withColumn("_i", dealt(F.col("_c") * chunk, F.least(F.col("_n"), (F.col("_c") + 1) * chunk) - 1)).drop("_c")
+    return few.unionByName(many).select(*rows.columns, (F.col("_n_before") + F.col("_i")).alias(into))
+
+
+def hash_rank(df: DataFrame, by: list[str], key: Column, key_range: int, tie: list[str], into: str = "rank", buckets: int = 8192) -> DataFrame:
     """Adds the row's rank from 0 within its group, by an integer key in [0, key_range) and then `tie`."""
     placed = df.withColumn("_key", key.cast("long")).withColumn("_bucket", F.floor(F.col("_key") * buckets / key_range))
     totals = placed.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
