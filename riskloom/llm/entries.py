@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import chat, jaccard, language, media, mixing, packing, quality, search, sstable, token_counts, vector_codes
+from riskloom.llm import chat, jaccard, language, media, mixing, packing, quality, resampling, search, sstable, token_counts, vector_codes
 from riskloom.llm.common import in_training_folds, shared_path, table
 
 
@@ -69,6 +69,10 @@ def op11_exact_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
 
 
+def op12_sort_count_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), order=1, buckets=10_000, percent=10, min_words=20, seed=2024)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_png_media": op1_png_media,
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_rtree_jaccard": op9_rtree_jaccard,
         "op10_snapshot_chat": op10_snapshot_chat,
         "op11_exact_vector_codes": op11_exact_vector_codes,
+        "op12_sort_count_resampling": op12_sort_count_resampling,
     }
 
 
@@ -91,4 +96,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_impact_topk": search.ORACLE_SQL,
         "op10_snapshot_chat": chat.ORACLE_SQL,
         "op11_exact_vector_codes": vector_codes.oracle_sql(),
+        "op12_sort_count_resampling": resampling.ORACLE_SQL,
     }
