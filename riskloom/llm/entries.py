@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import chat, jaccard, language, media, mixing, packing, quality, resampling, search, sstable, token_counts, vector_codes
+from riskloom.llm import chat, jaccard, language, media, mixing, packing, quality, repeats, resampling, search, sstable, token_counts, vector_codes
 from riskloom.llm.common import in_training_folds, shared_path, table
 
 
@@ -73,6 +73,10 @@ def op12_sort_count_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), order=1, buckets=10_000, percent=10, min_words=20, seed=2024)
 
 
+def op13_run_index_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_png_media": op1_png_media,
@@ -87,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_snapshot_chat": op10_snapshot_chat,
         "op11_exact_vector_codes": op11_exact_vector_codes,
         "op12_sort_count_resampling": op12_sort_count_resampling,
+        "op13_run_index_repeats": op13_run_index_repeats,
     }
 
 
