@@ -6,8 +6,13 @@ one bucket are sorted together. A group with a third of all rows is spread over
 
 from __future__ import annotations
 
+import math
+import struct
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 #: Slices of a running total. Their cuts come from the rows, so each holds about that share of them however the keys lie.
@@ -61,37 +66,94 @@ def hash_rank(df: DataFrame, by: list[str], key: Column, key_range: int, tie: li
     return placed.join(offsets, [*by, "_bucket"]).withColumn(into, F.col("_before") + F.row_number().over(within) - 1).drop("_key", "_bucket", "_before")
 
 
-def exact_quantiles(values: DataFrame, by: list[str], value: str, probabilities: list[float], buckets: int = 128) -> DataFrame:
-    """by, quantiles: linear-interpolated quantiles of the non-null values, in the probabilities' order.
+def ordered_bits(v: Column) -> Column:
+    """A double's place among all doubles, as a signed integer: larger values have larger ones, both zeros have 0. These are the bits of its size, put together by exact arithmetic."""
+    size = F.abs(v)
+    guess = F.least(F.floor(F.log2(size)), F.lit(1023))
+    scaled = size / F.pow(F.lit(2.0), guess)  # a power of two: exact; the guess may be off by one
+    shift = F.when(scaled < 1, -1).when(scaled >= 2, 1).otherwise(0)
+    fraction = scaled * F.when(scaled < 1, 2.0).when(scaled >= 2, 0.5).otherwise(1.0) - 1
+    normal = (guess + shift + 1023) * F.lit(2**52) + F.floor(fraction * 2.0**52)
+    bits = F.when(size == float("inf"), F.lit(2047 * 2**52)).when(size < 2.0**-1022, F.floor(size * 2.0**537 * 2.0**537)).otherwise(normal)
+    return F.when(v < 0, -bits).otherwise(bits)
+
+
+def value_at(bits: int) -> float:
+    """The double of an ordered_bits value."""
+    size = struct.unpack(">d", struct.pack(">q", abs(bits)))[0]
+    return -size if bits < 0 else size
+
+
+@dataclass
+class Quantiles:
+    """What one group holds: known values, zeros among them, whether zeros were left out, and the quantiles (None without values)."""
+
+    group: tuple
+    n: int
+    zeros: int
+    without_zeros: bool
+    quantiles: list[float] | None
 
-    Equal values are counted first. Cut points come from a mergeable sketch, so buckets are even whatever the distribution;
-    only buckets that hold a wanted rank are sorted.
+
+def _between(places: list[float], n: int, at: dict[int, float]) -> list[float]:
+    found = []
+    for p in places:
+        place = (n - 1) * p
+        low, high = at[math.floor(place)], at[math.ceil(place)]
+        found.append(low if low == high else low + (high - low) * (place - math.floor(place)))
+    return found
+
+
+def select_quantiles(values: DataFrame, by: list[str], value: str, probabilities: list[float], bits: int = 16, zero_share: float | None = None) -> list[Quantiles]:
+    """Linear-interpolated quantiles of the known values of few groups (features, classes), by selection on ordered bits.
+
+    One pass counts all groups' values by their leading bits. Only buckets that hold a wanted rank are counted again, by the next bits, or by all the rest once
+    they hold few rows: two passes for most data, 64 / bits at most, whatever the distribution. A pass shuffles at most 2^bits rows per task and bucket; the driver
+    gets a row per group and wanted rank. Groups whose share of zeros reaches zero_share are taken without their zeros.
     """
-    known = values.where(F.col(value).isNotNull())
-    counts = known.groupBy(*by, value).agg(F.count("*").alias("_c"))
-    cuts = known.groupBy(*by).agg(F.count("*").alias("_n"), F.array_distinct(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], F.lit(1000))).alias("_cuts"))
-    place = lambda p: (F.col("_n") - 1) * F.lit(p)
-    wanted = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(place(p)), F.ceil(place(p))) for p in probabilities))))
-    placed = counts.join(cuts, by).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy(*by, "_n", "_bucket").agg(F.sum("_c").alias("_sum"))
-    needed = (
-        totals.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-        .withColumn("_wanted", F.filter(wanted, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_sum"))))
-        .where(F.size("_wanted") > 0)
-        .select(*by, "_bucket", "_before", "_wanted")
-    )
-    within = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    found = (
-        placed.join(needed, [*by, "_bucket"])
-        .withColumn("_first", F.col("_before") + F.coalesce(F.sum("_c").over(within), F.lit(0)))
-        .withColumn("_rank", F.explode(F.filter("_wanted", lambda r: (r >= F.col("_first")) & (r < F.col("_first") + F.col("_c")))))
-        .groupBy(*by, "_n")
-        .agg(F.map_from_entries(F.collect_list(F.struct("_rank", value))).alias("_at"))
-    )
-
-    def at(p: float) -> Column:
-        low, high = F.element_at("_at", F.floor(place(p))), F.element_at("_at", F.ceil(place(p)))
-        return F.when(low == high, low).otherwise(low + (high - low) * (place(p) - F.floor(place(p))))
-
-    return found.select(*by, F.array(*(at(p) for p in probabilities)).alias("quantiles"))
+    v = F.col(value).cast("double")
+    rows = values.where(v.isNotNull() & ~F.isnan(v)).select(*by, ordered_bits(v).alias("_key"))
+    shift = 64 - bits
+    all_of, lower = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counted = rows.groupBy(*by, F.shiftright("_key", shift).alias("_b")).agg(F.count("*").alias("_n"), F.count_if(F.col("_key") == 0).alias("_z"))
+    counted = counted.withColumns({"_known": F.sum("_n").over(all_of), "_zeros": F.sum("_z").over(all_of)})
+    without = F.lit(False) if zero_share is None else F.col("_zeros") / F.col("_known") >= zero_share
+    counted = counted.withColumn("_without", without).withColumn("_n", F.col("_n") - F.when(F.col("_without"), F.col("_z")).otherwise(0))
+    counted = counted.withColumns({"_total": F.sum("_n").over(all_of), "_before": F.coalesce(F.sum("_n").over(lower), F.lit(0))})
+    place = lambda p: (F.col("_total") - 1) * F.lit(p)
+    ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(place(p)), F.ceil(place(p))) for p in probabilities))))
+    inside = F.filter(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")))
+    first = counted.withColumn("_ranks", inside).where((F.size("_ranks") > 0) | (F.col("_before") == 0)).collect()
+    groups = {tuple(r[c] for c in by): r for r in first}
+    #: (group, bucket): (rows in it, ranks within it and the ranks they stand for)
+    wanted = {(tuple(r[c] for c in by), r["_b"]): (r["_n"], {k - r["_before"]: k for k in r["_ranks"]}) for r in first if r["_ranks"]}
+    fields = values.select(*by).schema.fields
+    schema = T.StructType([*(T.StructField(f"_g{i}", f.dataType) for i, f in enumerate(fields)), T.StructField("_p", T.LongType()), T.StructField("_skip", T.BooleanType()), T.StructField("_wanted", T.ArrayType(T.LongType()))])
+    while wanted and shift:
+        before, shift = shift, 0 if max(n for n, _ in wanted.values()) <= 1 << bits else max(0, shift - bits)
+        small = values.sparkSession.createDataFrame([(*g, b, groups[g]["_without"], list(r)) for (g, b), (_, r) in wanted.items()], schema)
+        same = F.shiftright("_key", before) == F.col("_p")
+        for i, c in enumerate(by):
+            same &= F.col(c).eqNullSafe(F.col(f"_g{i}"))
+        met = rows.join(F.broadcast(small), same).where(~(F.col("_skip") & (F.col("_key") == 0)))  # a row per group and wanted rank, at most
+        parts = met.groupBy(*by, "_p", "_wanted", F.shiftright("_key", shift).alias("_b")).agg(F.count("*").alias("_n"))
+        lower = Window.partitionBy(*by, "_p").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(lower), F.lit(0)))
+        hit = F.filter("_wanted", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")))
+        after = {}
+        for r in parts.withColumn("_hit", hit).where(F.size("_hit") > 0).collect():
+            g = tuple(r[c] for c in by)
+            stands_for = wanted[g, r["_p"]][1]
+            after[g, r["_b"]] = (r["_n"], {k - r["_before"]: stands_for[k] for k in r["_hit"]})
+        wanted = after
+    at: dict[tuple, dict[int, float]] = {}
+    for (g, b), (_, r) in wanted.items():
+        at.setdefault(g, {}).update({k: value_at(b) for k in r.values()})
+    return [Quantiles(g, r["_known"], r["_zeros"], r["_without"], _between(probabilities, r["_total"], at[g]) if r["_total"] else None) for g, r in groups.items()]
+
+
+def exact_quantiles(values: DataFrame, by: list[str], value: str, probabilities: list[float], bits: int = 16) -> DataFrame:
+    """by, quantiles: linear-interpolated quantiles of the known values of few groups, in the probabilities' order. See `select_quantiles`."""
+    found = [(*q.group, q.quantiles) for q in select_quantiles(values, by, value, probabilities, bits)]
+    schema = T.StructType([*values.select(*by).schema.fields, T.StructField("quantiles", T.ArrayType(T.DoubleType()))])
+    return values.sparkSession.createDataFrame(found, schema)

@@ -12,8 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.functions.ordering import exact_quantiles
-from riskloom.functions.scalars import iv_band
+from riskloom.functions.ordering import select_quantiles
+from riskloom.functions.scalars import iv_band, steps
 from riskloom.operators.profile import long_numeric, long_strings
 
 #: As numpy's linspace gives them.
@@ -33,27 +33,52 @@ class WoeParameters:
         return TENTHS if self.max_bins == 10 else [i * (1.0 / self.max_bins) for i in range(self.max_bins)] + [1.0]
 
 
-def fit_edges(long: DataFrame, p: WoeParameters = WoeParameters()) -> DataFrame:
-    """feature, use_zero, edges (distinct quantiles), interior (edges without the outer two)."""
-    known = long.where("v IS NOT NULL")
-    zero = long.groupBy("feature").agg((F.lit(p.separate_zero) & (F.coalesce(F.avg((F.col("v") == 0).cast("int")), F.lit(0.0)) >= p.min_zero_share)).alias("use_zero"))
-    cut = known.join(zero, "feature").where("NOT use_zero OR v != 0")
-    q = exact_quantiles(cut.select("feature", "v"), ["feature"], "v", p.probabilities())
-    edges = F.coalesce(F.array_sort(F.array_distinct("quantiles")), F.array().cast("array<double>"))
-    return zero.join(q, "feature", "left").select("feature", "use_zero", edges.alias("edges")).withColumn("interior", F.when(F.size("edges") > 2, F.slice("edges", F.lit(2), F.size("edges") - 2)).otherwise(F.array().cast("array<double>")))
+EDGES = "feature string, use_zero boolean, edges array<double>, interior array<double>"
 
 
-def bin_of(v: Column, use_zero: Column, edges: Column, interior: Column) -> tuple[Column, Column]:
-    """Kind and number of the bin of a value."""
-    kind = F.when(v.isNull(), MISSING).when(use_zero & (v == 0), ZERO).when(F.size(edges) < 2, WHOLE).otherwise(INTERVAL)
-    number = F.when(v.isNull() | (use_zero & (v == 0)) | (F.size(edges) < 2), 0).otherwise(F.size(F.filter(interior, lambda e: v > e)))
-    return kind, number
+def fit_edges(long: DataFrame, p: WoeParameters = WoeParameters(), features: list[str] | None = None) -> DataFrame:
+    """feature, use_zero, edges (distinct quantiles), interior (edges without the outer two): a row per feature, known to the driver. Two passes over `long` as a rule;
+    the first finds the shares of zeros as well. A feature without known values has no edges. Without a list of features, one more pass finds their names."""
+    found = {q.group[0]: q for q in select_quantiles(long, ["feature"], "v", p.probabilities(), zero_share=p.min_zero_share if p.separate_zero else None)}
+    rows = []
+    for feature in features or [r.feature for r in long.select("feature").distinct().collect()]:
+        q = found.get(feature)
+        edges = sorted(set(q.quantiles)) if q and q.quantiles else []
+        rows.append((feature, bool(q and q.without_zeros), edges, edges[1:-1]))
+    return long.sparkSession.createDataFrame(rows, EDGES)
+
+
+def interval_of(v: Column, edges: dict) -> tuple[Column, Column]:
+    """Kind and number of a value's bin, with one feature's edges as literals: some log2(bins) comparisons in generated code."""
+    none = v.isNull() | F.isnan(v)
+    kind, number = F.when(none, MISSING), F.when(none, 0)
+    if edges["use_zero"]:
+        kind, number = kind.when(v == 0, ZERO), number.when(v == 0, 0)
+    if len(edges["edges"]) < 2:
+        return kind.otherwise(WHOLE), number.otherwise(0)
+    return kind.otherwise(INTERVAL), number.otherwise(steps(v, edges["interior"], inclusive=False))
 
 
 def assign_bins(long: DataFrame, edges: DataFrame) -> DataFrame:
-    """Adds bin_kind, bin_number. One row of edges per feature is sent to all tasks."""
-    kind, number = bin_of(F.col("v"), F.col("use_zero"), F.col("edges"), F.col("interior"))
-    return long.join(F.broadcast(edges), "feature").select(*long.columns, kind.alias("bin_kind"), number.alias("bin_number"))
+    """Adds bin_kind, bin_number to rows of few features. A wide table is better binned by `wide_bins`."""
+    kind = number = None
+    for e in (r.asDict() for r in edges.collect()):  # a row per feature
+        own, (k, n) = F.col("feature") == e["feature"], interval_of(F.col("v"), e)
+        kind = F.when(own, k) if kind is None else kind.when(own, k)
+        number = F.when(own, n) if number is None else number.when(own, n)
+    if kind is None:
+        kind, number = F.lit(None).cast("string"), F.lit(None).cast("int")
+    return long.select(*long.columns, kind.alias("bin_kind"), number.alias("bin_number"))
+
+
+def wide_bins(df: DataFrame, edges: DataFrame, keep: list[str], values: bool = False) -> DataFrame:
+    """keep, feature, bin_kind, bin_number (and v): every feature's bin is a column of its row before rows are taken apart, so what is counted are bins, not values."""
+    each = []
+    for e in (r.asDict() for r in edges.collect()):  # a row per feature
+        v = F.col(f"`{e['feature']}`").cast("double")
+        kind, number = interval_of(v, e)
+        each.append(F.struct(F.lit(e["feature"]).alias("feature"), *([v.alias("v")] if values else []), kind.alias("bin_kind"), number.alias("bin_number")))
+    return df.select(*keep, F.explode(F.array(*each)).alias("p")).select(*keep, "p.*")
 
 
 def kept_categories(long: DataFrame, p: WoeParameters = WoeParameters()) -> DataFrame:
@@ -127,10 +152,9 @@ class WoeModel:
     def fit(cls, df: DataFrame, numeric: list[str], label: str, strings: list[str] = (), p: WoeParameters = WoeParameters()) -> WoeModel:
         tables, edges, kept = [], [], {}
         if numeric:
-            long = long_numeric(df, numeric, [label])
-            edges = [r.asDict() for r in fit_edges(long, p).collect()]  # a row per feature
-            fitted = df.sparkSession.createDataFrame([(e["feature"], e["use_zero"], e["edges"], e["interior"]) for e in edges], "feature string, use_zero boolean, edges array<double>, interior array<double>")
-            tables.append(numeric_order(woe_table(assign_bins(long, fitted), label, ["bin_kind", "bin_number"], p), fitted).withColumn("category", F.lit(None).cast("string")))
+            fitted = fit_edges(long_numeric(df, numeric, []), p, numeric)
+            edges = [r.asDict() for r in fitted.collect()]  # a row per feature
+            tables.append(numeric_order(woe_table(wide_bins(df, fitted, [label]), label, ["bin_kind", "bin_number"], p), fitted).withColumn("category", F.lit(None).cast("string")))
         if strings:
             long = long_strings(df, list(strings), [label])
             kept_df = kept_categories(long, p)
@@ -155,14 +179,14 @@ class WoeModel:
             return chain.otherwise(value(OTHER))
         e = next(e for e in self.numeric if e["feature"] == feature)
         v = F.col(f"`{feature}`").cast("double")
-        chain = F.when(v.isNull(), value(MISSING))
+        chain = F.when(v.isNull() | F.isnan(v), value(MISSING))
         if e["use_zero"]:
             chain = chain.when(v == 0, value(ZERO))
         if len(e["edges"]) < 2:
             return chain.otherwise(value(WHOLE))
-        for i, bound in enumerate(e["interior"]):
-            chain = chain.when(v <= bound, value(INTERVAL, i))
-        return chain.otherwise(value(INTERVAL, len(e["interior"])))
+        number = steps(v, e["interior"], inclusive=False)
+        by_number = F.array(*(value(INTERVAL, i) for i in range(len(e["interior"]) + 1)))
+        return chain.otherwise(F.get(by_number, number))
 
     def transform(self, df: DataFrame, suffix: str = "") -> DataFrame:
         names = [e["feature"] for e in self.numeric] + list(self.categorical)

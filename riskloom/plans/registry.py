@@ -267,10 +267,12 @@ _LINE_WOE = f"{LINES_SQL}, {numeric('lines', 'y', LINE_FEATURES)}"
 _TRACK_SQL = f"{ADDRESS_SQL}, track AS (SELECT row_id, address, flag, {', '.join(f'coalesce(CAST({c} AS DOUBLE), 0) AS {c}' for c in KNOWN)}, CAST(tok_n IS NULL AS INTEGER) AS history_missing, tok_top_type FROM address)"
 
 
-def _line_tables(spark, sf_dir):
-    long = profile.long_numeric(line_flags(spark, sf_dir), LINE_FEATURES, ["y"])
-    edges = woe.fit_edges(long)
-    return long, edges, woe.woe_table(woe.assign_bins(long, edges), "y", ["bin_kind", "bin_number"])
+def _line_edges(spark, sf_dir):
+    return woe.fit_edges(profile.long_numeric(line_flags(spark, sf_dir), LINE_FEATURES, []), features=LINE_FEATURES)
+
+
+def _line_table(spark, sf_dir, edges):
+    return woe.woe_table(woe.wide_bins(line_flags(spark, sf_dir), edges, ["y"]), "y", ["bin_kind", "bin_number"])
 
 
 @query(f"WITH {LINES_SQL} " + " UNION ALL ".join(f"SELECT '{f}' AS feature, round(quantile_cont({f}, 0.1), 4) AS q10, round(quantile_cont({f}, 0.25), 4) AS q25, round(quantile_cont({f}, 0.5), 4) AS q50, round(quantile_cont({f}, 0.95), 4) AS q95 FROM lines" for f in LINE_FEATURES))
@@ -282,14 +284,12 @@ def exact_percentiles(spark, sf_dir):
 
 @query(f"WITH {_LINE_WOE} SELECT feature, use_zero, CAST(len(edges) AS INTEGER) AS n_edges FROM edges")
 def quantile_edges(spark, sf_dir):
-    _, edges, _ = _line_tables(spark, sf_dir)
-    return edges.select("feature", "use_zero", F.size("edges").alias("n_edges"))
+    return _line_edges(spark, sf_dir).select("feature", "use_zero", F.size("edges").alias("n_edges"))
 
 
 @query(f"WITH {_LINE_WOE} SELECT feature, bin_kind, bin_number, count(*) AS n, round(min(v), 6) AS least, round(max(v), 6) AS most FROM binned GROUP BY ALL")
 def bin_assignment(spark, sf_dir):
-    long, edges, _ = _line_tables(spark, sf_dir)
-    return woe.assign_bins(long, edges).groupBy("feature", "bin_kind", "bin_number").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+    return woe.wide_bins(line_flags(spark, sf_dir), _line_edges(spark, sf_dir), [], values=True).groupBy("feature", "bin_kind", "bin_number").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
 
 
 _DOC_CATEGORIES = ["lang", "source"]
@@ -320,13 +320,13 @@ def woe_table_categories(spark, sf_dir):
 @query(f"""WITH {_LINE_WOE} SELECT feature, CAST(row_number() OVER (PARTITION BY feature ORDER BY bin_kind = 'missing',
   CASE WHEN bin_kind <> 'interval' THEN 0e0 WHEN bin_number > 0 THEN edges[bin_number + 1] ELSE -1e308 END, bin_kind <> 'zero', bin_number) AS INTEGER) AS position, bin_kind, bin_number, {_WOE_COLUMNS} FROM woe JOIN edges USING (feature)""")
 def woe_table(spark, sf_dir):
-    _, edges, t = _line_tables(spark, sf_dir)
-    return woe.numeric_order(t, edges).select("feature", "position", "bin_kind", "bin_number", *_WOE_NAMES)
+    edges = _line_edges(spark, sf_dir)
+    return woe.numeric_order(_line_table(spark, sf_dir, edges), edges).select("feature", "position", "bin_kind", "bin_number", *_WOE_NAMES)
 
 
 @query(f"WITH {_LINE_WOE} SELECT CAST(row_number() OVER (ORDER BY iv DESC, feature) AS INTEGER) AS rank, feature, round(iv, 6) AS iv, {BAND} AS band, n_bins FROM iv")
 def iv_ranking(spark, sf_dir):
-    return woe.iv_ranking(woe.information_values(_line_tables(spark, sf_dir)[2]))
+    return woe.iv_ranking(woe.information_values(_line_table(spark, sf_dir, _line_edges(spark, sf_dir))))
 
 
 _FULL_WOE = f"{_TRACK_SQL}, {numeric('track', 'flag', [*KNOWN, 'history_missing'])}, {categorical('track', 'flag', ['tok_top_type'])}, all_iv AS (SELECT * FROM iv UNION ALL SELECT * FROM ivc)"

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from riskloom.functions.ordering import global_rank, running_totals, sliced
+from riskloom.functions.ordering import exact_quantiles, global_rank, ordered_bits, running_totals, select_quantiles, sliced, value_at
 
 
 def test_global_rank(spark):
@@ -22,3 +22,39 @@ def test_running_totals_are_dealt_evenly(spark):
     assert [r[2] for r in rows] == [*range(10_000)] * 2 and {r[3] for r in rows} == {10_000}
     sizes = [r["count"] for r in sliced(df, "p", 64).groupBy("_slice").count().collect()]
     assert len(sizes) == 64 and max(sizes) < 2 * 20_000 / 64
+
+
+EDGES = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.2250738585072009e-308, -1e-310, 1.0, 0.9999999999999999, 1.0000000000000002, 1.5, 2.0, 1.9999999999999998, 4.0, 3.9999999999999996, 1e300, 1.7976931348623157e308, -1.7976931348623157e308, float("inf"), float("-inf"), 0.1, -0.1, 1e-5]
+
+
+def test_ordered_bits_keep_the_order(spark):
+    rng = np.random.default_rng(6)
+    values = EDGES + rng.normal(size=300).tolist() + np.ldexp(rng.normal(size=300), rng.integers(-1074, 1000, 300)).tolist() + [2.0**k for k in range(-1074, 1024, 37)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", ordered_bits(F.col("v")).alias("k")).collect()
+    for r in rows:
+        assert value_at(r.k) == r.v
+    by_value, by_bits = sorted(rows, key=lambda r: r.v), sorted(rows, key=lambda r: r.k)
+    assert [r.v for r in by_value] == [r.v for r in by_bits]
+
+
+def test_quantiles_of_odd_values(spark):
+    """Denormals, negatives, infinities, long ties, NaN and null as missing, groups with a null name, groups whose zeros are left out."""
+    rng = np.random.default_rng(7)
+    groups = {"odd": EDGES[:18], "ties": [1.0] * 500 + [2.0] * 30, "wide": np.ldexp(rng.normal(size=400), rng.integers(-300, 300, 400)).tolist(), None: rng.normal(size=99).tolist(), "one": [3.5]}
+    groups["infinite"] = [float("-inf")] * 40 + rng.normal(size=50).tolist() + [float("inf")] * 10
+    rows = [(g, v) for g, x in groups.items() for v in x] + [("odd", None), ("odd", float("nan")), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    probabilities = [0.0, 0.25, 0.5, 0.9, 0.99, 1.0]
+    for bits in (16, 5):
+        got = {r.g: r.quantiles for r in exact_quantiles(df, ["g"], "v", probabilities, bits).collect()}
+        assert set(got) == set(groups)
+        for g, x in groups.items():
+            with np.errstate(all="ignore"):
+                low, high = (np.quantile(x, probabilities, method=m) for m in ("lower", "higher"))
+            for value, a, b, p in zip(got[g], low, high, probabilities):
+                part = (len(x) - 1) * p % 1
+                assert value == (a if a == b else a + (b - a) * part) or abs(value - np.quantile(x, p)) <= 1e-12 * abs(value), (g, p)
+    zeros = spark.createDataFrame([("z", v) for v in [0.0] * 10 + [-1.0, 2.0, 3.0]] + [("few", v) for v in [0.0] + [1.0] * 99], "g string, v double")
+    found = {q.group[0]: q for q in select_quantiles(zeros, ["g"], "v", [0.0, 0.5], zero_share=0.05)}
+    assert found["z"].quantiles == [-1.0, 2.0] and found["z"].without_zeros and found["z"].zeros == 10
+    assert found["few"].quantiles == [0.0, 1.0] and not found["few"].without_zeros

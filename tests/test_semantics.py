@@ -109,11 +109,11 @@ def test_labels(spark):
 
 
 @settings(max_examples=8, deadline=None)
-@given(st.lists(st.one_of(st.none(), st.floats(-1e6, 1e6), st.sampled_from([0.0, 1.0, 2.0])), min_size=1, max_size=60))
-def test_quantiles_equal_numpy(spark, values):
+@given(st.lists(st.one_of(st.none(), st.floats(-1e6, 1e6), st.sampled_from([0.0, 1.0, 2.0])), min_size=1, max_size=60), st.sampled_from([4, 16]))
+def test_quantiles_equal_numpy(spark, values, bits):
     known = [v for v in values if v is not None]
     probabilities = [0.0, 0.1, 0.5, 0.77, 1.0]
-    rows = ordering.exact_quantiles(spark.createDataFrame([("a", v) for v in values], "g string, v double"), ["g"], "v", probabilities, buckets=4).collect()
+    rows = ordering.exact_quantiles(spark.createDataFrame([("a", v) for v in values], "g string, v double"), ["g"], "v", probabilities, bits=bits).collect()
     if known:
         assert rows[0].quantiles == pytest.approx(np.quantile(known, probabilities).tolist(), abs=1e-6)
     else:
