@@ -1,42 +1,42 @@
-"""Exact ranking metrics. Scores are counted per distinct value; running totals go bucket by bucket, never over one task."""
+"""Exact ranking metrics. Scores are counted per distinct value; running totals go slice by slice, never over one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.functions.ordering import running_totals
 from riskloom.functions.scalars import ratio, steps
 
-SCORE_BUCKETS = 1000
 CALIBRATION_EDGES = [0.0, 0.1, 0.3, 0.5, 0.7, 0.9, 1.0]
 
 
 def score_groups(scores: DataFrame, p: str = "p", y: str = "y", by: tuple[str, ...] = ()) -> DataFrame:
-    """Per distinct score: pos, neg, pos_below, neg_below (strictly lower scores) and the group's totals."""
+    """Per distinct score: pos, neg, pos_before, neg_before (strictly lower scores) and the group's totals. Equal scores are counted first; slices of the rest follow
+    the scores, however these crowd."""
     counts = scores.groupBy(*by, F.col(p).alias("p")).agg(F.sum(F.col(y)).cast("long").alias("pos"), F.sum(1 - F.col(y)).cast("long").alias("neg"))
-    counts = counts.withColumn("_bucket", F.floor(F.col("p") * SCORE_BUCKETS))
-    totals = counts.groupBy(*by, "_bucket").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
-    lower = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most SCORE_BUCKETS rows
-    everything = Window.partitionBy(*by)
-    offsets = totals.select(*by, "_bucket", *(F.coalesce(F.sum(f"_{c}").over(lower), F.lit(0)).alias(f"_{c}_before") for c in ("pos", "neg")), *(F.sum(f"_{c}").over(everything).alias(f"{c}_total") for c in ("pos", "neg")))
-    within = Window.partitionBy(*by, "_bucket").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    joined = counts.join(offsets, [*by, "_bucket"])
-    return joined.select(*by, "p", "pos", "neg", *((F.col(f"_{c}_before") + F.coalesce(F.sum(c).over(within), F.lit(0))).alias(f"{c}_below") for c in ("pos", "neg")), "pos_total", "neg_total")
+    return running_totals(counts, "p", ["pos", "neg"], list(by))
+
+
+def _auc() -> Column:
+    wins = F.sum(F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / 2))
+    return F.try_divide(wins, F.max("pos_total").cast("double") * F.max("neg_total")).alias("auc")
+
+
+def _ks() -> Column:
+    caught = F.try_divide((F.col("pos_total") - F.col("pos_before")).cast("double"), F.col("pos_total"))
+    false = F.try_divide((F.col("neg_total") - F.col("neg_before")).cast("double"), F.col("neg_total"))
+    return F.greatest(F.max(caught - false), F.lit(0.0)).alias("ks")
 
 
 def auc(scores: DataFrame, p: str = "p", y: str = "y", by: tuple[str, ...] = ()) -> DataFrame:
     """Share of positive-negative pairs in the right order, ties half; null with one class only."""
-    g = score_groups(scores, p, y, by)
-    wins = F.sum(F.col("pos").cast("double") * (F.col("neg_below") + F.col("neg") / 2))
-    return g.groupBy(*by).agg(F.try_divide(wins, F.max("pos_total").cast("double") * F.max("neg_total")).alias("auc"))
+    return score_groups(scores, p, y, by).groupBy(*by).agg(_auc())
 
 
 def ks(scores: DataFrame, p: str = "p", y: str = "y", by: tuple[str, ...] = ()) -> DataFrame:
     """Largest signed difference of true and false alarm rate over all cuts; the cut above all scores gives 0."""
-    g = score_groups(scores, p, y, by)
-    caught = F.try_divide((F.col("pos_total") - F.col("pos_below")).cast("double"), F.col("pos_total"))
-    false = F.try_divide((F.col("neg_total") - F.col("neg_below")).cast("double"), F.col("neg_total"))
-    return g.groupBy(*by).agg(F.greatest(F.max(caught - false), F.lit(0.0)).alias("ks"))
+    return score_groups(scores, p, y, by).groupBy(*by).agg(_ks())
 
 
 def with_rates(t: DataFrame) -> DataFrame:
@@ -51,11 +51,12 @@ def confusion(scores: DataFrame, threshold: float = 0.5, p: str = "p", y: str =
 
 
 def evaluate(scores: DataFrame, threshold: float = 0.5, p: str = "p", y: str = "y", by: tuple[str, ...] = ()) -> DataFrame:
-    """auc, ks, f1, precision, recall; one row, or one per group."""
-    parts = [auc(scores, p, y, by), ks(scores, p, y, by), confusion(scores, threshold, p, y, by).select(*by, "f1", "precision", "recall")]
-    if by:
-        return parts[0].join(parts[1], list(by)).join(parts[2], list(by))
-    return parts[0].crossJoin(parts[1]).crossJoin(parts[2])  # single rows
+    """auc, ks, f1, precision, recall; one row, or one per group. All of them from the counts of distinct scores."""
+    g = score_groups(scores, p, y, by)
+    hit = F.col("p") >= threshold
+    counted = {"tp": F.sum(F.when(hit, F.col("pos")).otherwise(0)), "fp": F.sum(F.when(hit, F.col("neg")).otherwise(0)), "fn": F.sum(F.when(hit, 0).otherwise(F.col("pos")))}
+    t = g.groupBy(*by).agg(_auc(), _ks(), *(c.alias(n) for n, c in counted.items()))
+    return with_rates(t).select(*by, "auc", "ks", "f1", "precision", "recall")
 
 
 def calibration(scores: DataFrame, p: str = "p", y: str = "y", edges: list[float] = CALIBRATION_EDGES) -> DataFrame:

@@ -1,7 +1,10 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from riskloom import session
 from riskloom.functions.ordering import exact_quantiles, global_rank, ordered_bits, running_totals, select_quantiles, sliced, value_at
+from riskloom.operators import metrics
 
 
 def test_global_rank(spark):
@@ -58,3 +61,36 @@ def test_quantiles_of_odd_values(spark):
     found = {q.group[0]: q for q in select_quantiles(zeros, ["g"], "v", [0.0, 0.5], zero_share=0.05)}
     assert found["z"].quantiles == [-1.0, 2.0] and found["z"].without_zeros and found["z"].zeros == 10
     assert found["few"].quantiles == [0.0, 1.0] and not found["few"].without_zeros
+
+
+def test_metrics_of_crowded_scores(spark):
+    """All scores above 0.999, and nine tenths of the rows with one score: equal to plain counting, and no slice holds more than twice its share of distinct scores."""
+    rng = np.random.default_rng(8)
+    for p in (0.999 + rng.random(4000) / 1000, np.where(rng.random(4000) < 0.9, 0.7, rng.random(4000))):
+        y = (rng.random(4000) < 0.3).astype(int)
+        df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(p, y)], "p double, y int")
+        r = metrics.evaluate(df, 0.7).first()
+        pos, neg = p[y == 1], p[y == 0]
+        wins = np.searchsorted(np.sort(neg), pos, "left").sum() + 0.5 * (np.searchsorted(np.sort(neg), pos, "right") - np.searchsorted(np.sort(neg), pos, "left")).sum()
+        cuts = [(pos >= t).mean() - (neg >= t).mean() for t in np.unique(p)]
+        tp, fp, fn = (pos >= 0.7).sum(), (neg >= 0.7).sum(), (pos < 0.7).sum()
+        assert (r.auc, r.ks, r.precision, r.recall) == pytest.approx((wins / len(pos) / len(neg), max(0, *cuts), tp / (tp + fp), tp / (tp + fn)), abs=1e-9)
+        distinct = df.select("p").distinct()
+        sizes = [x["count"] for x in sliced(distinct, "p", 32).groupBy("_slice").count().collect()]
+        assert max(sizes) <= 2 * distinct.count() / 32
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    class Cluster:
+        master, applicationId = "spark://somewhere:7077", "app-1"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Cluster()
+
+    with pytest.raises(ValueError):
+        session.scratch_path(Session(), "x")
+    first, second = session.scratch_path(spark, "a"), session.scratch_path(spark, "a")
+    assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
