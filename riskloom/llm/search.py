@@ -10,11 +10,12 @@ still be among a query's k best; these possible members, all of them, are scored
 processed, and every possible member is scored all the same.
 
 Cases: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows without identifier;
-vectors of different lengths never meet. Rows that repeat both identifier and vector count once (they are combined before the
-shuffle, so no group holds them all). Rows that share an identifier only are each a candidate, and each a query with ranks of
-its own. A candidate with the query's own identifier is skipped. Ties go to the smaller identifier, then to the smaller
-vector. Only vec_id and embedding are read, so extra columns may have any name. Scores are exact while |floor(scale * x)| < 2**28 for up to 64 components. Empty tables
-give no rows.
+vectors of different lengths never meet. Rows that repeat both identifier and vector, component by component, count once (they
+are combined before the shuffle, so no group holds them all). Rows that share an identifier only, even if their integers are
+equal, are each a candidate, and each a query with ranks of its own. A candidate with the query's own identifier is skipped.
+Ties go to the smaller identifier. Only vec_id and embedding are read, so extra columns may have any name. Components so large
+that a score might leave 63 bits raise ValueError before any search: dims * max|floor(scale * x)|^2 has to stay below 2^62, so
+all scores are exact. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -83,26 +84,36 @@ class ImpactIndex:
 
 
 def quantised(vectors: DataFrame, scale: int) -> DataFrame:
-    """vec_id, dims, x (integers) of the vectors that take part."""
+    """vec_id, key (of the row), dims, x (integers) of the vectors that take part."""
     whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    integers = F.transform("embedding", lambda x: F.floor(F.greatest(F.least(x.cast("double") * scale, F.lit(2.0**62)), F.lit(-(2.0**62)))))  # beyond that, refused
     return (
         vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0))
         .where(whole)
-        .select("vec_id", F.size("embedding").alias("dims"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("x"))
+        .select("vec_id", "embedding")
         .distinct()
+        .select("vec_id", F.xxhash64("embedding").alias("key"), F.size("embedding").alias("dims"), integers.alias("x"))
     )
 
 
+def in_range(rows: DataFrame) -> None:
+    """Refuses components whose scores might leave 63 bits. One small row comes to the driver."""
+    dims, size = rows.agg(F.max("dims"), F.max(F.array_max(F.transform("x", lambda v: F.abs(v))))).first()
+    if dims and dims * size * size >= 2**62:
+        raise ValueError(f"components reach {size} once scaled: scores of {dims} of them might pass 63 bits")
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, levels: int = 12, candidates_at_once: int = 8192, queries_at_once: int = 2048, block: int = 128) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of `vectors` that is_query holds for, the k best of all other rows."""
     rows = settled(quantised(vectors, scale))
+    in_range(rows)
     asked = rows.where(is_query)
     groups = lambda df, most: max(1, math.ceil(df.count() / most))
     n_candidates, n_queries = groups(rows, candidates_at_once), groups(asked, queries_at_once)
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    own = lambda n: F.pmod(F.xxhash64("vec_id", "x"), F.lit(n)).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("vec_id", "key"), F.lit(n)).cast("int")
     candidates = rows.withColumn("c", own(n_candidates)).withColumn("q", spread(n_queries))
-    wanted = asked.withColumn("key", F.xxhash64("x")).withColumn("q", own(n_queries)).withColumn("c", spread(n_candidates))
+    wanted = asked.withColumn("q", own(n_queries)).withColumn("c", spread(n_candidates))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = [(np.zeros(0, np.int64),) * 4]
@@ -122,12 +133,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, le
 #: The same rows for k = 5, scale = 256 and queries whose vec_id 50 divides.
 ORACLE_SQL = """
 WITH v AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
-  FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  SELECT row_number() OVER () AS key, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM (
+    SELECT DISTINCT vec_id, embedding FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  )
 ), p AS (
-  SELECT q.vec_id AS query_id, q.x AS key, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, q.key, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
   FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 50 = 0
 ), r AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, key ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p

@@ -39,7 +39,9 @@ def test_repeated_identifiers(spark):
     rows = [(i, rng.normal(size=4).tolist()) for i in range(60)]
     rows += [rows[3]] * 40 + [rows[50]] * 5 + [(50, rng.normal(size=4).tolist()), (7, rng.normal(size=4).tolist())]
     df = spark.createDataFrame([(i, v, 1, 1, 1) for i, v in rows], SCHEMA)
-    vectors = sorted({(i, tuple(np.floor(256 * np.array(v, np.float32).astype(float)).astype(int).tolist())) for i, v in rows})
+    rows += [(0, [1.0, 2.0, 3.0, 4.0]), (0, [1.0009, 2.0, 3.0, 4.0])]  # other vectors with equal integers
+    df = spark.createDataFrame([(i, v, 1, 1, 1) for i, v in rows], SCHEMA)
+    vectors = sorted((i, tuple(np.floor(256 * np.array(v, np.float32).astype(float)).astype(int).tolist())) for i, v in {(i, tuple(v)) for i, v in rows})
     expected = []
     for i, v in vectors:
         if i % 50 == 0:
@@ -62,3 +64,15 @@ def test_index_alone(levels):
 
 def test_nothing(spark):
     assert search.top_k(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_large_components(spark):
+    """Exact as far as 63 bits hold every score; refused by name beyond, in place of wrapped scores."""
+    rng = np.random.default_rng(11)
+    rows = [(i, (rng.normal(size=4) * 5e5).tolist()) for i in range(120)]
+    df = spark.createDataFrame([(i, v, 1, 1, 1) for i, v in rows], SCHEMA)
+    assert {tuple(r) for r in search.top_k(df, F.col("vec_id") % 50 == 0).collect()} == brute(rows, 5)
+    for size in (3e7, 1e30, -1e30):
+        df = spark.createDataFrame([(i, [size] * 8, 1, 1, 1) for i in range(3)], SCHEMA)
+        with pytest.raises(ValueError, match="63 bits"):
+            search.top_k(df, F.col("vec_id") % 50 == 0)
