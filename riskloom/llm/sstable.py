@@ -1,8 +1,11 @@
 """Token-ID output: sorted-string-table shards, and how to read and search them.
 
-Documents are range-partitioned by identifier, so that each task writes one shard, in order. A shard is a text-sink file
-whose lines are the parts of the format, each ended by the line feed that the sink adds: blocks of about `block_bytes`,
-a sparse index, a Bloom filter and a footer. All of Spark's commit protocol and file systems apply to it.
+Documents are range-partitioned by identifier, so that each task writes one shard, in order; how many there are follows from
+the bytes of text. A shard is a text-sink file whose lines are the parts of the format, each ended by the line feed that the sink
+adds: blocks of about `block_bytes`, a sparse index, a Bloom filter and a footer. All of Spark's commit protocol and file
+systems apply to it. Readers take ranges of a shard through Arrow's file systems: a scan reads blocks in stretches of some
+megabytes, a lookup reads the footer, the filter and, if that lets it, the index and the blocks it points to. Where Arrow does not know
+the file system, Spark hands over whole files.
 
     block   records: shared key bytes u8, own key bytes u8, value bytes u32, own key bytes, value
             key: 8 bytes of doc_id with the sign bit flipped, big-endian (a null doc_id: no bytes, so first), then a 0 and
@@ -23,9 +26,12 @@ from __future__ import annotations
 import struct
 import zlib
 from bisect import bisect_right
+from collections.abc import Callable
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -110,43 +116,68 @@ class ShardWriter:
 
 
 class Shard:
-    """A shard's bytes, read by its footer."""
+    """A shard, read by its footer. `read(at, n)` gives n bytes from a place on; parts are read when they are asked for."""
 
-    def __init__(self, data: bytes):
-        if len(data) < FOOTER.size + 1:
+    def __init__(self, read: Callable[[int, int], bytes], size: int):
+        if size < FOOTER.size + 1:
             raise BadShard("cut short")
-        self.data = memoryview(data)
-        self.index_at, self.filter_at, blocks, self.docs, self.ids, self.number, self.id_bytes, magic = FOOTER.unpack(self.data[-FOOTER.size - 1 : -1])
+        self.read, self.size = read, size
+        self.index_at, self.filter_at, self.blocks, self.docs, self.ids, self.number, self.id_bytes, magic = FOOTER.unpack(read(size - FOOTER.size - 1, FOOTER.size))
         if magic != MAGIC:
             raise BadShard("no footer")
-        self.starts, at = [], self.index_at
-        for _ in range(blocks):
-            n, place, size = ENTRY.unpack_from(self.data, at)
+
+    @classmethod
+    def of_bytes(cls, data: bytes) -> Shard:
+        return cls(lambda at, n: data[at : at + n], len(data))
+
+    @cached_property
+    def starts(self) -> list[tuple[bytes, int, int]]:
+        """First key, place and size of each block: the sparse index."""
+        index, found, at = self.read(self.index_at, self.filter_at - 1 - self.index_at), [], 0
+        for _ in range(self.blocks):
+            n, place, size = ENTRY.unpack_from(index, at)
             at += ENTRY.size + n
-            self.starts.append((bytes(self.data[at - n : at]), place, size))
+            found.append((index[at - n : at], place, size))
+        return found
+
+    @cached_property
+    def bloom(self) -> bytes:
+        return self.read(self.filter_at, self.size - FOOTER.size - 2 - self.filter_at)
 
     def may_hold(self, doc_id: int | None) -> bool:
-        probes, bloom = self.data[self.filter_at], self.data[self.filter_at + 1 : -FOOTER.size - 2]
-        return all(bloom[p >> 3] >> (p & 7) & 1 for p in _places(doc_id, probes, len(bloom) * 8))
+        probes, bits = self.bloom[0], self.bloom[1:]
+        return all(bits[p >> 3] >> (p & 7) & 1 for p in _places(doc_id, probes, len(bits) * 8))
 
-    def block(self, k: int):
-        _, at, size = self.starts[k]
-        end, key = at + size, b""
-        while at < end:
-            shared, own, n = RECORD.unpack_from(self.data, at)
+    def _records_of(self, data: bytes):
+        at, key = 0, b""
+        while at < len(data):
+            shared, own, n = RECORD.unpack_from(data, at)
             at += RECORD.size + own + n
-            key = key[:shared] + bytes(self.data[at - own - n : at - n])
-            yield key, np.frombuffer(self.data[at - n : at], f"<u{self.id_bytes}")
+            key = key[:shared] + data[at - own - n : at - n]
+            yield key, np.frombuffer(data[at - n : at], f"<u{self.id_bytes}")
 
-    def records(self):
-        for k in range(len(self.starts)):
-            for key, ids in self.block(k):
-                yield doc_id_of(key), ids
+    def block(self, k: int):
+        _, at, size = self.starts[k]
+        return self._records_of(self.read(at, size))
+
+    def records(self, stretch: int = 1 << 22):
+        """All records in order, read in stretches of blocks of about so many bytes (one block, if that is larger)."""
+        k = 0
+        while k < self.blocks:
+            first = self.starts[k][1]
+            stop = k + 1
+            while stop < self.blocks and self.starts[stop][1] + self.starts[stop][2] - first <= stretch:
+                stop += 1
+            data = memoryview(self.read(first, self.starts[stop - 1][1] + self.starts[stop - 1][2] - first))
+            for _, at, size in self.starts[k:stop]:
+                for key, ids in self._records_of(bytes(data[at - first : at - first + size])):
+                    yield doc_id_of(key), ids
+            k = stop
 
     def find(self, doc_id: int | None) -> list[np.ndarray]:
         """Ids of all rows of that identifier, by Bloom filter and binary search over the sparse index."""
         found: list[np.ndarray] = []
-        if not self.starts or not self.may_hold(doc_id):
+        if not self.blocks or not self.may_hold(doc_id):
             return found
         k = max(0, bisect_right(self.starts, key_of(doc_id), key=lambda x: x[0]) - 1)
         while k < len(self.starts) and self.starts[k][0] <= key_of(doc_id, 2**32 - 1):
@@ -155,8 +186,18 @@ class Shard:
         return found
 
 
-def write_shards(df: DataFrame, path: str, tokenizer_file: str, end_id: int, text: str = "text", shards: int | None = None, block_bytes: int = 32_768, id_bytes: int = 2) -> None:
-    """Tokenizes every text and writes the shards below `path`. id_bytes is 2 for vocabularies of up to 65,536 ids, else 4."""
+def shards_for(sizes: DataFrame, shard_bytes: int) -> int:
+    """How many shards texts of those bytes make: as many as their sum asks for, or, for small tables, enough to give all cores work."""
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    return max(1, -(-total // shard_bytes), min(sizes.sparkSession.sparkContext.defaultParallelism, total >> 20))
+
+
+def write_shards(
+    df: DataFrame, path: str, tokenizer_file: str, end_id: int, text: str = "text", shards: int | None = None, block_bytes: int = 32_768, id_bytes: int = 2, shard_bytes: int = 1 << 27
+) -> None:
+    """Tokenizes every text and writes the shards below `path`, one for about each shard_bytes of text unless a number is given. id_bytes is 2 for vocabularies of up to
+    65,536 ids, else 4. Texts are shuffled, not ids: these take as many bytes (two for each 2 to 3 letters, which compress less), and range bounds are sampled
+    from what is shuffled, so texts encoded before would be encoded twice."""
 
     def work(batches):
         encoder, end = word_encoder(tokenizer_file), np.array([end_id], ID_TYPE)
@@ -173,27 +214,52 @@ def write_shards(df: DataFrame, path: str, tokenizer_file: str, end_id: int, tex
     keyed = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("_text"))
     keyed = keyed.withColumn("_tie", F.xxhash64("_text"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("_tie")]
-    ranged = keyed.repartitionByRange(shards, *order) if shards else keyed.repartitionByRange(*order)
-    parts = ranged.sortWithinPartitions(*order).select("doc_id", "_text").mapInArrow(work, "part binary")
+    shards = shards or shards_for(keyed.select(F.length("_text").cast("long").alias("size")), shard_bytes)
+    parts = keyed.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "_text").mapInArrow(work, "part binary")
     parts.select(F.col("part").cast("string").alias("value")).write.text(path)
 
 
-def _shards(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
+def _opened(path: str) -> tuple[fs.FileSystem, str]:
+    if path.startswith("file:/") and not path.startswith("file:///"):
+        path = "file:///" + path.removeprefix("file:/")
+    return fs.FileSystem.from_uri(path)
+
+
+def _shards(spark: SparkSession, path: str, ranges: bool = True) -> DataFrame:
+    """path, size of every shard; with `content` only where ranges cannot be read."""
+    files = spark.read.format("binaryFile").load(path).where("length > 0")
+    if ranges:
+        try:
+            _opened(path)
+            return files.select("path", F.col("length").alias("size"))
+        except (pa.ArrowInvalid, OSError, NotImplementedError, ImportError):
+            pass
+    return files.select("path", F.col("length").alias("size"), "content")
+
+
+def _each_shard(batch: pa.RecordBatch):
+    if "content" in batch.schema.names:
+        for content in batch.column("content"):
+            yield Shard.of_bytes(content.as_py())
+        return
+    for path, size in zip(batch.column("path").to_pylist(), batch.column("size").to_pylist()):
+        system, name = _opened(path)
+        with system.open_input_file(name) as file:
+            yield Shard(lambda at, n, file=file: file.read_at(n, at), size)
 
 
-def read_shards(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
+def read_shards(spark: SparkSession, path: str, with_ids: bool = False, ranges: bool = True) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of every document, read from the shards; with_ids adds `ids array<int>`."""
 
     def totals(batches):
         for batch in batches:
-            found = [Shard(x) for x in batch.column("content").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([x.number for x in found], pa.int32()), pa.array([x.ids for x in found], pa.int64())], names=["shard", "ids"])
+            found = [(x.number, x.ids) for x in _each_shard(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int32()), pa.array([x for _, x in found], pa.int64())], names=["shard", "ids"])
 
     def documents(batches):
         for batch in batches:
-            for content in batch.column("content"):
-                shard, before = Shard(content.as_py()), 0
+            for shard in _each_shard(batch):
+                before = 0
                 rows: list[tuple] = []
                 for doc_id, ids in shard.records():
                     rows.append((doc_id, before, len(ids), zlib.crc32(ids.astype(ID_TYPE).tobytes()), shard.number, ids))
@@ -211,7 +277,7 @@ def read_shards(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
             arrays.append(pa.array([x.astype(np.int32) for x in columns[5]], pa.list_(pa.int32())))
         return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "within", "n_tokens", "ids_crc32", "shard", *["ids"] * with_ids])
 
-    files = _shards(spark, path)
+    files = _shards(spark, path, ranges)
     # one row a shard
     in_order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = files.mapInArrow(totals, "shard int, ids long").select("shard", F.coalesce(F.sum("ids").over(in_order), F.lit(0)).alias("before"))
@@ -224,8 +290,7 @@ def lookup(spark: SparkSession, path: str, doc_ids: list[int | None]) -> DataFra
 
     def work(batches):
         for batch in batches:
-            for content in batch.column("content"):
-                shard = Shard(content.as_py())
+            for shard in _each_shard(batch):
                 hits = [(x, ids.astype(np.int32)) for x in dict.fromkeys(doc_ids) for ids in shard.find(x)]
                 if hits:
                     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in hits], pa.int64()), pa.array([x for _, x in hits], pa.list_(pa.int32()))], names=["doc_id", "ids"])

@@ -87,6 +87,40 @@ def test_shards_equal_the_library(spark, request, expected, name):
     assert found == sorted((r.doc_id is not None, r.doc_id or 0, r.ids) for r in rows if r.doc_id in wanted)
 
 
+def test_whole_files_give_the_same(spark, small):
+    path = shared_path(spark, "test-shards")
+    sstable.write_shards(small, path, WORDS, 2, shards=2)
+    assert sorted(sstable.read_shards(spark, path).collect()) == sorted(sstable.read_shards(spark, path, ranges=False).collect())
+
+
+def test_shards_follow_the_bytes(spark, small):
+    texts = sum(len((r.text or "").encode()) for r in small.collect())
+    path = shared_path(spark, "test-shards")
+    sstable.write_shards(small, path, WORDS, 2, shard_bytes=texts // 9)
+    sizes = [r.size for r in sstable._shards(spark, path).collect()]
+    assert len(sizes) in (9, 10) and max(sizes) < 3 * sum(sizes) / len(sizes)
+
+
+def test_lookup_reads_what_it_needs():
+    """Footer, filter, index and the blocks of the identifier; the filter alone for identifiers that are not there."""
+    writer = sstable.ShardWriter(0, 2, 2000)
+    parts = [x for i in range(3000) for x in writer.add(i * 2, np.arange(50) + i)] + list(writer.finish())
+    data, taken = b"".join(x + b"\n" for x in parts), []
+
+    def read(at, n):
+        taken.append(n)
+        return data[at : at + n]
+
+    shard = sstable.Shard(read, len(data))
+    assert [x.tolist() for x in shard.find(2000)] == [(np.arange(50) + 1000).tolist()]
+    index, bloom = shard.filter_at - shard.index_at, len(data) - shard.filter_at
+    assert sum(taken) < index + bloom + 2 * 2200 < len(data) / 20
+    taken.clear()
+    absent = [i for i in range(1, 6000, 2) if not shard.may_hold(i)]
+    assert len(absent) > 2900 and not any(shard.find(i) for i in absent) and not taken
+    assert [d for d, _ in shard.records(stretch=5000)] == list(range(0, 6000, 2)) and max(taken) <= 5000
+
+
 def test_no_shards_of_nothing(spark, nothing):
     path = shared_path(spark, "test-shards")
     sstable.write_shards(nothing, path, WORDS, 2)
@@ -96,9 +130,9 @@ def test_no_shards_of_nothing(spark, nothing):
 def test_damaged_shard():
     writer = sstable.ShardWriter(0, 2, 100)
     data = b"".join(x + b"\n" for x in [*writer.add(1, np.arange(9)), *writer.finish()])
-    assert [ids.tolist() for _, ids in sstable.Shard(data).records()] == [list(range(9))]
+    assert [ids.tolist() for _, ids in sstable.Shard.of_bytes(data).records()] == [list(range(9))]
     with pytest.raises(sstable.BadShard):
-        sstable.Shard(data[:-2])
+        sstable.Shard.of_bytes(data[:-2])
 
 
 @pytest.mark.parametrize("name", ["small", "awkward"])
