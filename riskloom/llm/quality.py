@@ -1,12 +1,12 @@
 """Quality classifier: nearest-neighbour voting in a latent-semantic space.
 
-A text's terms are pairs of adjacent byte classes (64 classes: single lower-case letters, upper case, digits, each ASCII
-mark, blanks, line ends, the rest). Terms weigh log(1 + count) times their inverse document frequency and are projected on the
-leading singular vectors of a sample of at most `sample` labelled documents (the first by a hash of their doc_id; a documented
-bound on what the driver fits and what is broadcast). To the projection, of unit length, come two coordinates that pairs cannot
-show: the shares of words and of lines that repeat (a word equal to the one before, a line that occurred before), times
-`repetition`. Every text's vector is multiplied with all labelled vectors, in blocks; the `neighbours` of largest cosine, and
-all that tie with the last of them, vote with their label, weighted by a power of the cosine.
+A text's terms are its byte pairs (of 64 classes: single lower-case letters, upper case, digits, each ASCII mark, blanks, line
+ends, the rest) and its word pairs: two words one to three places apart, lower-cased, by their hashes' difference in bits, in
+4096 buckets. So unordered pairs share a bucket, and so do all pairs of equal words. Terms weigh the root of their count times
+their inverse document frequency; a text's weights, of unit length, are projected on the leading singular vectors of a sample of
+at most `sample` labelled documents (the first by a hash of their doc_id; a documented bound on what the driver fits and what is
+broadcast). Every text's vector is multiplied with all labelled vectors, in blocks; the `neighbours` of largest cosine, and all
+that tie with the last of them, vote with their label, weighted by a power of the cosine.
 
 Cases: a null or empty text has no terms and gets the labelled share of label 1. Very long texts count whole. Conflicting labels
 of one document count by their rounded mean; null labels are left out; a model without any label scores 0.5. Of rows that share
@@ -17,8 +17,8 @@ extra columns stay as they are, whatever they are called, but for those that the
 from __future__ import annotations
 
 import string
+import zlib
 from dataclasses import dataclass
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,9 @@ from riskloom.llm.common import in_training_folds, named, slices, unused
 
 CLASSES = 64
 PAIRS = CLASSES * CLASSES
-TERMS = PAIRS + 2
+WORD_PAIRS = 4096
+REACH = 3
+TERMS = PAIRS + WORD_PAIRS
 
 
 def _class_table() -> np.ndarray:
@@ -51,14 +53,16 @@ _TABLE = _class_table()
 
 
 def term_counts(data: bytes) -> np.ndarray:
-    """Counts of pairs, then the shares of repeated words and lines."""
+    """Counts of byte pairs, then of word pairs by bucket."""
     counts = np.zeros(TERMS, np.float32)
     if data:
         classes = _TABLE[np.frombuffer(data, np.uint8)]
         counts[:PAIRS] = np.bincount(classes[:-1] * CLASSES + classes[1:], minlength=PAIRS)
-        words, lines = data.split(), data.splitlines()
-        counts[-2] = sum(map(eq, words, words[1:])) / max(1, len(words) - 1)
-        counts[-1] = (len(lines) - len(set(lines))) / len(lines)
+        words = np.fromiter(map(zlib.crc32, data.lower().split()), np.uint64)
+        for apart in range(1, REACH + 1):
+            # multiplied, as the low bits of two checksums' difference alone would hold less than all of it
+            mixed = (words[:-apart] ^ words[apart:]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(52)
+            counts[PAIRS:] += np.bincount(mixed.astype(np.int64), minlength=WORD_PAIRS)
     return counts
 
 
@@ -69,18 +73,14 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 @dataclass
 class NeighbourModel:
     idf: np.ndarray
-    projection: np.ndarray  # pairs x dimensions
-    vectors: np.ndarray  # labelled x (dimensions + 2), of unit length
+    projection: np.ndarray  # terms x dimensions
+    vectors: np.ndarray  # labelled x dimensions, of unit length
     labels: np.ndarray
     neighbours: int
     power: float
-    repetition: float
-
-    def placed(self, weighted: np.ndarray, shares: np.ndarray) -> np.ndarray:
-        return _unit(np.concatenate([_unit(weighted @ self.projection), self.repetition * shares], axis=1))
 
     def embed(self, counts: np.ndarray) -> np.ndarray:
-        return self.placed(np.log1p(counts[:, :PAIRS]) * self.idf, counts[:, PAIRS:])
+        return _unit((np.sqrt(counts) * self.idf) @ self.projection)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
         if not len(self.labels):
@@ -92,7 +92,7 @@ class NeighbourModel:
         weights = np.clip(cosines[row, near], 0, None).astype(float) ** self.power
         total = np.bincount(row, weights, len(counts))
         votes = np.bincount(row, weights * self.labels[near], len(counts)) / np.where(total > 0, total, 1)
-        known = (total > 0) & counts[:, :PAIRS].any(axis=1)
+        known = (total > 0) & counts.any(axis=1)
         return np.clip(np.where(known, votes, self.labels.mean()), 0, 1)
 
 
@@ -109,9 +109,7 @@ def _sparse_terms(df: DataFrame) -> DataFrame:
     return df.mapInArrow(work, "doc_id long, hash long, label int, places binary, counts binary")
 
 
-def fit(
-    documents: DataFrame, labels: DataFrame, sample: int = 6000, dimensions: int = 48, neighbours: int = 15, power: float = 8.0, repetition: float = 1.0, text: str = "text"
-) -> NeighbourModel:
+def fit(documents: DataFrame, labels: DataFrame, sample: int = 6000, dimensions: int = 48, neighbours: int = 15, power: float = 8.0, text: str = "text") -> NeighbourModel:
     """labels: doc_id, label (0 or 1)."""
     one_each = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.round(F.avg("label")).cast("int").alias("label"))
     chosen = one_each.select(F.col("doc_id").cast("long").alias("doc_id"), "label").orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id").limit(sample)
@@ -120,25 +118,22 @@ def fit(
     one = F.min_by(F.struct("label", "places", "counts"), F.struct("hash", "places", "counts"))
     rows = [r.one for r in terms.groupBy("doc_id").agg(one.alias("one")).collect()]  # a row per chosen identifier
     if not rows:
-        return NeighbourModel(np.zeros(PAIRS, np.float32), np.zeros((PAIRS, 1), np.float32), np.zeros((0, 3), np.float32), np.zeros(0), neighbours, power, repetition)
+        return NeighbourModel(np.zeros(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), neighbours, power)
     rows.sort(key=lambda r: (r.places, r.counts, r.label))
-    counts = np.zeros((len(rows), TERMS), np.float32)
-    for x, r in zip(counts, rows):
+    weighted = np.zeros((len(rows), TERMS), np.float32)
+    for x, r in zip(weighted, rows):
         x[np.frombuffer(r.places, "<u2")] = np.frombuffer(r.counts, "<f4")
-    weighted, shares = counts[:, :PAIRS], counts[:, PAIRS:].copy()
     idf = np.log((1 + len(rows)) / (1 + (weighted > 0).sum(axis=0))).astype(np.float32) + np.float32(1)
-    np.log1p(weighted, out=weighted)  # in place: the driver holds one such table
+    np.sqrt(weighted, out=weighted)  # in place: the driver holds one such table
     weighted *= idf
     weighted /= np.maximum(np.sqrt(np.einsum("ij,ij->i", weighted, weighted)), 1e-12)[:, None]
     # leading right singular vectors by subspace iteration
-    basis = np.random.default_rng(0).standard_normal((PAIRS, min(dimensions + 16, len(rows)))).astype(np.float32)
+    basis = np.random.default_rng(0).standard_normal((TERMS, min(dimensions + 16, len(rows)))).astype(np.float32)
     for _ in range(5):
         basis = np.linalg.qr(weighted.T @ (weighted @ basis))[0]
     _, sizes, right = np.linalg.svd(weighted @ basis, full_matrices=False)
     projection = (basis @ right[:dimensions].T).astype(np.float32)
-    model = NeighbourModel(idf, projection, np.zeros((0, 0), np.float32), np.array([r.label for r in rows], float), neighbours, power, repetition)
-    model.vectors = model.placed(weighted, shares)
-    return model
+    return NeighbourModel(idf, projection, _unit(weighted @ projection), np.array([r.label for r in rows], float), neighbours, power)
 
 
 def classify(df: DataFrame, model: NeighbourModel, text: str = "text", block: int = 512, into: tuple[str, str] = ("score", "predicted")) -> DataFrame:

@@ -26,6 +26,17 @@ def test_held_out_accuracy(tables, model):
     assert sum((a > b) + (a == b) / 2 for a in good for b in bad) / len(good) / len(bad) > 0.98
 
 
+def test_held_out_junk_of_the_larger_table(spark):
+    """All 1,344 held-out labels of sf0.1: junk and clean documents told apart by neighbours alone."""
+    tables = [spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels")]
+    labels = {r.doc_id: r.quality for r in tables[1].where("quality IS NOT NULL").collect()}
+    held = tables[0].join(tables[1].select("doc_id"), "doc_id", "left_semi")
+    rows = [r for r in quality.classify(held, quality.fit_on_folds(*tables)).collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    good, bad = (np.array([r.score for r in rows if labels[r.doc_id] == y]) for y in (1, 0))
+    assert len(rows) == 1344 and ((good[:, None] > bad) + (good[:, None] == bad) / 2).mean() > 0.99
+    assert (good >= 0.5).mean() > 0.995 and (bad < 0.5).mean() > 0.95
+
+
 def test_votes_equal_brute_force(model, small):
     """Cosine by cosine, all that tie with the last neighbour among the voters."""
     counts = np.stack([quality.term_counts(r.text.encode()) for r in small.limit(20).collect()])
@@ -39,12 +50,12 @@ def test_votes_equal_brute_force(model, small):
 
 def test_projection_equals_whole_decomposition(tables):
     """The same singular space as numpy's whole decomposition of the weighted terms."""
-    model = quality.fit_on_folds(*tables, dimensions=5, repetition=0.0)
+    model = quality.fit_on_folds(*tables, dimensions=5)
     labels = [r.doc_id for r in tables[1].where("quality IS NOT NULL").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
     texts = {r.doc_id: r.text for r in tables[0].collect()}
-    counts = np.stack([quality.term_counts((texts[i] or "").encode())[: quality.PAIRS] for i in labels if i in texts]).astype(float)
+    counts = np.stack([quality.term_counts((texts[i] or "").encode()) for i in labels if i in texts]).astype(float)
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1
-    weighted = np.log1p(counts) * idf
+    weighted = np.sqrt(counts) * idf
     weighted /= np.linalg.norm(weighted, axis=1, keepdims=True)
     right = np.linalg.svd(weighted, full_matrices=False)[2][:3]
     assert model.idf == pytest.approx(idf, rel=1e-4)
@@ -54,7 +65,11 @@ def test_projection_equals_whole_decomposition(tables):
 def test_counts_equal_brute_force():
     data = "Ab ab ab\nx!\nx!\né".encode()
     counts = quality.term_counts(data)
-    assert counts[:-2].sum() == len(data) - 1 and counts[-2] == pytest.approx(2 / 5) and counts[-1] == pytest.approx(1 / 4)
+    words = data.lower().split()
+    assert counts[: quality.PAIRS].sum() == len(data) - 1 and counts[quality.PAIRS :].sum() == sum(len(words) - d for d in (1, 2, 3))
+    equal = sum(words[i] == words[i + d] for d in (1, 2, 3) for i in range(len(words) - d))
+    assert equal == 4 and counts[quality.PAIRS] >= equal
+    assert np.array_equal(quality.term_counts(b" ".join(words))[quality.PAIRS :], counts[quality.PAIRS :]) and not quality.term_counts(b"").any()
 
 
 def test_repeated_identifiers_drop_no_label(spark, small):
