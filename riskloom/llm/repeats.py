@@ -276,11 +276,14 @@ def _window_rows(rows: pa.Table, index_bytes: int) -> pa.Table:
     low, _ = _by(number, columns["low"], len(first))
     # equal windows have equal keys, so a block can be cut by keys
     sub = columns["subs"][first]
-    pieces = max(1, -(-int(length[first].sum()) // index_bytes))
-    piece = sub % pieces
     windows = length[first] - SPAN + 1
     offset = np.cumsum(windows) - windows
-    least = np.empty(int(windows.sum()), np.int64)
+    least = np.repeat(low, windows)
+    # a content that stands alone under its key has nothing to meet: its windows are in no other
+    _, key, holds = np.unique(sub, return_inverse=True, return_counts=True)
+    met = holds[key] > 1
+    pieces = max(1, -(-int(length[first[met]].sum()) // index_bytes))
+    piece = np.where(met, sub % pieces, pieces)
     for i in range(pieces):
         own = np.flatnonzero(piece == i)
         if len(own):
@@ -352,7 +355,7 @@ def remove_repeats(
     part_bytes: int = 1 << 26,
     bucket_bytes: int = 1 << 28,
     block_bytes: int = 1 << 26,
-    index_bytes: int = 3 << 19,
+    index_bytes: int = 1 << 20,
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; keep_text adds `kept binary`, the bytes that stay."""
     spark = documents.sparkSession
