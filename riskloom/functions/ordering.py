@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import struct
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,18 +105,36 @@ def _between(places: list[float], n: int, at: dict[int, float]) -> list[float]:
     return found
 
 
-def select_quantiles(values: DataFrame, by: list[str], value: str, probabilities: list[float], bits: int = 16, zero_share: float | None = None) -> list[Quantiles]:
+def less_own_fold(rows: DataFrame, keys: list[str], fold: str, k: int, sums: dict[str, Column], into: str = "_fold") -> DataFrame:
+    """keys, `into` (0 to k - 1) and each sum over the rows of all other folds: the total less the fold's own, so rows are read once and not once a fold. Groups that
+    have no row outside a fold have none for it."""
+    own = {f"{s}_{i}": F.sum(F.when(F.col(fold) == i, c).otherwise(0)) for s, c in sums.items() for i in range(k)}
+    totals = rows.groupBy(*keys).agg(*(F.sum(c).alias(f"{s}_all") for s, c in sums.items()), F.count("*").alias("_rows_all"), *(c.alias(n) for n, c in own.items()), *(F.count_if(F.col(fold) == i).alias(f"_rows_{i}") for i in range(k)))
+    each = [F.struct(F.lit(i).alias(into), (F.col("_rows_all") - F.col(f"_rows_{i}")).alias("_rows"), *((F.col(f"{s}_all") - F.col(f"{s}_{i}")).alias(s) for s in sums)) for i in range(k)]
+    return totals.select(*keys, F.explode(F.array(*each)).alias("_r")).select(*keys, "_r.*").where("_rows > 0").drop("_rows")
+
+
+def select_quantiles(values: DataFrame, by: list[str], value: str, probabilities: list[float], bits: int = 16, zero_share: float | None = None, folds: tuple[str, int] | None = None) -> list[Quantiles]:
     """Linear-interpolated quantiles of the known values of few groups (features, classes), by selection on ordered bits.
 
     One pass counts all groups' values by their leading bits. Only buckets that hold a wanted rank are counted again, by the next bits, or by all the rest once
     they hold few rows: two passes for most data, 64 / bits at most, whatever the distribution. A pass shuffles at most 2^bits rows per task and bucket; the driver
-    gets a row per group and wanted rank. Groups whose share of zeros reaches zero_share are taken without their zeros.
+    gets a row per group and wanted rank. Groups whose share of zeros reaches zero_share are taken without their zeros. With folds = (column, k), each group has k
+    results, the i-th (its group ends with i) over the rows that are not of fold i, from the same passes.
     """
     v = F.col(value).cast("double")
-    rows = values.where(v.isNotNull() & ~F.isnan(v)).select(*by, ordered_bits(v).alias("_key"))
+    rows = values.where(v.isNotNull() & ~F.isnan(v)).select(*by, *([folds[0]] if folds else []), ordered_bits(v).alias("_key"))
+    names = [*by, *(["_fold"] if folds else [])]
+    zero = (F.col("_key") == 0).cast("long")
+
+    def counts(df: DataFrame, keys: list[str]) -> DataFrame:
+        if folds:
+            return less_own_fold(df, keys, *folds, {"_n": F.lit(1).cast("long"), "_z": zero})
+        return df.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum(zero).alias("_z"))
+
     shift = 64 - bits
-    all_of, lower = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counted = rows.groupBy(*by, F.shiftright("_key", shift).alias("_b")).agg(F.count("*").alias("_n"), F.count_if(F.col("_key") == 0).alias("_z"))
+    all_of, lower = Window.partitionBy(*names), Window.partitionBy(*names).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counted = counts(rows.withColumn("_b", F.shiftright("_key", shift)), [*by, "_b"])
     counted = counted.withColumns({"_known": F.sum("_n").over(all_of), "_zeros": F.sum("_z").over(all_of)})
     without = F.lit(False) if zero_share is None else F.col("_zeros") / F.col("_known") >= zero_share
     counted = counted.withColumn("_without", without).withColumn("_n", F.col("_n") - F.when(F.col("_without"), F.col("_z")).otherwise(0))
@@ -124,25 +143,29 @@ def select_quantiles(values: DataFrame, by: list[str], value: str, probabilities
     ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(place(p)), F.ceil(place(p))) for p in probabilities))))
     inside = F.filter(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")))
     first = counted.withColumn("_ranks", inside).where((F.size("_ranks") > 0) | (F.col("_before") == 0)).collect()
-    groups = {tuple(r[c] for c in by): r for r in first}
+    groups = {tuple(r[c] for c in names): r for r in first}
     #: (group, bucket): (rows in it, ranks within it and the ranks they stand for)
-    wanted = {(tuple(r[c] for c in by), r["_b"]): (r["_n"], {k - r["_before"]: k for k in r["_ranks"]}) for r in first if r["_ranks"]}
-    fields = values.select(*by).schema.fields
-    schema = T.StructType([*(T.StructField(f"_g{i}", f.dataType) for i, f in enumerate(fields)), T.StructField("_p", T.LongType()), T.StructField("_skip", T.BooleanType()), T.StructField("_wanted", T.ArrayType(T.LongType()))])
+    wanted = {(tuple(r[c] for c in names), r["_b"]): (r["_n"], {k - r["_before"]: k for k in r["_ranks"]}) for r in first if r["_ranks"]}
+    fields = [*values.select(*by).schema.fields, *([T.StructField("_fold", T.IntegerType())] if folds else [])]
+    group_fields = [T.StructField(f"_g{i}", f.dataType) for i, f in enumerate(fields)]
+    bucket = T.StructField("_p", T.LongType())
+
+    def same(columns: list[str]) -> Column:
+        return reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(columns)), F.col("_q") == F.col("_p"))
+
     while wanted and shift:
         before, shift = shift, 0 if max(n for n, _ in wanted.values()) <= 1 << bits else max(0, shift - bits)
-        small = values.sparkSession.createDataFrame([(*g, b, groups[g]["_without"], list(r)) for (g, b), (_, r) in wanted.items()], schema)
-        same = F.shiftright("_key", before) == F.col("_p")
-        for i, c in enumerate(by):
-            same &= F.col(c).eqNullSafe(F.col(f"_g{i}"))
-        met = rows.join(F.broadcast(small), same).where(~(F.col("_skip") & (F.col("_key") == 0)))  # a row per group and wanted rank, at most
-        parts = met.groupBy(*by, "_p", "_wanted", F.shiftright("_key", shift).alias("_b")).agg(F.count("*").alias("_n"))
-        lower = Window.partitionBy(*by, "_p").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(lower), F.lit(0)))
+        create, n_by = values.sparkSession.createDataFrame, len(by)
+        buckets = create(list({(*g[:n_by], b) for g, b in wanted}), T.StructType([*group_fields[:n_by], bucket]))
+        small = create([(*g, b, groups[g]["_without"], list(r)) for (g, b), (_, r) in wanted.items()], T.StructType([*group_fields, bucket, T.StructField("_skip", T.BooleanType()), T.StructField("_wanted", T.ArrayType(T.LongType()))]))
+        met = rows.withColumn("_q", F.shiftright("_key", before)).join(F.broadcast(buckets), same(by)).drop("_p")  # a row per group and wanted rank, at most
+        parts = counts(met.withColumn("_b", F.shiftright("_key", shift)), [*by, "_q", "_b"]).join(F.broadcast(small), same(names))
+        lower = Window.partitionBy(*names, "_p").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.withColumn("_n", F.col("_n") - F.when(F.col("_skip"), F.col("_z")).otherwise(0)).withColumn("_before", F.coalesce(F.sum("_n").over(lower), F.lit(0)))
         hit = F.filter("_wanted", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")))
         after = {}
         for r in parts.withColumn("_hit", hit).where(F.size("_hit") > 0).collect():
-            g = tuple(r[c] for c in by)
+            g = tuple(r[c] for c in names)
             stands_for = wanted[g, r["_p"]][1]
             after[g, r["_b"]] = (r["_n"], {k - r["_before"]: stands_for[k] for k in r["_hit"]})
         wanted = after

@@ -65,10 +65,10 @@ def calibration(scores: DataFrame, p: str = "p", y: str = "y", edges: list[float
     return scores.groupBy(number.alias("bin")).agg(F.count("*").alias("n"), F.avg(y).alias("observed"), F.avg(p).alias("mean_p")).orderBy("bin")
 
 
-def fold_summary(folds: DataFrame, metrics: tuple[str, ...] = ("auc", "ks", "f1", "precision", "recall")) -> DataFrame:
+def fold_summary(folds: DataFrame, metrics: tuple[str, ...] = ("auc", "ks", "f1", "precision", "recall"), by: tuple[str, ...] = ("model",)) -> DataFrame:
     """Mean, sample deviation and text per model and metric."""
-    long = folds.select("model", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics))).alias("r")).select("model", "r.*")
-    t = long.groupBy("model", "metric").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("deviation"))
+    long = folds.select(*by, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics))).alias("r")).select(*by, "r.*")
+    t = long.groupBy(*by, "metric").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("deviation"))
     return t.withColumn("text", F.format_string("%.4f ± %.4f", F.col("mean"), F.coalesce("deviation", F.lit(0.0))))
 
 

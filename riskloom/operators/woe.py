@@ -71,16 +71,43 @@ def assign_bins(long: DataFrame, edges: DataFrame) -> DataFrame:
     return long.select(*long.columns, kind.alias("bin_kind"), number.alias("bin_number"))
 
 
-def wide_bins(df: DataFrame, edges: DataFrame, keep: list[str], values: bool = False) -> DataFrame:
-    """keep, feature, bin_kind, bin_number (and v): every feature's bin is a column of its row before rows are taken apart, so what is counted are bins, not values."""
+def _codes(edges: list[dict], values: bool = False) -> list[Column]:
     each = []
-    for e in (r.asDict() for r in edges.collect()):  # a row per feature
+    for e in edges:
         v = F.col(f"`{e['feature']}`").cast("double")
         kind, number = interval_of(v, e)
-        each.append(F.struct(F.lit(e["feature"]).alias("feature"), *([v.alias("v")] if values else []), kind.alias("bin_kind"), number.alias("bin_number")))
+        own = [F.lit(e["fold"]).alias("fold")] if "fold" in e else []
+        each.append(F.struct(*own, F.lit(e["feature"]).alias("feature"), *([v.alias("v")] if values else []), kind.alias("bin_kind"), number.alias("bin_number")))
+    return each
+
+
+def wide_bins(df: DataFrame, edges: DataFrame, keep: list[str], values: bool = False) -> DataFrame:
+    """keep, feature, bin_kind, bin_number (and v): every feature's bin is a column of its row before rows are taken apart, so what is counted are bins, not values."""
+    each = _codes([r.asDict() for r in edges.collect()], values)  # a row per feature
     return df.select(*keep, F.explode(F.array(*each)).alias("p")).select(*keep, "p.*")
 
 
+def fit_fold_edges(df: DataFrame, features: list[str], fold: str, k: int = 5, p: WoeParameters = WoeParameters()) -> DataFrame:
+    """fold, feature, use_zero, edges, interior: the bins of each fold's training rows (all rows of other folds), for all folds from the same two or three passes."""
+    long = long_numeric(df, features, [fold])
+    found = {q.group: q for q in select_quantiles(long, ["feature"], "v", p.probabilities(), zero_share=p.min_zero_share if p.separate_zero else None, folds=(fold, k))}
+    rows = []
+    for i in range(k):
+        for feature in features:
+            q = found.get((feature, i))
+            edges = sorted(set(q.quantiles)) if q and q.quantiles else []
+            rows.append((i, feature, bool(q and q.without_zeros), edges, edges[1:-1]))
+    return df.sparkSession.createDataFrame(rows, "fold int, " + EDGES)
+
+
+def fold_table(df: DataFrame, edges: DataFrame, fold: str, label: str, p: WoeParameters = WoeParameters()) -> DataFrame:
+    """The evidence table of each fold's training rows: fold (the one left out), feature, bin and what `woe_table` gives. One pass: a row is binned by each
+    model that may see it."""
+    each = _codes([r.asDict() for r in edges.collect()])  # a row per fold and feature
+    seen = df.select(F.col(fold).alias("_own"), label, F.explode(F.array(*each)).alias("p")).select("_own", label, "p.*").where("_own != fold")
+    return woe_table(seen, label, ["bin_kind", "bin_number"], p, by=("fold", "feature"))
+
+
 def kept_categories(long: DataFrame, p: WoeParameters = WoeParameters()) -> DataFrame:
     """feature, c: categories with enough of the known rows. A share of at least min_category_share bounds their number."""
     counts = long.where("c IS NOT NULL").groupBy("feature", "c").agg(F.count("*").alias("n"))
@@ -94,10 +121,10 @@ def fold_categories(long: DataFrame, kept: DataFrame) -> DataFrame:
     return flagged.withColumn("bin_kind", F.when(F.col("c").isNull(), MISSING).when(F.col("kept"), CATEGORY).otherwise(OTHER)).withColumn("category", F.when(F.col("kept"), F.col("c"))).drop("kept")
 
 
-def woe_table(binned: DataFrame, label: str, bins: list[str], p: WoeParameters = WoeParameters()) -> DataFrame:
+def woe_table(binned: DataFrame, label: str, bins: list[str], p: WoeParameters = WoeParameters(), by: tuple[str, ...] = ("feature",)) -> DataFrame:
     """Per feature and bin: n, n_positive, n_negative, rate, shares, woe, iv_term. Windows run over a feature's few bins."""
-    t = binned.groupBy("feature", *bins).agg(F.count("*").alias("n"), F.sum(label).cast("long").alias("n_positive"))
-    all_bins = Window.partitionBy("feature")
+    t = binned.groupBy(*by, *bins).agg(F.count("*").alias("n"), F.sum(label).cast("long").alias("n_positive"))
+    all_bins = Window.partitionBy(*by)
     pos, neg = F.col("n_positive") + p.smoothing, F.col("n_negative") + p.smoothing
     return (
         t.withColumn("n_negative", F.col("n") - F.col("n_positive"))
@@ -122,8 +149,8 @@ def category_order(table: DataFrame) -> DataFrame:
     return table.withColumn("position", F.row_number().over(Window.partitionBy("feature").orderBy("woe", "bin_kind", "category")))
 
 
-def information_values(table: DataFrame) -> DataFrame:
-    return table.groupBy("feature").agg(F.sum("iv_term").alias("iv"), F.count("*").alias("n_bins"))
+def information_values(table: DataFrame, by: tuple[str, ...] = ("feature",)) -> DataFrame:
+    return table.groupBy(*by).agg(F.sum("iv_term").alias("iv"), F.count("*").alias("n_bins"))
 
 
 def iv_ranking(values: DataFrame) -> DataFrame:
@@ -168,6 +195,18 @@ class WoeModel:
         woe = {(r.feature, r.bin_kind, r.category if r.bin_kind == CATEGORY else r.bin_number): r.woe for r in rows}
         return cls(edges, {f: kept.get(f, []) for f in strings}, woe, table)
 
+    @classmethod
+    def fit_folds(cls, df: DataFrame, numeric: list[str], label: str, fold: str, k: int = 5, p: WoeParameters = WoeParameters()) -> list[WoeModel]:
+        """A model for each fold, fitted on the rows of the others: all of them from the passes that one of them would take."""
+        fitted = fit_fold_edges(df, numeric, fold, k, p)
+        table = fold_table(df, fitted, fold, label, p)
+        edges, woe = [[] for _ in range(k)], [{} for _ in range(k)]
+        for r in fitted.collect():  # a row per fold and feature
+            edges[r.fold].append(r.asDict())
+        for r in table.collect():  # a row per fold and bin
+            woe[r.fold][r.feature, r.bin_kind, r.bin_number] = r.woe
+        return [cls(edges[i], {}, woe[i], table.where(F.col("fold") == i).drop("fold")) for i in range(k)]
+
     def expression(self, feature: str) -> Column:
         """woe of a feature's value; bins not met in the fit give 0."""
         value = lambda kind, number=0: F.lit(self.woe.get((feature, kind, number), 0.0))

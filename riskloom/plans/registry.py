@@ -15,11 +15,11 @@ from pyspark.sql import types as T
 
 from riskloom.functions import scalars
 from riskloom.functions.ordering import exact_quantiles
-from riskloom.operators import explain, folds, metrics, models, prepare, profile, thresholds, woe
+from riskloom.operators import explain, folds, logistic, metrics, models, prepare, profile, thresholds, woe
 from riskloom.plans.fixtures import ADDRESS_CATALOG as CATALOG
 from riskloom.plans.fixtures import ADDRESS_SQL, DOCS_SQL, LINE_FEATURES, LINES_SQL, RISK, RISK_INTERCEPT, address_profile, labeled_docs, line_flags, scored_lines, table
 from riskloom.plans.woe_sql import BAND, categorical, numeric
-from riskloom.session import scratch_path
+from riskloom.session import discard, scratch_path
 from riskloom.sources.readers import read_csv
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -419,6 +419,52 @@ def permuted_label_counts(spark, sf_dir):
     return folds.permuted_labels(address_profile(spark, sf_dir), "row_id", "flag").groupBy("flag").agg(F.count("*").alias("n"), F.countDistinct("row_id").alias("n_rows"))
 
 
+_FOLDED = f"{_KEYED}, folded AS (SELECT a.*, CAST(r.r % 5 AS INTEGER) AS fold FROM address a JOIN ranked r USING (row_id))"
+
+
+@query(f"WITH {_FOLDED}, " + ", ".join(f"src_{i} AS (SELECT * FROM folded WHERE fold <> {i}), {numeric(f'src_{i}', 'flag', KNOWN, f'_{i}')}" for i in range(5)) + " " + " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS fold, feature, round(iv, 6) AS iv, n_bins FROM iv_{i}" for i in range(5)))
+def fold_information_values(spark, sf_dir):
+    """Information values of each fold's training rows, with bins of their own: five leak-free fits from the passes of one."""
+    df = address_profile(spark, sf_dir)
+    folded = df.join(folds.stratified_folds(df.select("row_id", "flag"), "row_id", "flag", 5, folds.arithmetic_key(F.col("row_id"))).select("row_id", "fold"), "row_id")
+    path = scratch_path(spark, "folded")
+    folded.select("fold", "flag", *KNOWN).write.parquet(path)
+    folded = spark.read.parquet(path)
+    return woe.information_values(woe.fold_table(folded, woe.fit_fold_edges(folded, KNOWN, "fold"), "fold", "flag"), ("fold", "feature"))
+
+
+_NEWTON_STEPS = 6
+_NEWTON_FEATURES = ["l_quantity", "l_discount"]
+
+
+def _newton_sql() -> str:
+    """Each step solves its three equations by Cramer's rule."""
+    sides = [f"w{i} AS (SELECT DISTINCT b.v, w.woe FROM binned b JOIN woe w USING (feature, bin_kind, bin_number) WHERE b.feature = '{f}')" for i, f in enumerate(_NEWTON_FEATURES, 1)]
+    q = "1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2)))"
+    parts = [f"g AS (SELECT {_NEWTON_FEATURES[0]} AS v1, {_NEWTON_FEATURES[1]} AS v2, CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS pos FROM lines GROUP BY ALL)", *sides]
+    parts.append("x AS (SELECT w1.woe AS x1, w2.woe AS x2, sum(n) AS n, sum(pos) AS pos FROM g JOIN w1 ON g.v1 IS NOT DISTINCT FROM w1.v JOIN w2 ON g.v2 IS NOT DISTINCT FROM w2.v GROUP BY ALL)")
+    parts.append("s0 AS (SELECT 0e0 AS b0, 0e0 AS b1, 0e0 AS b2)")
+    for k in range(_NEWTON_STEPS):
+        sums = "sum(v) AS a, sum(v * x1) AS b, sum(v * x2) AS c, sum(v * x1 * x1) + 1 AS d, sum(v * x1 * x2) AS e, sum(v * x2 * x2) + 1 AS f, sum(o) AS u, sum(o * x1) + max(b1) AS v1, sum(o * x2) + max(b2) AS w1, max(b0) AS b0, max(b1) AS b1, max(b2) AS b2"
+        parts.append(f"t{k} AS (SELECT {sums} FROM (SELECT *, n * q * (1 - q) AS v, n * q - pos AS o FROM (SELECT *, {q} AS q FROM x, s{k})))")
+        det = "(a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c))"
+        parts.append(f"s{k + 1} AS (SELECT b0 - (u * (d * f - e * e) - b * (v1 * f - e * w1) + c * (v1 * e - d * w1)) / {det} AS b0, b1 - (a * (v1 * f - e * w1) - u * (b * f - e * c) + c * (b * w1 - v1 * c)) / {det} AS b1, b2 - (a * (d * w1 - v1 * e) - b * (b * w1 - v1 * c) + u * (b * e - d * c)) / {det} AS b2 FROM t{k})")
+    out = " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS step, round(b0, 6) AS intercept, round(b1, 6) AS quantity, round(b2, 6) AS discount FROM s{k}" for k in range(1, _NEWTON_STEPS + 1))
+    return f"WITH {LINES_SQL}, {numeric('lines', 'y', _NEWTON_FEATURES)}, {', '.join(parts)} {out}"
+
+
+@query(_newton_sql())
+def newton_steps(spark, sf_dir):
+    """A logistic model on the evidence of two features, step by step from 0."""
+    df = line_flags(spark, sf_dir)
+    model = woe.WoeModel.fit(df, _NEWTON_FEATURES, "y")
+    path = scratch_path(spark, "evidence")
+    logistic.counted(df.select(F.lit(0).alias("fold"), "y", *(model.expression(f).alias(f) for f in _NEWTON_FEATURES)), _NEWTON_FEATURES, "y", "fold").write.parquet(path)
+    rows = [r[1:] for r in logistic.newton_path(spark.read.parquet(path), _NEWTON_FEATURES, steps=_NEWTON_STEPS)]
+    discard(spark, path)
+    return spark.createDataFrame(rows, "step int, intercept double, quantity double, discount double")
+
+
 # ---- metrics
 
 _GROUPS = f"{LINES_SQL}, g AS (SELECT p, CAST(sum(y) AS DOUBLE) AS pos, CAST(sum(1 - y) AS DOUBLE) AS neg FROM lines GROUP BY p)"
@@ -625,9 +671,13 @@ def cv_model_comparison(spark, sf_dir):
     return models.compare(_model_rows(spark, sf_dir), MODEL_FEATURES, "doc_id", "junk")[0]
 
 
+#: Decisions are made on this model's out-of-fold scores.
+DECISION_MODEL = models.BOOSTING
+
+
 @query()
 def oof_scores(spark, sf_dir):
-    return models.out_of_fold(_model_rows(spark, sf_dir), models.LOGISTIC, MODEL_FEATURES, "doc_id", "junk")
+    return models.out_of_fold(_model_rows(spark, sf_dir), DECISION_MODEL, MODEL_FEATURES, "doc_id", "junk")
 
 
 @query("""SELECT CAST(1 - quality AS INTEGER) AS junk, CAST(i AS INTEGER) AS fold, CAST((count(*) - i + 4) // 5 AS BIGINT) AS n, CAST((count(*) - i + 4) // 5 AS BIGINT) AS n_scored
@@ -641,32 +691,47 @@ def oof_fold_sizes(spark, sf_dir):
 @query()
 def oof_capacity_plan(spark, sf_dir):
     """Out-of-fold scores through sweep, cost and capacity: per cap the lowest threshold that keeps it, and its cost at 20 : 1."""
-    scores = models.out_of_fold(_model_rows(spark, sf_dir), models.LOGISTIC, MODEL_FEATURES, "doc_id", "junk")
+    scores = models.out_of_fold(_model_rows(spark, sf_dir), DECISION_MODEL, MODEL_FEATURES, "doc_id", "junk")
     plan = thresholds.capacity(thresholds.with_cost(thresholds.sweep(scores, "p", "junk"), 20.0, 1.0), _CAPS)
     return plan.select("cap", "feasible", "threshold", "alert_rate", "recall", "cost")
 
 
 @query()
 def cv_fold_detail(spark, sf_dir):
-    return models.cross_validate(_model_rows(spark, sf_dir), models.LOGISTIC, MODEL_FEATURES, "doc_id", "junk")
+    """Every fold of all three models."""
+    return models.compare(_model_rows(spark, sf_dir), MODEL_FEATURES, "doc_id", "junk")[1]
+
+
+def _tracks(spark, sf_dir):
+    found = {}
+    for track in (prepare.FULL, prepare.NO_LEAK):
+        t = prepare.build_track(address_profile(spark, sf_dir), CATALOG, track, "tok_n")
+        found[track] = (t.data, t.features)
+    return found
+
+
+@query()
+def cv_track_models(spark, sf_dir):
+    """Thirty fits: three models, five folds, both tracks."""
+    return models.compare_tracks(spark, _tracks(spark, sf_dir), "row_id", "flag")
 
 
-def _track_summary(spark, sf_dir, track, shells=True):
-    t = prepare.build_track(address_profile(spark, sf_dir), CATALOG, track, "tok_n")
-    rows = t.data if shells else models.without_shells(t.data, t.features)
-    return models.compare(rows, t.features, "row_id", "flag", (models.LOGISTIC,))[0]
+def _difference(summary, left, right):
+    return metrics.track_difference(*(summary.where(F.col("track") == t).drop("track") for t in (left, right)))
 
 
 @query()
 def cv_track_difference(spark, sf_dir):
-    """The logistic model with and without the indicator of missing history, in mean metrics over folds."""
-    return metrics.track_difference(_track_summary(spark, sf_dir, prepare.FULL), _track_summary(spark, sf_dir, prepare.NO_LEAK))
+    """All three models with and without the indicator of missing history, in mean metrics over folds."""
+    return _difference(models.compare_tracks(spark, _tracks(spark, sf_dir), "row_id", "flag"), prepare.FULL, prepare.NO_LEAK)
 
 
 @query()
 def cv_without_shells(spark, sf_dir):
-    """The same for the track without leaks, with and without rows whose features are all 0."""
-    return metrics.track_difference(_track_summary(spark, sf_dir, prepare.NO_LEAK), _track_summary(spark, sf_dir, prepare.NO_LEAK, shells=False))
+    """All three models on the track without leaks, with and without rows whose features are all 0."""
+    data, features = _tracks(spark, sf_dir)[prepare.NO_LEAK]
+    tracks = {"all": (data, features), "without shells": (models.without_shells(data, features), features)}
+    return _difference(models.compare_tracks(spark, tracks, "row_id", "flag"), "all", "without shells")
 
 
 @query()
@@ -677,7 +742,10 @@ def permutation_control(spark, sf_dir):
 def _boosted(spark, sf_dir):
     df = _model_rows(spark, sf_dir)
     scorer = models.fit(df, models.BOOSTING, MODEL_FEATURES, "junk")
-    return df, scorer, explain.trees_of(spark, scorer.model, scratch_path(spark, "trees"))
+    path = scratch_path(spark, "trees")
+    trees = explain.trees_of(spark, scorer.model, path)
+    discard(spark, path)
+    return df, scorer, trees
 
 
 @query()

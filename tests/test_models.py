@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from riskloom.operators import explain, metrics, models
+from riskloom.operators import explain, logistic, metrics, models
 from riskloom.operators.woe import WoeModel
 from riskloom.plans import registry
 from riskloom.streaming.scoring import score_stream
@@ -34,26 +34,80 @@ def test_cross_validation_and_control(rows):
 
 
 def test_registered_models_are_whole(spark, monkeypatch):
+    """All models, folds and trees are asked for."""
     asked, stop = [], RuntimeError("asked")
 
-    def cross_validate(df, name, features, row_id, label, k=5, **how):
+    def fold_scores(folded, name, features, label, k, parallel, **how):
         asked.append((name, k, how))
-        return spark.createDataFrame([(name, 0, 0.5, 0.0, 0.0, 0.0, 0.0)], "model string, fold int, auc double, ks double, f1 double, precision double, recall double")
+        return folded.withColumn("p", F.lit(0.5))
 
     def fit(df, name, features, label, **how):
         asked.append((name, how))
         raise stop
 
-    monkeypatch.setattr(models, "cross_validate", cross_validate)
+    monkeypatch.setattr(models, "_fold_scores", fold_scores)
     assert inspect.signature(models.fit).parameters["trees"].default == 300
     monkeypatch.setattr(models, "fit", fit)
-    summary = registry.queries()["cv_model_comparison"](spark, "/root/testdata/sf0.001")
-    assert asked == [(n, 5, {}) for n in (models.LOGISTIC, models.BOOSTING, models.FOREST)] and "text" in summary.columns
-    registry.queries()["permutation_control"](spark, "/root/testdata/sf0.001")
-    assert asked[3:] == [(models.BOOSTING, 5, {})]
+    small, queries, all_three = "/root/testdata/sf0.001", registry.queries(), [(n, 5, {}) for n in (models.LOGISTIC, models.BOOSTING, models.FOREST)]
+    assert "text" in queries["cv_model_comparison"](spark, small).columns and asked == all_three
+    for name, times in (("cv_fold_detail", 1), ("cv_track_models", 2), ("cv_track_difference", 2), ("cv_without_shells", 2)):
+        asked.clear()
+        rows = queries[name](spark, small).collect()
+        assert asked == all_three * times and len(rows) == {"cv_fold_detail": 15, "cv_track_models": 30}.get(name, 15)
+    for name in ("permutation_control", "oof_scores", "oof_capacity_plan"):
+        asked.clear()
+        queries[name](spark, small)
+        assert asked == [(models.BOOSTING, 5, {})]
+    asked.clear()
     with pytest.raises(RuntimeError):
-        registry.queries()["tree_shap_global"](spark, "/root/testdata/sf0.001")
-    assert asked[4:] == [(models.BOOSTING, {})]
+        queries["tree_shap_global"](spark, small)
+    assert asked == [(models.BOOSTING, {})]
+
+
+def test_newton_equals_the_library(rows):
+    """Penalised coefficients, as MLlib's own optimiser finds them."""
+    from pyspark.ml.classification import LogisticRegression
+
+    model = models.fit(rows, models.LOGISTIC, ["a", "b", "c"], "y")
+    data = VectorAssembler(inputCols=["x0", "x1", "x2"], outputCol="features").transform(rows.select(F.col("y").cast("double").alias("y"), *(model.woe.expression(f).alias(f"x{i}") for i, f in enumerate(("a", "b", "c")))))
+    expected = LogisticRegression(labelCol="y", maxIter=2000, tol=1e-14, regParam=1.0 / rows.count(), elasticNetParam=0.0, standardization=False).fit(data)
+    assert model.model.coefficients == pytest.approx(expected.coefficients.toArray().tolist(), abs=1e-6)
+    assert model.model.intercept == pytest.approx(expected.intercept, abs=1e-6) and model.model.steps < 15
+
+
+def test_newton_of_separated_rows(spark):
+    """Steps that would overshoot are halved; the penalty keeps the optimum finite."""
+    rows = spark.createDataFrame([(0, float(x), 50.0, 50.0 if x > 0 else 0.0) for x in (-30, -20, 10, 40)], "fold int, x double, n double, pos double")
+    model = logistic.fit_counted(rows, ["x"], "fold", penalty=1e-4)[0]
+    p = [1 / (1 + math.exp(-(model.intercept + model.coefficients[0] * x))) for x in (-20, 10)]
+    gradient = sum((n * (1 / (1 + math.exp(-(model.intercept + model.coefficients[0] * x)))) - pos) * x for _, x, n, pos in rows.collect()) + 1e-4 * model.coefficients[0]
+    assert p[0] < 0.1 < 0.9 < p[1] and abs(gradient) < 1e-5
+
+
+def test_all_folds_equal_each_alone(rows):
+    """Evidence, coefficients and scores of five training folds from common passes, as from five fits."""
+    features, fold = ["a", "b", "c"], (F.col("id") % 5).cast("int")
+    odd = rows.withColumn("a", F.when(F.col("id") % 7 == 0, None).when(F.col("id") % 3 == 0, 0.0).otherwise(F.col("a"))).withColumn("fold", fold).cache()
+    together = WoeModel.fit_folds(odd, features, "y", "fold", 5)
+    scorers = models._logistic(odd, together, features, "y", "fold")
+    for i in range(5):
+        alone = models.fit(odd.where(F.col("fold") != i), models.LOGISTIC, features, "y")
+        pick = lambda m: {e["feature"]: (e["use_zero"], e["edges"]) for e in m.numeric}
+        assert pick(together[i]) == pick(alone.woe)
+        assert together[i].woe.keys() == alone.woe.woe.keys() and all(together[i].woe[x] == pytest.approx(alone.woe.woe[x], abs=1e-12) for x in alone.woe.woe)
+        assert scorers[i].model.coefficients == pytest.approx(alone.model.coefficients, abs=1e-8)
+
+
+def test_score_store_is_pruned(rows):
+    """Each row scored once a track and model; a reader of one model and fold opens only its files."""
+    tracks = {"wide": (rows, ["a", "b", "c"]), "narrow": (rows, ["a"])}
+    store = models.score_store(rows.sparkSession, tracks, (models.LOGISTIC, models.BOOSTING), "id", "y", k=2, trees=2)
+    counts = {(r.track, r.model): (r.n, r.d) for r in store.groupBy("track", "model").agg(F.count("*").alias("n"), F.countDistinct("id").alias("d")).collect()}
+    assert counts == {(t, m): (400, 400) for t in tracks for m in (models.LOGISTIC, models.BOOSTING)}
+    some = store.where("track = 'wide' AND model = 'boosting' AND fold = 1")
+    assert 0 < len(some.inputFiles()) and all("track=wide/model=boosting/fold=1" in f for f in {r[0] for r in some.select(F.input_file_name()).distinct().collect()})
+    detail = models.fold_metrics(store, "y").collect()
+    assert len(detail) == 8 and all(r.auc == pytest.approx(auc_of([x for x in store.where(f"track = '{r.track}' AND model = '{r.model}' AND fold = {r.fold}").collect()]), abs=1e-9) for r in detail)
 
 
 def test_forest_depth_is_the_librarys_limit(spark):

@@ -18,7 +18,7 @@ def test_query_equals_sql(spark, name):
 
 def test_queries_without_sql():
     rest = set(registry.queries()) - set(registry.oracle_sql())
-    assert rest == {"permuted_labels", "cv_model_comparison", "cv_fold_detail", "cv_track_difference", "cv_without_shells", "oof_scores", "oof_capacity_plan", "permutation_control", "tree_shap_global", "tree_shap_local"}
+    assert rest == {"permuted_labels", "cv_model_comparison", "cv_fold_detail", "cv_track_models", "cv_track_difference", "cv_without_shells", "oof_scores", "oof_capacity_plan", "permutation_control", "tree_shap_global", "tree_shap_local"}
 
 
 def test_tree_queries(spark, monkeypatch):
@@ -30,8 +30,9 @@ def test_tree_queries(spark, monkeypatch):
     assert all(r.gap < 1e-6 for r in local)
 
 
-def test_out_of_fold_capacity(spark):
-    """Thresholds, alert rates, recall and cost as counted from the scores themselves."""
+def test_out_of_fold_capacity(spark, monkeypatch):
+    """Thresholds, alert rates, recall and cost as counted from the boosted scores themselves, with few trees."""
+    monkeypatch.setattr(models, "fit", partial(models.fit, trees=3))
     scores = registry.queries()["oof_scores"](spark, SMALL).toPandas()
     plan = registry.queries()["oof_capacity_plan"](spark, SMALL).collect()
     assert {r.cap for r in plan} == set(registry._CAPS)
@@ -45,10 +46,10 @@ def test_out_of_fold_capacity(spark):
             assert r.cost == 20.0 * (~alarm & junk).sum() + (alarm & ~junk).sum()
 
 
-def test_track_queries(spark):
+def test_track_queries(spark, monkeypatch):
+    monkeypatch.setattr(models, "fit", partial(models.fit, trees=2))
     detail = registry.queries()["cv_fold_detail"](spark, SMALL).collect()
-    assert sorted(r.fold for r in detail) == [0, 1, 2, 3, 4]
-    for name in ("cv_track_difference", "cv_without_shells"):
-        got = registry.queries()[name](spark, SMALL).collect()
-        assert {r.metric for r in got} == {"auc", "ks", "f1", "precision", "recall"}
-        assert all(abs(r.difference - (r.left - r.right)) < 1e-4 for r in got)
+    assert sorted((r.model, r.fold) for r in detail) == sorted((m, i) for m in models.MODELS for i in range(5))
+    got = registry.queries()["cv_track_difference"](spark, SMALL).collect()
+    assert {(r.model, r.metric) for r in got} == {(m, x) for m in models.MODELS for x in ("auc", "ks", "f1", "precision", "recall")}
+    assert all(abs(r.difference - (r.left - r.right)) < 1e-4 for r in got)
