@@ -7,10 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassificationModel
+from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from riskloom.functions.ordering import running_totals
 from riskloom.functions.scalars import direction, logit, sigmoid
 
 
@@ -53,6 +54,16 @@ def local_summary(phi: DataFrame, base: DataFrame, row_id: str, wanted: int) ->
     return t.select("base", "total", (F.col("base") + F.col("total")).alias("margin"), sigmoid(F.col("base") + F.col("total")).alias("p"))
 
 
+def with_value_rank(phi: DataFrame) -> DataFrame:
+    """Adds value_rank, the share of a feature's other rows with a lower value: what colours the points of a swarm. Equal values are counted first."""
+    counts = phi.groupBy("feature", "value").agg(F.count("*").alias("_n"))
+    placed = running_totals(counts.where(F.col("value").isNotNull()), "value", ["_n"], ["feature"])
+    rank = placed.select("feature", "value", F.when(F.col("_n_total") > 1, F.col("_n_before") / (F.col("_n_total") - 1)).otherwise(0.0).alias("value_rank"))
+    # a value may hold any share of the rows: joined by a struct, both sides get exchanges that Spark can split
+    rank = rank.select(F.struct("feature", "value").alias("_at"), "value_rank")
+    return phi.withColumn("_at", F.struct("feature", "value")).join(rank, "_at", "left").drop("_at")
+
+
 def representative_rows(scores: DataFrame, row_id: str, p: str = "p", y: str = "y") -> DataFrame:
     """Per class the row of that class scored most surely right; ties to the lowest identifier."""
     order = F.struct(F.when(F.col(y) == 1, -F.col(p)).otherwise(F.col(p)), F.col(row_id))
@@ -78,59 +89,64 @@ class Tree:
     cover: np.ndarray
 
 
-def trees_of(spark: SparkSession, model: GBTClassificationModel, path: str) -> list[Tree]:
-    """A boosted model's trees with their weights, read from the model saved at `path`. Bounded by the model's size."""
+def trees_of(spark: SparkSession, model: GBTClassificationModel | RandomForestClassificationModel, path: str) -> list[Tree]:
+    """A tree model's trees, read from the model saved at `path`. Bounded by the model's size. A boosted tree's leaves hold its part of the margin, a forest's its part of
+    the probability of class 1: the class share of the rows that reached them, over the number of trees."""
     model.write().overwrite().save(path)
+    forest = isinstance(model, RandomForestClassificationModel)
     nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").orderBy("treeID", "id").collect()
     trees: dict[int, list] = {}
     for r in nodes:
         trees.setdefault(r.treeID, []).append(r)
+
+    def value(r, weight: float) -> float:
+        return r.impurityStats[1] / sum(r.impurityStats) / len(trees) if forest else weight * r.prediction
+
+    def cover(r) -> float:
+        return float(sum(r.impurityStats)) if forest else float(r.rawCount)
+
     out = []
     for k in sorted(trees):
-        rows, weight = trees[k], model.treeWeights[k]
-        out.append(Tree(*(np.array(x) for x in zip(*((r.split.featureIndex if r.leftChild >= 0 else -1, r.split.leftCategoriesOrThreshold[0] if r.leftChild >= 0 else 0.0, r.leftChild, r.rightChild, weight * r.prediction, float(r.rawCount)) for r in rows)))))
+        weight = 1.0 if forest else model.treeWeights[k]
+        inner = [r.leftChild >= 0 for r in trees[k]]
+        rows = [(r.split.featureIndex if i else -1, r.split.leftCategoriesOrThreshold[0] if i else 0.0, r.leftChild, r.rightChild, value(r, weight), cover(r)) for r, i in zip(trees[k], inner)]
+        out.append(Tree(*(np.array(x) for x in zip(*rows))))
     return out
 
 
 def tree_values(tree: Tree, x: np.ndarray, n_features: int) -> np.ndarray:
-    """Shapley values of one tree for many rows (n x features): for each leaf, the features on its path play the game "is the path followed", whose worth is a product of one factor per feature."""
+    """Shapley values of one tree for many rows (n x features).
+
+    For a leaf, the features on its path play the game "is the path followed", whose worth is a product of one factor per feature: 1 or 0 if it is known, its share
+    of the cover if not. A feature's value is (known - unknown) times the integral over t from 0 to 1 of the product of the others' t known + (1 - t) unknown,
+    a polynomial in t, which Gauss and Legendre's rule sums exactly at half as many fixed nodes as features. The products at these nodes are carried down the
+    tree, so a leaf costs one term per feature of its path, however deep it is.
+    """
     out = np.zeros((len(x), n_features))
-    stack = [(0, {}, 1.0)]
+    used = len(set(tree.feature[tree.feature >= 0].tolist()))
+    if not used:
+        return out
+    at, weight = np.polynomial.legendre.leggauss(-(-used // 2))
+    at, weight = (at[:, None] + 1) / 2, weight / 2
+    stack = [(0, {}, np.ones((len(at), len(x))))]
     while stack:
-        node, path, _ = stack.pop()
-        f = tree.feature[node]
-        if f >= 0:
-            goes_left = x[:, f] <= tree.threshold[node]
-            for child, follows in ((tree.left[node], goes_left), (tree.right[node], ~goes_left)):
-                share = tree.cover[child] / tree.cover[node]
-                on, off = path.get(f, (np.ones(len(x)), 1.0))
-                stack.append((child, path | {f: (on * follows, off * share)}, 0.0))
-            continue
-        features = list(path)
-        m = len(features)
-        if not m:
+        node, path, product = stack.pop()
+        f = int(tree.feature[node])
+        if f < 0:
+            for g, (known, unknown, factor) in path.items():
+                out[:, g] += (weight @ (product / factor)) * (known - unknown) * tree.value[node]
             continue
-        ones, zeros = np.stack([path[f][0] for f in features]), np.array([path[f][1] for f in features])
-        for i in range(m):
-            # weights[k]: summed worth of the coalitions of k of the other features
-            weights = np.zeros((m, len(x)))
-            weights[0] = 1.0
-            for j in range(m):
-                if j != i:
-                    weights[1:] = weights[1:] * zeros[j] + weights[:-1] * ones[j]
-                    weights[0] = weights[0] * zeros[j]
-            k = np.arange(m)
-            shapley = np.array([1.0 / (m * _choose(m - 1, int(a))) for a in k])
-            out[:, features[i]] += (shapley @ weights) * (ones[i] - zeros[i]) * tree.value[node]
+        goes_left = x[:, f] <= tree.threshold[node]
+        known, unknown, before = path.get(f, (np.ones(len(x)), 1.0, 1.0))
+        for child, follows in ((tree.left[node], goes_left), (tree.right[node], ~goes_left)):
+            on, off = known * follows, unknown * tree.cover[child] / tree.cover[node]
+            factor = at * on + (1 - at) * off  # above 0, as t is below 1 and covers are above 0
+            stack.append((child, path | {f: (on, off, factor)}, product / before * factor))
     return out
 
 
-def _choose(n: int, k: int) -> float:
-    return float(np.prod([(n - i) / (i + 1) for i in range(k)]))
-
-
 def tree_base(trees: list[Tree]) -> float:
-    """The expected margin over the training rows' covers."""
+    """The expected margin (or, of a forest, probability) over the training rows' covers."""
     total = 0.0
     for t in trees:
         leaves = t.feature < 0
@@ -139,7 +155,7 @@ def tree_base(trees: list[Tree]) -> float:
 
 
 def tree_shap(df: DataFrame, row_id: str, features: list[str], trees: list[Tree], scale: float = 2.0) -> DataFrame:
-    """row_id, feature, value, phi on the logit scale (MLlib's boosted margin is half a logit)."""
+    """row_id, feature, value, phi on the logit scale (MLlib's boosted margin is half a logit); with scale 1, on the scale of the trees' own values, for forests."""
     shared = df.sparkSession.sparkContext.broadcast(trees)
 
     def work(batches):

@@ -81,6 +81,15 @@ def group_medians(df: DataFrame, group: Column, features: list[str]) -> DataFram
     return exact_quantiles(long, ["_group", "feature"], "v", [0.5]).select(F.col("_group").alias("group"), "feature", F.col("quantiles")[0].alias("median"))
 
 
+def boxes(long: DataFrame, by: list[str], value: str, reach: float = 1.5) -> DataFrame:
+    """by, quartiles, whisker ends (the outermost values within `reach` times the spread of the quartiles) and how many values lie beyond them. Few groups."""
+    q = exact_quantiles(long, by, value, [0.25, 0.5, 0.75]).select(*by, *(F.col("quantiles")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))))
+    v, spread = F.col(value), F.col("q75") - F.col("q25")
+    inside_low, inside_high = v >= F.col("q25") - reach * spread, v <= F.col("q75") + reach * spread
+    t = long.join(F.broadcast(q), by).groupBy(*by, "q25", "q50", "q75")  # a row per group
+    return t.agg(F.min(F.when(inside_low, v)).alias("low"), F.max(F.when(inside_high, v)).alias("high"), F.count_if(~inside_low | ~inside_high).alias("n_beyond"))
+
+
 def median_effect_size(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """(median of positives - median of negatives) / sample deviation, 0 where there is none; largest first."""
     long = long_numeric(df, features, [label])

@@ -594,6 +594,12 @@ def linear_shap_global(spark, sf_dir):
     return t.withColumn("mean", F.when(F.abs("mean") < 1e-6, 0.0).otherwise(F.col("mean")))
 
 
+@query(f"WITH {_PHI} SELECT row_id, feature, round(value, 6) AS value, round(phi, 6) AS phi, round(percent_rank() OVER (PARTITION BY feature ORDER BY value), 6) AS value_rank FROM phi")
+def linear_swarm(spark, sf_dir):
+    """Every row's values and attributions, with the rank of the value: the points of a swarm plot."""
+    return explain.with_value_rank(explain.linear_shap(risk_scores(spark, sf_dir), "row_id", RISK))
+
+
 @query(f"""WITH {_PHI} SELECT row_id, feature, round(value, 6) AS value, round(phi, 6) AS phi, CASE WHEN phi > 0 THEN 'towards positive' ELSE 'towards negative' END AS direction, CAST(row_number() OVER (ORDER BY abs(phi) DESC, feature) AS INTEGER) AS place FROM phi WHERE row_id = 7""")
 def linear_shap_local(spark, sf_dir):
     return explain.local_explanation(explain.linear_shap(risk_scores(spark, sf_dir), "row_id", RISK), "row_id", 7)
@@ -650,11 +656,17 @@ def least_alert_rate(spark, sf_dir):
 # ---- data of figures
 
 
-@query(f"WITH {LINES_SQL} " + " UNION ALL ".join(f"SELECT y, '{f}' AS feature, round(quantile_cont(ln(1 + greatest({f}, 0)), 0.25), 6) AS q25, round(quantile_cont(ln(1 + greatest({f}, 0)), 0.5), 6) AS q50, round(quantile_cont(ln(1 + greatest({f}, 0)), 0.75), 6) AS q75 FROM lines GROUP BY y" for f in LINE_FEATURES))
+_BOX_SQL = f"""WITH {LINES_SQL}, l AS ({" UNION ALL ".join(f"SELECT y, '{f}' AS feature, ln(1 + greatest({f}, 0)) AS v FROM lines" for f in LINE_FEATURES)}),
+q AS (SELECT y, feature, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.5) AS m, quantile_cont(v, 0.75) AS b FROM l GROUP BY ALL)
+SELECT y, feature, round(max(a), 6) AS q25, round(max(m), 6) AS q50, round(max(b), 6) AS q75,
+  round(min(CASE WHEN v >= a - 1.5e0 * (b - a) THEN v END), 6) AS low, round(max(CASE WHEN v <= b + 1.5e0 * (b - a) THEN v END), 6) AS high,
+  CAST(count_if(v < a - 1.5e0 * (b - a) OR v > b + 1.5e0 * (b - a)) AS BIGINT) AS n_beyond FROM l JOIN q USING (y, feature) GROUP BY y, feature"""
+
+
+@query(_BOX_SQL)
 def box_plot_quartiles(spark, sf_dir):
     long = profile.long_numeric(line_flags(spark, sf_dir), LINE_FEATURES, ["y"]).withColumn("v", scalars.log1p_clipped(F.col("v")))
-    q = exact_quantiles(long, ["y", "feature"], "v", [0.25, 0.5, 0.75])
-    return q.select("y", "feature", *(F.col("quantiles")[i].alias(n) for i, n in enumerate(["q25", "q50", "q75"])))
+    return profile.boxes(long, ["y", "feature"], "v")
 
 
 # ---- models (no SQL)
@@ -755,6 +767,24 @@ def tree_shap_global(spark, sf_dir):
     return explain.global_importance(explain.tree_shap(df, "doc_id", MODEL_FEATURES, trees))
 
 
+def _forest(spark, sf_dir):
+    df, path = _model_rows(spark, sf_dir), scratch_path(spark, "trees")
+    scorer = models.fit(df, models.FOREST, MODEL_FEATURES, "junk")
+    trees = explain.trees_of(spark, scorer.model, path)
+    discard(spark, path)
+    return df, scorer, trees
+
+
+@query()
+def forest_shap_rows(spark, sf_dir):
+    """Every labelled document explained by a forest, on the scale of probabilities, with what a swarm plot needs: value, its rank, and how far base and sum lie from the model's own probability."""
+    df, scorer, trees = _forest(spark, sf_dir)
+    phi = explain.with_value_rank(explain.tree_shap(df, "doc_id", MODEL_FEATURES, trees, scale=1.0))
+    total, base = phi.groupBy("doc_id").agg(F.sum("phi").alias("total")), F.lit(explain.tree_base(trees))
+    gap = total.join(scorer.score(df).select("doc_id", "p"), "doc_id").select("doc_id", "p", F.abs(base + F.col("total") - F.col("p")).alias("gap"))
+    return phi.join(gap, "doc_id").select("doc_id", "feature", "value", "value_rank", "phi", "p", "gap")
+
+
 @query()
 def tree_shap_local(spark, sf_dir):
     """The surest right row of each class, feature by feature, with the base value and how far base and sum lie from the model's own margin."""

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
+import uuid
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,15 +58,70 @@ def largest_file(spark: SparkSession, folder: str, pattern: str = "*.csv") -> st
     return files.agg(F.max_by("path", F.struct("length", "path"))).first()[0]
 
 
-def materialized(spark: SparkSession, df_or_none, path: str, force: bool = False) -> DataFrame:
-    """The table at `path`, written from the given one first if it isn't there (or by force)."""
-    if not force:
+class StoreError(ValueError):
+    """A folder that is no finished store, or another one than was asked for."""
+
+
+MARKER = "_READY.json"
+
+
+def fingerprint(*parts: object) -> str:
+    """A short name of what a table was made from."""
+    return hashlib.sha256(json.dumps([str(p) for p in parts]).encode()).hexdigest()[:16]
+
+
+def _marker(spark: SparkSession, path: str) -> dict | None:
+    """What a store says of itself; None where there is no folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(where):
+        return None
+    if not system.exists(spark._jvm.org.apache.hadoop.fs.Path(path, MARKER)):
+        raise StoreError(f"{path} holds no finished store; choose another path, or force a new one")
+    stream = system.open(spark._jvm.org.apache.hadoop.fs.Path(path, MARKER))
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def materialized(spark: SparkSession, make: Callable[[], DataFrame], path: str, force: bool = False, source: str = "") -> DataFrame:
+    """The table at `path`, made and written once (or anew, by force).
+
+    It is written beside, given a marker (schema, rows, the source's fingerprint) and renamed, so a broken write never stands at `path`. Of two writers, the first to
+    rename wins and the other takes its table. A folder without a marker, a store of another source, or one whose files do not have the marker's schema or
+    rows raise StoreError.
+    """
+    path = path.rstrip("/")
+    marker = None if force else _marker(spark, path)
+    if marker is None:
+        jvm, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+        beside = f"{path}.{uuid.uuid4().hex}"
+        system = jvm.Path(beside).getFileSystem(conf)
         try:
-            return spark.read.parquet(path)
-        except AnalysisException:
-            pass
-    df_or_none().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+            make().write.parquet(beside)
+            written = spark.read.parquet(beside)
+            marker = {"schema": written.schema.json(), "rows": written.count(), "source": source}
+            out = system.create(jvm.Path(beside, MARKER))
+            out.write(json.dumps(marker).encode())
+            out.close()
+            if force:
+                system.delete(jvm.Path(path), True)
+            files = jvm.FileContext.getFileContext(system.getUri(), conf)
+            try:
+                files.rename(jvm.Path(beside), jvm.Path(path), spark._sc._gateway.new_array(jvm.Options.Rename, 0))
+            except Py4JJavaError as error:
+                if not system.exists(jvm.Path(path)):
+                    raise StoreError(f"{path} could not be put in place: {error.java_exception}") from error
+                marker = _marker(spark, path)  # another writer was first
+        finally:
+            system.delete(jvm.Path(beside), True)
+    if marker["source"] != source:
+        raise StoreError(f"{path} was made from another source; force a new one, or choose another path")
+    found = spark.read.parquet(path)
+    if found.schema.json() != marker["schema"] or found.count() != marker["rows"]:
+        raise StoreError(f"{path} is not what its marker says")
+    return found
 
 
 @dataclass(frozen=True)

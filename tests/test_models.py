@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -185,6 +185,56 @@ def test_tree_values(spark, rows, tmp_path):
     assert explain.local_summary(phi, base, "id", 3).first().p == pytest.approx(p)
 
 
+def test_forest_values(spark, rows, tmp_path):
+    """Leaves are class shares; deep trees on few features; values add up to the probability."""
+    data = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(rows)
+    model = RandomForestClassifier(labelCol="y", numTrees=5, maxDepth=30, minInstancesPerNode=2, seed=1).fit(data)
+    trees = explain.trees_of(spark, model, str(tmp_path / "model"))
+    x = np.array([[r.a, r.b, r.c] for r in rows.orderBy("id").limit(10).collect()])
+    depth = lambda t, node=0: 0 if t.feature[node] < 0 else 1 + max(depth(t, t.left[node]), depth(t, t.right[node]))
+    assert max(map(depth, trees)) > 6
+    for tree in trees:
+        got = explain.tree_values(tree, x, 3)
+        for i in range(len(x)):
+            assert got[i] == pytest.approx(brute_shapley(tree, x[i], 3), abs=1e-9)
+    phi = explain.tree_shap(rows, "id", ["a", "b", "c"], trees, scale=1.0)
+    total, base = {r.id: r.t for r in phi.groupBy("id").agg(F.sum("phi").alias("t")).collect()}, explain.tree_base(trees)
+    for r in model.transform(data).select("id", vector_to_array("probability")[1].alias("p")).collect():
+        assert base + total[r.id] == pytest.approx(r.p, abs=1e-9)
+
+
+def test_tree_values_of_many_features():
+    """A hand-made tree with seven features, some asked twice on a path."""
+    rng = np.random.default_rng(3)
+    feature, threshold, left, right, cover = [], [], [], [], []
+
+    def grow(n, depth):
+        node = len(feature)
+        for column, v in ((feature, -1), (threshold, 0.0), (left, -1), (right, -1), (cover, float(n))):
+            column.append(v)
+        if depth and n > 3:
+            feature[node], threshold[node], cut = int(rng.integers(7)), float(rng.normal()), int(rng.integers(1, n))
+            left[node] = grow(cut, depth - 1)
+            right[node] = grow(n - cut, depth - 1)
+        return node
+
+    grow(200, 9)
+    tree = explain.Tree(*map(np.array, (feature, threshold, left, right, rng.normal(size=len(feature)), cover)))
+    x = rng.normal(size=(6, 7))
+    got = explain.tree_values(tree, x, 7)
+    for i in range(6):
+        assert got[i] == pytest.approx(brute_shapley(tree, x[i], 7), abs=1e-9)
+
+
+def test_value_ranks_equal_percent_rank(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, f, float(v), 0.1) for f, x in (("a", rng.integers(0, 5, 60)), ("b", rng.normal(size=60)), ("one", [1.0])) for i, v in enumerate(x)] + [(99, "a", None, 0.1)]
+    df = spark.createDataFrame(rows, "id long, feature string, value double, phi double")
+    got = {(r.id, r.feature): r.value_rank for r in explain.with_value_rank(df).collect()}
+    expected = df.where("value IS NOT NULL").withColumn("r", F.expr("percent_rank() OVER (PARTITION BY feature ORDER BY value)")).collect()
+    assert len(got) == len(rows) and got[99, "a"] is None and all(got[r.id, r.feature] == pytest.approx(r.r) for r in expected)
+
+
 def test_stream_equals_table(spark, rows, tmp_path):
     model = WoeModel.fit(rows, ["a", "b"], "y")
     rows.write.parquet(str(tmp_path / "in"))

@@ -18,7 +18,7 @@ def test_query_equals_sql(spark, name):
 
 def test_queries_without_sql():
     rest = set(registry.queries()) - set(registry.oracle_sql())
-    assert rest == {"permuted_labels", "cv_model_comparison", "cv_fold_detail", "cv_track_models", "cv_track_difference", "cv_without_shells", "oof_scores", "oof_capacity_plan", "permutation_control", "tree_shap_global", "tree_shap_local"}
+    assert rest == {"permuted_labels", "cv_model_comparison", "cv_fold_detail", "cv_track_models", "cv_track_difference", "cv_without_shells", "oof_scores", "oof_capacity_plan", "permutation_control", "tree_shap_global", "tree_shap_local", "forest_shap_rows"}
 
 
 def test_tree_queries(spark, monkeypatch):
@@ -28,6 +28,8 @@ def test_tree_queries(spark, monkeypatch):
     local = registry.queries()["tree_shap_local"](spark, SMALL).collect()
     assert sorted((r.label, r.feature) for r in local) == sorted((y, f) for y in (0, 1) for f in registry.MODEL_FEATURES)
     assert all(r.gap < 1e-6 for r in local)
+    rows = registry.queries()["forest_shap_rows"](spark, SMALL).collect()
+    assert len(rows) == 4 * len({r.doc_id for r in rows}) and all(r.gap < 1e-6 and 0 <= r.value_rank <= 1 for r in rows)
 
 
 def test_out_of_fold_capacity(spark, monkeypatch):

@@ -1,4 +1,6 @@
 import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from riskloom.sources import catalog, readers
 
@@ -42,6 +44,43 @@ def test_materialized_once(spark, tmp_path):
     assert len(calls) == 2
 
 
+def test_store_survives_a_broken_write(spark, tmp_path):
+    """Nothing stands at the path until all of it is written; what lay beside is gone."""
+    path = tmp_path / "t"
+    half = spark.range(4).select((F.lit(1) / F.when(F.col("id") < 3, 1).otherwise(F.raise_error(F.lit("broken")).cast("int"))).alias("x"))
+    with pytest.raises(PySparkException):
+        readers.materialized(spark, lambda: half, str(path))
+    assert not path.exists() and list(tmp_path.iterdir()) == []
+    assert readers.materialized(spark, lambda: spark.range(3), str(path)).count() == 3
+
+
+def test_store_of_two_writers(spark, tmp_path):
+    """The second to finish takes the first one's table."""
+    path = str(tmp_path / "t")
+
+    def slow():
+        readers.materialized(spark, lambda: spark.range(5), path, source="s")
+        return spark.range(7)
+
+    assert readers.materialized(spark, slow, path, source="s").count() == 5
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+    with pytest.raises(readers.StoreError, match="another source"):
+        readers.materialized(spark, lambda: spark.range(5), path, source="other")
+    assert readers.materialized(spark, lambda: spark.range(9), path, force=True, source="other").count() == 9
+
+
+def test_store_notices_other_files(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "plain"))
+    with pytest.raises(readers.StoreError, match="no finished store"):
+        readers.materialized(spark, lambda: spark.range(3), str(tmp_path / "plain"))
+    path = str(tmp_path / "t")
+    readers.materialized(spark, lambda: spark.range(3), path)
+    spark.range(2).write.mode("append").parquet(path)
+    with pytest.raises(readers.StoreError, match="not what its marker says"):
+        readers.materialized(spark, lambda: spark.range(3), path)
+    assert readers.fingerprint("a", 1) == readers.fingerprint("a", 1) != readers.fingerprint("a", 2)
+
+
 def test_settings(monkeypatch, spark):
     monkeypatch.setenv("RISKLOOM_FOLDS", "7")
     assert readers.Settings.from_environment() == readers.Settings(folds=7)
