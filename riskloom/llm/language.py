@@ -131,13 +131,14 @@ class LanguageModel:
 def train(labelled: DataFrame, docs_per_language: int = 1500, switch_penalty: float = 8.0) -> LanguageModel:
     """labelled: doc_id, text, lang."""
     labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    chance = F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
+    labelled = labelled.withColumn("chance", chance)
+    counts = {r.lang: r for r in labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("chance").alias("least")).collect()}
     languages = sorted(counts, key=lambda x: x.encode())
     if not counts:
         return LanguageModel([], [np.zeros(0, np.int64)] * 3, [np.zeros((1, 0), np.float32)] * 3, {}, switch_penalty)
-    rates = labelled.sparkSession.createDataFrame([(k, docs_per_language / n) for k, n in counts.items()], "lang string, rate double")
-    chance = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
-    sample = labelled.join(F.broadcast(rates), "lang").where(chance < F.col("rate"))  # a row per language
+    rates = labelled.sparkSession.createDataFrame([(k, docs_per_language / r.n, r.least) for k, r in counts.items()], "lang string, rate double, least double")
+    sample = labelled.join(F.broadcast(rates), "lang").where("chance < rate OR chance = least")  # a row per language; every language keeps a text
     words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word != ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
     edged = F.concat(F.lit("^"), "word", F.lit("$"))
     pieces = lambda s, k: F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substring(s, i, F.lit(k)))

@@ -105,3 +105,19 @@ def test_awkward_rows(awkward, nothing, model):
     assert language.identify(nothing, model).count() == 0
     unlearned = language.train_on_folds(nothing)
     assert {r.lang_pred for r in language.identify(awkward, unlearned).collect()} == {"und"}
+
+
+def test_draw_with_repeated_and_missing_identifiers(spark):
+    """Rows of one identifier, or of none, are drawn text by text; every language keeps a text, and the sample stays near its bound."""
+    words = {"en": ["hello", "world", "are", "you"], "ru": ["привет", "мир", "как", "дела"]}
+    rng = np.random.default_rng(2)
+    texts = {k: [" ".join(rng.choice(w, 6)) + f" {k}{i}" for i in range(600)] for k, w in words.items()}
+    for ids in (lambda i: 7, lambda i: None):
+        rows = [(ids(i), x, k) for k, own in texts.items() for i, x in enumerate(own)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        model = language.train(df, docs_per_language=60)
+        letters = np.expm1(model.scores[0][:-1].astype(float))
+        assert model.languages == ["en", "ru"] and len(letters) > 20  # letters of both scripts were learned
+        assert [x[0] for x in language.Labeller(model).languages(["hello you", "привет мир"])] == ["en", "ru"]
+    one = spark.createDataFrame([(1, "hello world", "en")] * 500 + [(2, "привет мир", "ru")] * 500, "doc_id long, text string, lang string")
+    assert [x[0] for x in language.Labeller(language.train(one, docs_per_language=1)).languages(["hello", "мир"])] == ["en", "ru"]

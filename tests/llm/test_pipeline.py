@@ -118,6 +118,15 @@ def test_clashing_names_and_repeated_identifiers(spark, small):
 
 
 def test_awkward_rows(spark, awkward, nothing, tmp_path):
+    """What each stage keeps of null, empty, blank, repeated and very long texts."""
+    long_text = next(r.text for r in awkward.collect() if r.doc_id == 5)
+    repeated, rest = "one two three four five six", {(5, long_text), (6, "word"), (None, "no identifier at all"), (7, next(r.text for r in awkward.collect() if r.doc_id == 7))}
+    kept = [(r.doc_id, r.text) for r in pipeline.keep_languages(spark, awkward, SMALL).collect()]
+    assert {x for x in kept if x[0] in (2, 3, 4)} == set() and kept.count((1, repeated)) == 2 and (5, long_text) in kept  # no letters: out
+    assert set(kept) <= {(1, repeated), (8, repeated)} | rest
+    one_each = [(r.doc_id, r.text) for r in pipeline.keep_one_of_each_group(spark, awkward, SMALL).collect()]
+    assert [x for x in one_each if x[1] == repeated] == [(1, repeated)]  # the smallest identifier of the group
+    assert {x for x in one_each if (x[1] or "").split()} == {(1, repeated)} | rest and len(one_each) == 8  # rows without words all stay
     for docs in (awkward, nothing):
         columns = docs.columns
         for i, (name, stage) in enumerate(pipeline.STAGES):
