@@ -367,6 +367,7 @@ def woe_transform_unseen(spark, sf_dir):
 
 @query(f"WITH {_FULL_WOE} SELECT feature, bin_kind, bin_number, n, n_positive FROM woe WHERE n >= 5 AND (n_positive = 0 OR n_negative = 0)")
 def perfect_bins(spark, sf_dir):
+    """Bins of at least 5 rows, where the operator's default is 30: the test tables are small."""
     t = prepare.build_track(address_profile(spark, sf_dir), CATALOG, prepare.FULL, "tok_n")
     return woe.perfect_bins(woe.WoeModel.fit(t.data, t.features, "flag").table, 5).select("feature", "bin_kind", "bin_number", "n", "n_positive")
 
