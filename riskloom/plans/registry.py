@@ -20,7 +20,7 @@ from riskloom.plans.fixtures import ADDRESS_CATALOG as CATALOG
 from riskloom.plans.fixtures import ADDRESS_SQL, DOCS_SQL, LINE_FEATURES, LINES_SQL, RISK, RISK_INTERCEPT, address_profile, labeled_docs, line_flags, scored_lines, table
 from riskloom.plans.woe_sql import BAND, categorical, numeric
 from riskloom.session import discard, scratch_path
-from riskloom.sources.readers import read_csv
+from riskloom.sources.readers import preview, read_csv
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -76,6 +76,20 @@ def csv_scan(spark, sf_dir):
     return read_csv(spark, path).withColumn("id", F.col("id").cast("long"))
 
 
+@query("SELECT CAST(count(*) AS INTEGER) AS n_columns, count_if(column_name = 'o_totalprice') > 0 AS has_target, (SELECT count(*) FROM (SELECT * FROM orders LIMIT 5)) AS n_rows FROM (DESCRIBE orders)")
+def table_preview(spark, sf_dir):
+    """What a preview says of a table: its width, whether the target is there, how many rows it shows."""
+    rows, width, there = preview(table(spark, sf_dir, "orders"), "o_totalprice")
+    return rows.agg(F.lit(width).alias("n_columns"), F.lit(there).alias("has_target"), F.count("*").alias("n_rows"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round_even(CAST(l_quantity AS DOUBLE) / 2, 0) AS half, round_even(CAST(l_quantity AS DOUBLE) / 8, 2) AS eighth FROM lineitem")
+def half_even_rounding(spark, sf_dir):
+    """Halves go to the even neighbour."""
+    q = F.col("l_quantity").cast("double")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", scalars.round_half_even(q / 2, 0).alias("half"), scalars.round_half_even(q / 8, 2).alias("eighth"))
+
+
 @query(f"WITH {ADDRESS_SQL} SELECT * REPLACE (round(min_val, 6) AS min_val) FROM address")
 def address_view(spark, sf_dir):
     return address_profile(spark, sf_dir)
@@ -292,6 +306,33 @@ def bin_assignment(spark, sf_dir):
     return woe.wide_bins(line_flags(spark, sf_dir), _line_edges(spark, sf_dir), [], values=True).groupBy("feature", "bin_kind", "bin_number").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
 
 
+_INTERVALS = "CASE WHEN i = 1 THEN '-inf' ELSE CAST(edges[i] AS VARCHAR) END AS lo, CASE WHEN i = len(edges) - 1 THEN 'inf' ELSE CAST(edges[i + 1] AS VARCHAR) END AS hi"
+
+
+@query(f"""WITH {_LINE_WOE}, x AS (SELECT feature, CAST(i - 1 AS INTEGER) AS bin_number, {_INTERVALS} FROM edges, unnest(range(1, len(edges))) AS u(i) WHERE feature IN ('l_quantity', 'l_discount', 'l_tax'))
+SELECT feature, bin_number, '(' || lo || ', ' || hi || ']' AS label, CASE WHEN lo = '-inf' THEN -1e308 ELSE CAST(lo AS DOUBLE) END AS left_bound FROM x""")
+def interval_labels(spark, sf_dir):
+    """The bins as they are shown, and the left bounds read back from what is shown."""
+    edges = _line_edges(spark, sf_dir).where("feature IN ('l_quantity', 'l_discount', 'l_tax')")
+    bounds = F.concat(F.array(F.lit(None).cast("double")), "interior", F.array(F.lit(None).cast("double")))
+    each = edges.select("feature", bounds.alias("b"), F.posexplode(F.slice(bounds, 1, F.size("interior") + 1)).alias("bin_number", "lo"))
+    label = scalars.interval_label(F.col("lo"), F.col("b")[F.col("bin_number") + 1])
+    return each.select("feature", "bin_number", label.alias("label")).withColumn("left_bound", F.greatest(scalars.interval_left_bound(F.col("label")), F.lit(-1e308)))
+
+
+_PLAIN = ["always_one", "one_or_null", "zero_or_null", "zero_or_one"]
+_PLAIN_SQL = "plain AS (SELECT l_linenumber * 0 + 1e0 AS always_one, CASE WHEN l_tax > 0 THEN 1e0 END AS one_or_null, CASE WHEN l_tax > 0 THEN 0e0 END AS zero_or_null, CASE WHEN l_tax > 0 THEN 0e0 ELSE 1e0 END AS zero_or_one, y FROM lines)"
+
+
+@query(f"WITH {LINES_SQL}, {_PLAIN_SQL}, {numeric('plain', 'y', _PLAIN)} SELECT feature, bin_kind, bin_number, n, n_positive, round(woe, 6) AS woe FROM woe")
+def degenerate_bins(spark, sf_dir):
+    """Columns that leave no interval: one value, one value or none, zero or none, two values of which zero has its own bin."""
+    taxed = F.col("l_tax") > 0
+    columns = {"always_one": F.col("l_linenumber") * 0 + 1.0, "one_or_null": F.when(taxed, 1.0), "zero_or_null": F.when(taxed, 0.0), "zero_or_one": F.when(taxed, 0.0).otherwise(1.0)}
+    df = line_flags(spark, sf_dir).withColumns(columns)
+    return woe.WoeModel.fit(df, _PLAIN, "y").table.select("feature", "bin_kind", "bin_number", "n", "n_positive", "woe")
+
+
 _DOC_CATEGORIES = ["lang", "source"]
 _DOC_WOE = f"{DOCS_SQL}, {categorical('docs', 'flag', _DOC_CATEGORIES, least=0.04)}"
 
