@@ -20,7 +20,7 @@ from riskloom.plans.fixtures import ADDRESS_CATALOG as CATALOG
 from riskloom.plans.fixtures import ADDRESS_SQL, DOCS_SQL, LINE_FEATURES, LINES_SQL, RISK, RISK_INTERCEPT, address_profile, labeled_docs, line_flags, scored_lines, table
 from riskloom.plans.woe_sql import BAND, categorical, numeric
 from riskloom.session import discard, scratch_path
-from riskloom.sources.readers import preview, read_csv
+from riskloom.sources.readers import preview, read_csv, source_mark
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -720,9 +720,18 @@ def _model_rows(spark, sf_dir):
     return labeled_docs(spark, sf_dir).select("doc_id", (1 - F.col("quality")).alias("junk"), *MODEL_FEATURES)
 
 
+def _source(spark, sf_dir, *names):
+    """Of what the scores of these queries are made: queries that ask for the same fits share them."""
+    return source_mark(spark, [f"{sf_dir}/{n}.parquet" for n in names])
+
+
+def _document_models(spark, sf_dir):
+    return models.compare(_model_rows(spark, sf_dir), MODEL_FEATURES, "doc_id", "junk", source=_source(spark, sf_dir, "documents", "labels"))
+
+
 @query()
 def cv_model_comparison(spark, sf_dir):
-    return models.compare(_model_rows(spark, sf_dir), MODEL_FEATURES, "doc_id", "junk")[0]
+    return _document_models(spark, sf_dir)[0]
 
 
 #: Decisions are made on this model's out-of-fold scores.
@@ -731,7 +740,7 @@ DECISION_MODEL = models.BOOSTING
 
 @query()
 def oof_scores(spark, sf_dir):
-    return models.out_of_fold(_model_rows(spark, sf_dir), DECISION_MODEL, MODEL_FEATURES, "doc_id", "junk")
+    return models.out_of_fold(_model_rows(spark, sf_dir), DECISION_MODEL, MODEL_FEATURES, "doc_id", "junk", source=_source(spark, sf_dir, "documents", "labels"))
 
 
 @query("""SELECT CAST(1 - quality AS INTEGER) AS junk, CAST(i AS INTEGER) AS fold, CAST((count(*) - i + 4) // 5 AS BIGINT) AS n, CAST((count(*) - i + 4) // 5 AS BIGINT) AS n_scored
@@ -745,7 +754,7 @@ def oof_fold_sizes(spark, sf_dir):
 @query()
 def oof_capacity_plan(spark, sf_dir):
     """Out-of-fold scores through sweep, cost and capacity: per cap the lowest threshold that keeps it, and its cost at 20 : 1."""
-    scores = models.out_of_fold(_model_rows(spark, sf_dir), DECISION_MODEL, MODEL_FEATURES, "doc_id", "junk")
+    scores = models.out_of_fold(_model_rows(spark, sf_dir), DECISION_MODEL, MODEL_FEATURES, "doc_id", "junk", source=_source(spark, sf_dir, "documents", "labels"))
     plan = thresholds.capacity(thresholds.with_cost(thresholds.sweep(scores, "p", "junk"), 20.0, 1.0), _CAPS)
     return plan.select("cap", "feasible", "threshold", "alert_rate", "recall", "cost")
 
@@ -753,7 +762,7 @@ def oof_capacity_plan(spark, sf_dir):
 @query()
 def cv_fold_detail(spark, sf_dir):
     """Every fold of all three models."""
-    return models.compare(_model_rows(spark, sf_dir), MODEL_FEATURES, "doc_id", "junk")[1]
+    return _document_models(spark, sf_dir)[1]
 
 
 def _tracks(spark, sf_dir):
@@ -764,10 +773,14 @@ def _tracks(spark, sf_dir):
     return found
 
 
+def _track_models(spark, sf_dir, tracks):
+    return models.compare_tracks(spark, tracks, "row_id", "flag", source=_source(spark, sf_dir, "customer", "orders", "events"))
+
+
 @query()
 def cv_track_models(spark, sf_dir):
     """Thirty fits: three models, five folds, both tracks."""
-    return models.compare_tracks(spark, _tracks(spark, sf_dir), "row_id", "flag")
+    return _track_models(spark, sf_dir, _tracks(spark, sf_dir))
 
 
 def _difference(summary, left, right):
@@ -777,15 +790,15 @@ def _difference(summary, left, right):
 @query()
 def cv_track_difference(spark, sf_dir):
     """All three models with and without the indicator of missing history, in mean metrics over folds."""
-    return _difference(models.compare_tracks(spark, _tracks(spark, sf_dir), "row_id", "flag"), prepare.FULL, prepare.NO_LEAK)
+    return _difference(_track_models(spark, sf_dir, _tracks(spark, sf_dir)), prepare.FULL, prepare.NO_LEAK)
 
 
 @query()
 def cv_without_shells(spark, sf_dir):
     """All three models on the track without leaks, with and without rows whose features are all 0."""
     data, features = _tracks(spark, sf_dir)[prepare.NO_LEAK]
-    tracks = {"all": (data, features), "without shells": (models.without_shells(data, features), features)}
-    return _difference(models.compare_tracks(spark, tracks, "row_id", "flag"), "all", "without shells")
+    tracks = {prepare.NO_LEAK: (data, features), "without_shells": (models.without_shells(data, features), features)}
+    return _difference(_track_models(spark, sf_dir, tracks), prepare.NO_LEAK, "without_shells")
 
 
 @query()

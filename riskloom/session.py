@@ -20,15 +20,20 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     )
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that the cluster shares (spark.checkpoint.dir). Where none is named, a local temporary folder serves a local master; a cluster has to name its own."""
+def scratch_root(spark: SparkSession) -> str:
+    """The folder that the cluster shares (spark.checkpoint.dir). Where none is named, a local temporary folder serves a local master; a cluster has to name its own."""
     context = spark.sparkContext
     shared = context.getConf().get("spark.checkpoint.dir") or _OWN.get(context.applicationId)
     if not shared:
         if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         shared = _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="riskloom-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return shared.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below that folder."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 #: The temporary folder of an application on a local master.

@@ -70,6 +70,12 @@ def fingerprint(*parts: object) -> str:
     return hashlib.sha256(json.dumps([str(p) for p in parts]).encode()).hexdigest()[:16]
 
 
+def source_mark(spark: SparkSession, paths: list[str]) -> str:
+    """A name of the present state of some files: their paths, lengths and times. Contents are not read."""
+    files = spark.read.format("binaryFile").load(paths).select("path", "length", "modificationTime")
+    return fingerprint(*files.agg(F.count("*"), F.sum("length"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first())
+
+
 def _marker(spark: SparkSession, path: str) -> dict | None:
     """What a store says of itself; None where there is no folder."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -85,7 +91,7 @@ def _marker(spark: SparkSession, path: str) -> dict | None:
         stream.close()
 
 
-def materialized(spark: SparkSession, make: Callable[[], DataFrame], path: str, force: bool = False, source: str = "") -> DataFrame:
+def materialized(spark: SparkSession, make: Callable[[], DataFrame], path: str, force: bool = False, source: str = "", partition_by: list[str] = ()) -> DataFrame:
     """The table at `path`, made and written once (or anew, by force).
 
     It is written beside, given a marker (schema, rows, the source's fingerprint) and renamed, so a broken write never stands at `path`. Of two writers, the first to
@@ -99,7 +105,7 @@ def materialized(spark: SparkSession, make: Callable[[], DataFrame], path: str,
         beside = f"{path}.{uuid.uuid4().hex}"
         system = jvm.Path(beside).getFileSystem(conf)
         try:
-            make().write.parquet(beside)
+            make().write.partitionBy(*partition_by).parquet(beside)
             written = spark.read.parquet(beside)
             marker = {"schema": written.schema.json(), "rows": written.count(), "source": source}
             out = system.create(jvm.Path(beside, MARKER))

@@ -46,6 +46,7 @@ def test_registered_models_are_whole(spark, monkeypatch):
         raise stop
 
     monkeypatch.setattr(models, "_fold_scores", fold_scores)
+    monkeypatch.setattr(registry, "_source", lambda *_: None)  # nothing is taken from elsewhere
     assert inspect.signature(models.fit).parameters["trees"].default == 300
     monkeypatch.setattr(models, "fit", fit)
     small, queries, all_three = "/root/testdata/sf0.001", registry.queries(), [(n, 5, {}) for n in (models.LOGISTIC, models.BOOSTING, models.FOREST)]
@@ -226,6 +227,26 @@ def test_tree_values_of_many_features():
         assert got[i] == pytest.approx(brute_shapley(tree, x[i], 7), abs=1e-9)
 
 
+def test_scores_of_one_source_are_shared(rows, monkeypatch):
+    """What was scored before is read; another source, another model or another number of folds is not."""
+    asked, plain = [], models._fold_scores
+
+    def fold_scores(folded, name, *rest, **how):
+        asked.append(name)
+        return plain(folded, name, *rest, **how)
+
+    monkeypatch.setattr(models, "_fold_scores", fold_scores)
+    ask = lambda source, names, k=2: models.score_store(rows.sparkSession, {"t": (rows, ["a"])}, names, "id", "y", k=k, source=source)
+    first = ask("one", (models.LOGISTIC,))
+    again = ask("one", (models.LOGISTIC,))
+    assert asked == [models.LOGISTIC] and sorted(first.collect()) == sorted(again.collect())
+    ask("one", (models.LOGISTIC,), 3)
+    ask("two", (models.LOGISTIC,))
+    assert asked == [models.LOGISTIC] * 3
+    with pytest.raises(ValueError):
+        models.score_store(rows.sparkSession, {"t": (rows, ["b"])}, (models.LOGISTIC,), "id", "y", k=2, source="one")
+
+
 def test_value_ranks_equal_percent_rank(spark):
     rng = np.random.default_rng(4)
     rows = [(i, f, float(v), 0.1) for f, x in (("a", rng.integers(0, 5, 60)), ("b", rng.normal(size=60)), ("one", [1.0])) for i, v in enumerate(x)] + [(99, "a", None, 0.1)]

@@ -35,6 +35,7 @@ def test_tree_queries(spark, monkeypatch):
 def test_out_of_fold_capacity(spark, monkeypatch):
     """Thresholds, alert rates, recall and cost as counted from the boosted scores themselves, with few trees."""
     monkeypatch.setattr(models, "fit", partial(models.fit, trees=3))
+    monkeypatch.setattr(registry, "_source", lambda *_: "capacity with 3 trees")  # both queries take the same scores
     scores = registry.queries()["oof_scores"](spark, SMALL).toPandas()
     plan = registry.queries()["oof_capacity_plan"](spark, SMALL).collect()
     assert {r.cap for r in plan} == set(registry._CAPS)
@@ -50,6 +51,7 @@ def test_out_of_fold_capacity(spark, monkeypatch):
 
 def test_track_queries(spark, monkeypatch):
     monkeypatch.setattr(models, "fit", partial(models.fit, trees=2))
+    monkeypatch.setattr(registry, "_source", lambda *_: None)
     detail = registry.queries()["cv_fold_detail"](spark, SMALL).collect()
     assert sorted((r.model, r.fold) for r in detail) == sorted((m, i) for m in models.MODELS for i in range(5))
     got = registry.queries()["cv_track_difference"](spark, SMALL).collect()
