@@ -116,6 +116,7 @@ class Part:
     """The bundles of a part, in order, with their segments."""
 
     def __init__(self, rows: pa.Table):
+        pa.default_memory_pool().release_unused()
         rows = rows.sort_by("bundle")
         self.ids = [x for ids in rows.column("ids").to_pylist() for x in ids]
         self.lengths = np.array([n for row in rows.column("lengths").to_pylist() for n in row], np.int64)
@@ -329,17 +330,22 @@ def _kept_rows(bundles: pa.Table, notes: pa.Table, buckets: int, keep_text: bool
     ends = np.cumsum(part.lengths)
     below = low[at] < part.order[np.searchsorted(ends, start[which], "right")]
     which, at = which[below], at[below]
-    edge = np.zeros(len(part.data) + 1, np.int32)
     covered = start[which] + offset[at]
-    np.add.at(edge, covered, 1)
-    np.add.at(edge, covered + windows[at] - 1 + SPAN, -1)
-    gone = np.cumsum(edge[:-1]) > 0
+    order = np.argsort(covered)
+    covered, upto = covered[order], covered[order] + windows[at][order] - 1 + SPAN
     rows: list[tuple] = []
     for doc_id, end, n_bytes in zip(part.ids, ends.tolist(), part.lengths.tolist()):
-        own, text = gone[end - n_bytes : end], part.data[end - n_bytes : end]
-        removed_bytes = int(own.sum())
-        kept = (text[~own] if removed_bytes else text).tobytes()
-        spans = int(own[:1].sum() + (own[1:] & ~own[:-1]).sum()) if removed_bytes else 0
+        low_at, high_at = np.searchsorted(covered, (end - n_bytes, end))
+        text, spans, removed_bytes = part.data[end - n_bytes : end], 0, 0
+        if high_at > low_at:
+            # runs of bytes: those that begin beyond all before them
+            from_, to = covered[low_at:high_at] - (end - n_bytes), np.maximum.accumulate(upto[low_at:high_at]) - (end - n_bytes)
+            new = np.r_[True, from_[1:] > to[:-1]]
+            from_, to = from_[new], to[np.r_[new[1:], True]]
+            spans, removed_bytes = len(from_), int((to - from_).sum())
+            kept = b"".join(text[x:y].tobytes() for x, y in zip([0, *to.tolist()], [*from_.tolist(), n_bytes]))
+        else:
+            kept = text.tobytes()
         rows.append((doc_id, n_bytes, removed_bytes, spans, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
     kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
@@ -352,7 +358,7 @@ def remove_repeats(
     keep_text: bool = False,
     hot: int = 50_000,
     bundle_bytes: int = 1 << 21,
-    part_bytes: int = 1 << 26,
+    part_bytes: int = 1 << 24,
     bucket_bytes: int = 1 << 28,
     block_bytes: int = 1 << 26,
     index_bytes: int = 1 << 20,
