@@ -67,20 +67,28 @@ def hash_rank(df: DataFrame, by: list[str], key: Column, key_range: int, tie: li
     return placed.join(offsets, [*by, "_bucket"]).withColumn(into, F.col("_before") + F.row_number().over(within) - 1).drop("_key", "_bucket", "_before")
 
 
-def ordered_bits(v: Column) -> Column:
-    """A double's place among all doubles, as a signed integer: larger values have larger ones, both zeros have 0. These are the bits of its size, put together by exact arithmetic."""
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once a row: what stands after a generator is not put into later expressions again and again."""
+    one = F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_one")
+    return df.select("*", one).select(*df.columns, *(F.col(f"_one.{n}").alias(n) for n in columns))
+
+
+def with_ordered_bits(df: DataFrame, v: Column, into: str) -> DataFrame:
+    """Adds a double's place among all doubles, as a signed integer: larger values have larger ones, both zeros have 0. These are the bits of its size, put together
+    by exact arithmetic, in generated code."""
     size = F.abs(v)
     guess = F.least(F.floor(F.log2(size)), F.lit(1023))
-    scaled = size / F.pow(F.lit(2.0), guess)  # a power of two: exact; the guess may be off by one
-    shift = F.when(scaled < 1, -1).when(scaled >= 2, 1).otherwise(0)
-    fraction = scaled * F.when(scaled < 1, 2.0).when(scaled >= 2, 0.5).otherwise(1.0) - 1
-    normal = (guess + shift + 1023) * F.lit(2**52) + F.floor(fraction * 2.0**52)
-    bits = F.when(size == float("inf"), F.lit(2047 * 2**52)).when(size < 2.0**-1022, F.floor(size * 2.0**537 * 2.0**537)).otherwise(normal)
-    return F.when(v < 0, -bits).otherwise(bits)
+    df = _once(df, _neg=v < 0, _size=size, _exponent=guess, _scaled=size / F.pow(F.lit(2.0), guess))  # divided by a power of two: exact; the guess may be off by one
+    size, exponent, scaled = F.col("_size"), F.col("_exponent"), F.col("_scaled")
+    normal = lambda e, x: (e + 1023) * F.lit(2**52) + F.floor((x - 1) * 2.0**52)
+    finite = F.when(scaled < 1, normal(exponent - 1, scaled * 2)).when(scaled >= 2, normal(exponent + 1, scaled * 0.5)).otherwise(normal(exponent, scaled))
+    bits = F.when(size == float("inf"), F.lit(2047 * 2**52)).when(size < 2.0**-1022, F.floor(size * 2.0**537 * 2.0**537)).otherwise(finite)
+    df = _once(df, _bits=bits)
+    return _once(df, **{into: F.when(F.col("_neg"), -F.col("_bits")).otherwise(F.col("_bits"))}).drop("_neg", "_size", "_exponent", "_scaled", "_bits")
 
 
 def value_at(bits: int) -> float:
-    """The double of an ordered_bits value."""
+    """The double at that place."""
     size = struct.unpack(">d", struct.pack(">q", abs(bits)))[0]
     return -size if bits < 0 else size
 
@@ -105,32 +113,51 @@ def _between(places: list[float], n: int, at: dict[int, float]) -> list[float]:
     return found
 
 
-def less_own_fold(rows: DataFrame, keys: list[str], fold: str, k: int, sums: dict[str, Column], into: str = "_fold") -> DataFrame:
+#: Rows of a bucket that are counted value by value without another pass by leading bits.
+DIRECT = 1 << 20
+
+
+def less_own_fold(rows: DataFrame, keys: list[str], fold: str, k: int, sums: dict[str, Column], of_all: dict[str, Column] = {}, into: str = "_fold") -> DataFrame:  # noqa: B006
     """keys, `into` (0 to k - 1) and each sum over the rows of all other folds: the total less the fold's own, so rows are read once and not once a fold. Groups that
-    have no row outside a fold have none for it."""
+    have no row outside a fold have none for it. `of_all`: aggregates over all rows, whatever their fold."""
     own = {f"{s}_{i}": F.sum(F.when(F.col(fold) == i, c).otherwise(0)) for s, c in sums.items() for i in range(k)}
-    totals = rows.groupBy(*keys).agg(*(F.sum(c).alias(f"{s}_all") for s, c in sums.items()), F.count("*").alias("_rows_all"), *(c.alias(n) for n, c in own.items()), *(F.count_if(F.col(fold) == i).alias(f"_rows_{i}") for i in range(k)))
+    totals = rows.groupBy(*keys).agg(*(F.sum(c).alias(f"{s}_all") for s, c in sums.items()), F.count("*").alias("_rows_all"), *(c.alias(n) for n, c in {**own, **of_all}.items()), *(F.count_if(F.col(fold) == i).alias(f"_rows_{i}") for i in range(k)))
     each = [F.struct(F.lit(i).alias(into), (F.col("_rows_all") - F.col(f"_rows_{i}")).alias("_rows"), *((F.col(f"{s}_all") - F.col(f"{s}_{i}")).alias(s) for s in sums)) for i in range(k)]
-    return totals.select(*keys, F.explode(F.array(*each)).alias("_r")).select(*keys, "_r.*").where("_rows > 0").drop("_rows")
+    return totals.select(*keys, *of_all, F.explode(F.array(*each)).alias("_r")).select(*keys, *of_all, "_r.*").where("_rows > 0").drop("_rows")
 
 
 def select_quantiles(values: DataFrame, by: list[str], value: str, probabilities: list[float], bits: int = 16, zero_share: float | None = None, folds: tuple[str, int] | None = None) -> list[Quantiles]:
     """Linear-interpolated quantiles of the known values of few groups (features, classes), by selection on ordered bits.
 
-    One pass counts all groups' values by their leading bits. Only buckets that hold a wanted rank are counted again, by the next bits, or by all the rest once
-    they hold few rows: two passes for most data, 64 / bits at most, whatever the distribution. A pass shuffles at most 2^bits rows per task and bucket; the driver
-    gets a row per group and wanted rank. Groups whose share of zeros reaches zero_share are taken without their zeros. With folds = (column, k), each group has k
+    One pass counts all groups' values by their leading bits. Only buckets that hold a wanted rank, and more than one value, are counted again, by the next bits, or
+    by all the rest once they hold no more than DIRECT rows: two passes for most data, 64 / bits at most, whatever the distribution. A pass shuffles at most 2^bits
+    (at the last, DIRECT) rows per task and bucket; the driver gets a row per group and wanted rank. Groups whose share of zeros reaches zero_share are taken without their zeros. With folds = (column, k), each group has k
     results, the i-th (its group ends with i) over the rows that are not of fold i, from the same passes.
     """
     v = F.col(value).cast("double")
-    rows = values.where(v.isNotNull() & ~F.isnan(v)).select(*by, *([folds[0]] if folds else []), ordered_bits(v).alias("_key"))
+    columns = [*by, *([folds[0]] if folds else [])]
+    rows = with_ordered_bits(values.where(v.isNotNull() & ~F.isnan(v)).select(*columns, v.alias("_v")), F.col("_v"), "_key").drop("_v")
     names = [*by, *(["_fold"] if folds else [])]
     zero = (F.col("_key") == 0).cast("long")
 
+    ends = {"_low": F.min("_key"), "_high": F.max("_key")}
+
     def counts(df: DataFrame, keys: list[str]) -> DataFrame:
         if folds:
-            return less_own_fold(df, keys, *folds, {"_n": F.lit(1).cast("long"), "_z": zero})
-        return df.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum(zero).alias("_z"))
+            return less_own_fold(df, keys, *folds, {"_n": F.lit(1).cast("long"), "_z": zero}, ends)
+        return df.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum(zero).alias("_z"), *(c.alias(n) for n, c in ends.items()))
+
+    at: dict[tuple, dict[int, float]] = {}
+
+    def open_ranks(found: list[tuple]) -> dict:
+        """(group, bucket): (rows in it, ranks within it and the ranks they stand for) of buckets with several values; the others are settled."""
+        still = {}
+        for g, r, ranks in found:
+            if r["_low"] == r["_high"]:
+                at.setdefault(g, {}).update({k: value_at(r["_low"]) for k in ranks.values()})
+            else:
+                still[g, r["_b"]] = (r["_n"], ranks)
+        return still
 
     shift = 64 - bits
     all_of, lower = Window.partitionBy(*names), Window.partitionBy(*names).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -144,8 +171,7 @@ def select_quantiles(values: DataFrame, by: list[str], value: str, probabilities
     inside = F.filter(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")))
     first = counted.withColumn("_ranks", inside).where((F.size("_ranks") > 0) | (F.col("_before") == 0)).collect()
     groups = {tuple(r[c] for c in names): r for r in first}
-    #: (group, bucket): (rows in it, ranks within it and the ranks they stand for)
-    wanted = {(tuple(r[c] for c in names), r["_b"]): (r["_n"], {k - r["_before"]: k for k in r["_ranks"]}) for r in first if r["_ranks"]}
+    wanted = open_ranks([(tuple(r[c] for c in names), r, {k - r["_before"]: k for k in r["_ranks"]}) for r in first if r["_ranks"]])
     fields = [*values.select(*by).schema.fields, *([T.StructField("_fold", T.IntegerType())] if folds else [])]
     group_fields = [T.StructField(f"_g{i}", f.dataType) for i, f in enumerate(fields)]
     bucket = T.StructField("_p", T.LongType())
@@ -153,8 +179,8 @@ def select_quantiles(values: DataFrame, by: list[str], value: str, probabilities
     def same(columns: list[str]) -> Column:
         return reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(columns)), F.col("_q") == F.col("_p"))
 
-    while wanted and shift:
-        before, shift = shift, 0 if max(n for n, _ in wanted.values()) <= 1 << bits else max(0, shift - bits)
+    while wanted:
+        before, shift = shift, 0 if max(n for n, _ in wanted.values()) <= DIRECT else max(0, shift - bits)
         create, n_by = values.sparkSession.createDataFrame, len(by)
         buckets = create(list({(*g[:n_by], b) for g, b in wanted}), T.StructType([*group_fields[:n_by], bucket]))
         small = create([(*g, b, groups[g]["_without"], list(r)) for (g, b), (_, r) in wanted.items()], T.StructType([*group_fields, bucket, T.StructField("_skip", T.BooleanType()), T.StructField("_wanted", T.ArrayType(T.LongType()))]))
@@ -163,15 +189,12 @@ def select_quantiles(values: DataFrame, by: list[str], value: str, probabilities
         lower = Window.partitionBy(*names, "_p").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
         parts = parts.withColumn("_n", F.col("_n") - F.when(F.col("_skip"), F.col("_z")).otherwise(0)).withColumn("_before", F.coalesce(F.sum("_n").over(lower), F.lit(0)))
         hit = F.filter("_wanted", lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")))
-        after = {}
+        after = []
         for r in parts.withColumn("_hit", hit).where(F.size("_hit") > 0).collect():
             g = tuple(r[c] for c in names)
             stands_for = wanted[g, r["_p"]][1]
-            after[g, r["_b"]] = (r["_n"], {k - r["_before"]: stands_for[k] for k in r["_hit"]})
-        wanted = after
-    at: dict[tuple, dict[int, float]] = {}
-    for (g, b), (_, r) in wanted.items():
-        at.setdefault(g, {}).update({k: value_at(b) for k in r.values()})
+            after.append((g, r, {k - r["_before"]: stands_for[k] for k in r["_hit"]}))
+        wanted = open_ranks(after)
     return [Quantiles(g, r["_known"], r["_zeros"], r["_without"], _between(probabilities, r["_total"], at[g]) if r["_total"] else None) for g, r in groups.items()]
 
 

@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom import session
-from riskloom.functions.ordering import exact_quantiles, global_rank, ordered_bits, running_totals, select_quantiles, sliced, value_at
+from riskloom.functions import ordering
+from riskloom.functions.ordering import exact_quantiles, global_rank, running_totals, select_quantiles, sliced, value_at, with_ordered_bits
 from riskloom.operators import metrics
 
 
@@ -33,14 +34,15 @@ EDGES = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.2250738585072009
 def test_ordered_bits_keep_the_order(spark):
     rng = np.random.default_rng(6)
     values = EDGES + rng.normal(size=300).tolist() + np.ldexp(rng.normal(size=300), rng.integers(-1074, 1000, 300)).tolist() + [2.0**k for k in range(-1074, 1024, 37)]
-    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", ordered_bits(F.col("v")).alias("k")).collect()
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    rows = with_ordered_bits(rows, F.col("v"), "k").collect()
     for r in rows:
         assert value_at(r.k) == r.v
     by_value, by_bits = sorted(rows, key=lambda r: r.v), sorted(rows, key=lambda r: r.k)
     assert [r.v for r in by_value] == [r.v for r in by_bits]
 
 
-def test_quantiles_of_odd_values(spark):
+def test_quantiles_of_odd_values(spark, monkeypatch):
     """Denormals, negatives, infinities, long ties, NaN and null as missing, groups with a null name, groups whose zeros are left out."""
     rng = np.random.default_rng(7)
     groups = {"odd": EDGES[:18], "ties": [1.0] * 500 + [2.0] * 30, "wide": np.ldexp(rng.normal(size=400), rng.integers(-300, 300, 400)).tolist(), None: rng.normal(size=99).tolist(), "one": [3.5]}
@@ -48,7 +50,8 @@ def test_quantiles_of_odd_values(spark):
     rows = [(g, v) for g, x in groups.items() for v in x] + [("odd", None), ("odd", float("nan")), ("none", None)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(4)
     probabilities = [0.0, 0.25, 0.5, 0.9, 0.99, 1.0]
-    for bits in (16, 5):
+    for bits, direct in ((16, 1 << 20), (16, 10), (5, 3)):
+        monkeypatch.setattr(ordering, "DIRECT", direct)
         got = {r.g: r.quantiles for r in exact_quantiles(df, ["g"], "v", probabilities, bits).collect()}
         assert set(got) == set(groups)
         for g, x in groups.items():
