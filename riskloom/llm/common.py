@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 import uuid
@@ -79,10 +80,23 @@ def hash64(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
+try:  # glibc keeps freed pages of its heap until it is asked
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):
+    _trim = None
+
+
+def give_back() -> None:
+    """Returns freed memory to the system. Workers live on between tasks, and an executor's memory counts what they hold idle."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def slices(batches, rows: int = 1000, size: int = 1 << 22, text: str = "_text"):
     """Arrow batches in parts of at most so many rows and bytes of text (one text, if it is longer), so that a task holds few whole texts as Python objects."""
     for batch in batches:
-        pa.default_memory_pool().release_unused()  # of the batch before
+        give_back()  # what the batch before took
         lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         ends, at = np.cumsum(lengths, dtype=np.int64), 0
         while at < batch.num_rows:
@@ -90,6 +104,25 @@ def slices(batches, rows: int = 1000, size: int = 1 << 22, text: str = "_text"):
             stop = min(at + rows, max(at + 1, within))
             yield batch.slice(at, stop - at)
             at = stop
+        del batch, lengths, ends
+    give_back()
+
+
+#: What a worker keeps from task to task, by operator.
+_KEPT: list[dict] = []
+
+
+def kept_by_worker() -> dict:
+    """A dictionary that outlives tasks, as the worker does, until a task of another operator calls `release`."""
+    _KEPT.append({})
+    return _KEPT[-1]
+
+
+def release() -> None:
+    """Drops what other operators keep in this worker: workers are used again, stage after stage."""
+    for kept in _KEPT:
+        kept.clear()
+    give_back()
 
 
 class Remembered(dict):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import in_training_folds, named, slices, unused
+from riskloom.llm.common import in_training_folds, named, release, slices, unused
 
 UNDETERMINED = "und"
 
@@ -211,6 +211,7 @@ class Labeller:
                 k += 1
             chunk, order = order[:k], order[k:]
             scores, counts = self.model.words(list(places))
+            places.default_factory = None  # which refers to the dictionary itself: it would stay until the collector runs
             del places
             own, lengths = np.frombuffer(at, np.int32) if at else np.zeros(0, np.int32), np.array(sizes)
             yield chunk, lengths, best_paths(scores[own], lengths, self.model.switch_penalty), counts[own]
@@ -253,6 +254,7 @@ def _map_texts(df: DataFrame, text: str, model: LanguageModel, work, new: list[t
     column = unused("_text", df.columns)
 
     def run(batches):
+        release()
         labeller = Labeller(shared.value)
         for batch in slices(batches, 10_000, text=column):
             texts = [x or "" for x in batch.column(column).to_pylist()]

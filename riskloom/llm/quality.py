@@ -2,7 +2,7 @@
 
 A text's terms are its byte pairs (of 64 classes: single lower-case letters, upper case, digits, each ASCII mark, blanks, line
 ends, the rest) and its word pairs: two words one to three places apart, lower-cased, by their hashes' difference in bits, in
-4096 buckets. So unordered pairs share a bucket, and so do all pairs of equal words. Terms weigh the root of their count times
+1024 buckets. So unordered pairs share a bucket, and so do all pairs of equal words. Terms weigh the root of their count times
 their inverse document frequency; a text's weights, of unit length, are projected on the leading singular vectors of a sample of
 at most `sample` labelled documents (the first by a hash of their doc_id; a documented bound on what the driver fits and what is
 broadcast). Every text's vector is multiplied with all labelled vectors, in blocks; the `neighbours` of largest cosine, and all
@@ -25,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import in_training_folds, named, slices, unused
+from riskloom.llm.common import in_training_folds, named, release, slices, unused
 
 CLASSES = 64
 PAIRS = CLASSES * CLASSES
-WORD_PAIRS = 4096
+WORD_PAIRS = 1024
 REACH = 3
+FIT_BLOCK = 256
 TERMS = PAIRS + WORD_PAIRS
 
 
@@ -61,7 +62,7 @@ def term_counts(data: bytes) -> np.ndarray:
         words = np.fromiter(map(zlib.crc32, data.lower().split()), np.uint64)
         for apart in range(1, REACH + 1):
             # multiplied, as the low bits of two checksums' difference alone would hold less than all of it
-            mixed = (words[:-apart] ^ words[apart:]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(52)
+            mixed = (words[:-apart] ^ words[apart:]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(54)
             counts[PAIRS:] += np.bincount(mixed.astype(np.int64), minlength=WORD_PAIRS)
     return counts
 
@@ -120,29 +121,35 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = 6000, dimensions:
     if not rows:
         return NeighbourModel(np.zeros(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), neighbours, power)
     rows.sort(key=lambda r: (r.places, r.counts, r.label))
-    weighted = np.zeros((len(rows), TERMS), np.float32)
-    for x, r in zip(weighted, rows):
-        x[np.frombuffer(r.places, "<u2")] = np.frombuffer(r.counts, "<f4")
-    idf = np.log((1 + len(rows)) / (1 + (weighted > 0).sum(axis=0))).astype(np.float32) + np.float32(1)
-    np.sqrt(weighted, out=weighted)  # in place: the driver holds one such table
-    weighted *= idf
-    weighted /= np.maximum(np.sqrt(np.einsum("ij,ij->i", weighted, weighted)), 1e-12)[:, None]
+    documents_of = np.bincount(np.concatenate([np.frombuffer(r.places, "<u2") for r in rows]), minlength=TERMS)
+    idf = np.log((1 + len(rows)) / (1 + documents_of)).astype(np.float32) + np.float32(1)
+
+    def weighted():
+        """The sample's weights, some hundred rows at a time: the driver never holds all of them."""
+        for a in range(0, len(rows), FIT_BLOCK):
+            dense = np.zeros((len(rows[a : a + FIT_BLOCK]), TERMS), np.float32)
+            for x, r in zip(dense, rows[a : a + FIT_BLOCK]):
+                x[np.frombuffer(r.places, "<u2")] = np.sqrt(np.frombuffer(r.counts, "<f4"))
+            dense *= idf
+            yield dense / np.maximum(np.sqrt(np.einsum("ij,ij->i", dense, dense)), 1e-12)[:, None]
+
     # leading right singular vectors by subspace iteration
     basis = np.random.default_rng(0).standard_normal((TERMS, min(dimensions + 16, len(rows)))).astype(np.float32)
     for _ in range(5):
-        basis = np.linalg.qr(weighted.T @ (weighted @ basis))[0]
-    _, sizes, right = np.linalg.svd(weighted @ basis, full_matrices=False)
+        basis = np.linalg.qr(sum(x.T @ (x @ basis) for x in weighted()))[0]
+    _, sizes, right = np.linalg.svd(np.concatenate([x @ basis for x in weighted()]), full_matrices=False)
     projection = (basis @ right[:dimensions].T).astype(np.float32)
-    return NeighbourModel(idf, projection, _unit(weighted @ projection), np.array([r.label for r in rows], float), neighbours, power)
+    return NeighbourModel(idf, projection, _unit(np.concatenate([x @ projection for x in weighted()])), np.array([r.label for r in rows], float), neighbours, power)
 
 
-def classify(df: DataFrame, model: NeighbourModel, text: str = "text", block: int = 512, into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+def classify(df: DataFrame, model: NeighbourModel, text: str = "text", block: int = 128, into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """Adds the score and the predicted label; columns of these names are replaced."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     kept = [c for c in df.columns if c not in into]
     column = unused("_text", df.columns)
 
     def work(batches):
+        release()
         for batch in slices(batches, block, text=column):
             scores = shared.value.score(np.stack([term_counts(x or b"") for x in batch.column(column).to_pylist()]))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=[*kept, *into])

@@ -15,10 +15,10 @@ from array import array
 
 import numpy as np
 
-from riskloom.llm.common import Remembered
+from riskloom.llm.common import Remembered, kept_by_worker
 
 ID_TYPE = np.dtype("<u4")
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[str, WordEncoder] = kept_by_worker()
 
 #: Words of printable ASCII and Latin-1 letters are split here as the tokenizer's own pattern splits them.
 _PLAIN = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
