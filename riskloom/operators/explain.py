@@ -145,6 +145,16 @@ def tree_values(tree: Tree, x: np.ndarray, n_features: int) -> np.ndarray:
     return out
 
 
+def cell_values(trees: list[Tree], x: np.ndarray) -> np.ndarray:
+    """Shapley values of all trees, summed. Rows that no tree tells apart lie in one cell between thresholds and are explained once."""
+    n_features = x.shape[1]
+    asked = [np.unique(np.concatenate([t.threshold[t.feature == f] for t in trees])) for f in range(n_features)]
+    cells = np.stack([np.searchsorted(a, x[:, f], side="left") for f, a in enumerate(asked)], axis=1)
+    _, first, of_row = np.unique(cells, axis=0, return_index=True, return_inverse=True)
+    met = x[first]
+    return sum((tree_values(t, met, n_features) for t in trees), np.zeros((len(met), n_features)))[of_row.ravel()]
+
+
 def tree_base(trees: list[Tree]) -> float:
     """The expected margin (or, of a forest, probability) over the training rows' covers."""
     total = 0.0
@@ -161,8 +171,9 @@ def tree_shap(df: DataFrame, row_id: str, features: list[str], trees: list[Tree]
     def work(batches):
         for batch in batches:
             x = np.column_stack([np.asarray(batch.column(f).to_pylist(), float) for f in features]) if batch.num_rows else np.zeros((0, len(features)))
-            phi = scale * sum((tree_values(t, x, len(features)) for t in shared.value), np.zeros((len(x), len(features))))
+            phi = scale * cell_values(shared.value, x)
             ids = batch.column(row_id).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, len(features)), pa.int64()), pa.array(features * len(ids), pa.string()), pa.array(x.ravel()), pa.array(phi.ravel())], names=[row_id, "feature", "value", "phi"])
 
-    return df.select(F.col(row_id).cast("long").alias(row_id), *(F.col(f"`{f}`").cast("double").alias(f) for f in features)).mapInArrow(work, f"`{row_id}` long, feature string, value double, phi double")
+    rows = df.select(F.col(row_id).cast("long").alias(row_id), *(F.col(f"`{f}`").cast("double").alias(f) for f in features))
+    return rows.repartition(df.sparkSession.sparkContext.defaultParallelism).mapInArrow(work, f"`{row_id}` long, feature string, value double, phi double")
