@@ -19,8 +19,8 @@ from riskloom.operators import explain, folds, logistic, metrics, models, prepar
 from riskloom.plans.fixtures import ADDRESS_CATALOG as CATALOG
 from riskloom.plans.fixtures import ADDRESS_SQL, DOCS_SQL, LINE_FEATURES, LINES_SQL, RISK, RISK_INTERCEPT, address_profile, labeled_docs, line_flags, scored_lines, table
 from riskloom.plans.woe_sql import BAND, categorical, numeric
-from riskloom.session import discard, scratch_path
-from riskloom.sources.readers import preview, read_csv, source_mark
+from riskloom.session import discard, scratch_path, scratch_root
+from riskloom.sources.readers import materialized, preview, read_csv, source_mark
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -373,8 +373,21 @@ def iv_ranking(spark, sf_dir):
 _FULL_WOE = f"{_TRACK_SQL}, {numeric('track', 'flag', [*KNOWN, 'history_missing'])}, {categorical('track', 'flag', ['tok_top_type'])}, all_iv AS (SELECT * FROM iv UNION ALL SELECT * FROM ivc)"
 
 
+def _kept_profile(spark, sf_dir):
+    """The address profile, joined once and then read: fits take several passes over it, and queries on the same files share it."""
+    mark = source_mark(spark, [f"{sf_dir}/{n}.parquet" for n in ("customer", "orders", "events")])
+    return materialized(spark, lambda: address_profile(spark, sf_dir), f"{scratch_root(spark)}/profile-{mark}")
+
+
+def _written(spark, df):
+    """A table that several passes read, written once; it stays in the scratch folder, as results are read from it later."""
+    path = scratch_path(spark, "track")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _full_track_values(spark, sf_dir):
-    t = prepare.build_track(address_profile(spark, sf_dir), CATALOG, prepare.FULL, "tok_n", include_strings=True)
+    t = prepare.build_track(_kept_profile(spark, sf_dir), CATALOG, prepare.FULL, "tok_n", include_strings=True)
     return woe.information_values(woe.WoeModel.fit(t.data, t.features, "flag", t.strings).table)
 
 
@@ -409,7 +422,7 @@ def woe_transform_unseen(spark, sf_dir):
 @query(f"WITH {_FULL_WOE} SELECT feature, bin_kind, bin_number, n, n_positive FROM woe WHERE n >= 5 AND (n_positive = 0 OR n_negative = 0)")
 def perfect_bins(spark, sf_dir):
     """Bins of at least 5 rows, where the operator's default is 30: the test tables are small."""
-    t = prepare.build_track(address_profile(spark, sf_dir), CATALOG, prepare.FULL, "tok_n")
+    t = prepare.build_track(_kept_profile(spark, sf_dir), CATALOG, prepare.FULL, "tok_n")
     return woe.perfect_bins(woe.WoeModel.fit(t.data, t.features, "flag").table, 5).select("feature", "bin_kind", "bin_number", "n", "n_positive")
 
 
@@ -417,17 +430,17 @@ def perfect_bins(spark, sf_dir):
 {numeric('track', 'flag', [*KNOWN, 'history_missing'], '_a')}, {numeric('raw', 'flag', KNOWN, '_b')}
 SELECT feature, round(a.iv, 6) AS iv_left, round(b.iv, 6) AS iv_right, round(a.iv - b.iv, 6) AS difference FROM iv_a a FULL JOIN iv_b b USING (feature) WHERE a.iv - b.iv IS NULL OR abs(a.iv - b.iv) > 1e-9""")
 def iv_two_tracks(spark, sf_dir):
-    df = address_profile(spark, sf_dir)
+    df = _kept_profile(spark, sf_dir)
     t = prepare.build_track(df, CATALOG, prepare.FULL, "tok_n")
     raw = df.select("flag", *(F.col(c).cast("double").alias(c) for c in KNOWN))
-    left, right = woe.WoeModel.fit(t.data, t.features, "flag"), woe.WoeModel.fit(raw, KNOWN, "flag")
+    left, right = woe.WoeModel.fit(_written(spark, t.data), t.features, "flag"), woe.WoeModel.fit(raw, KNOWN, "flag")
     return woe.iv_difference(woe.information_values(left.table), woe.information_values(right.table))
 
 
 @query(f"""WITH {_TRACK_SQL}, rest AS (SELECT * FROM track WHERE NOT (tok_n = 0 AND tok_val = 0 AND tok_max = 0)), {numeric('track', 'flag', KNOWN, '_a')}, {numeric('rest', 'flag', KNOWN, '_b')}
 SELECT feature, round(a.iv, 6) AS iv_left, round(b.iv, 6) AS iv_right, round(a.iv - b.iv, 6) AS difference FROM iv_a a FULL JOIN iv_b b USING (feature) WHERE a.iv - b.iv IS NULL OR abs(a.iv - b.iv) > 1e-9""")
 def iv_shell_effect(spark, sf_dir):
-    t = prepare.build_track(address_profile(spark, sf_dir), CATALOG)
+    t = prepare.build_track(_kept_profile(spark, sf_dir), CATALOG)
     rest = t.data.where(~prepare.is_shell(_EVENTLESS))
     a, b = (woe.information_values(woe.WoeModel.fit(d, KNOWN, "flag").table) for d in (t.data, rest))
     return woe.iv_difference(a, b)
@@ -768,7 +781,7 @@ def cv_fold_detail(spark, sf_dir):
 def _tracks(spark, sf_dir):
     found = {}
     for track in (prepare.FULL, prepare.NO_LEAK):
-        t = prepare.build_track(address_profile(spark, sf_dir), CATALOG, track, "tok_n")
+        t = prepare.build_track(_kept_profile(spark, sf_dir), CATALOG, track, "tok_n")
         found[track] = (t.data, t.features)
     return found
 

@@ -57,3 +57,14 @@ def test_track_queries(spark, monkeypatch):
     got = registry.queries()["cv_track_difference"](spark, SMALL).collect()
     assert {(r.model, r.metric) for r in got} == {(m, x) for m in models.MODELS for x in ("auc", "ks", "f1", "precision", "recall")}
     assert all(abs(r.difference - (r.left - r.right)) < 1e-4 for r in got)
+
+
+def test_profile_is_joined_once(spark, monkeypatch):
+    """All passes of the evidence of two tracks, and the next query on the same files, read one written profile."""
+    asked, plain = [], registry.address_profile
+    monkeypatch.setattr(registry, "address_profile", lambda *a: asked.append(a) or plain(*a))
+    monkeypatch.setattr(registry, "source_mark", lambda *_: "joined once")
+    for name in ("iv_two_tracks", "iv_shell_effect"):
+        out = registry.queries()[name](spark, SMALL)
+        assert all("orders.parquet" not in f and "events.parquet" not in f for f in out.inputFiles())
+    assert len(asked) == 1
