@@ -32,6 +32,7 @@ whatever they are called; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import Remembered, hash64, named, settled, slices, unused
+from riskloom.llm.common import Remembered, named, settled, slices, unused
 from riskloom.llm.graph import components
 
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -52,25 +53,80 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))) * _M
 
 
+#: Bytes of texts whose words are hashed together.
+TOGETHER = 1 << 19
+_NEXT_BLANK = re.compile(rb"[\x20\x09-\x0D]").search
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, 9, 10, 11, 12, 13]] = True
+#: A random number for each byte, and (as far as words are long) for each place in a word.
+_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * _M)
+_PLACES = _mix((np.arange(1, 4097, dtype=np.uint64) << np.uint64(9)) * _M)
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of lower-cased bytes begin, and a 64-bit hash of each: the sum over its bytes of the byte's number times its place's, mixed."""
+    codes = np.frombuffer(data, np.uint8)
+    inside = np.flatnonzero(~_BLANK[codes])
+    if not len(inside):
+        return inside, np.zeros(0, np.uint64)
+    heads = np.flatnonzero(np.r_[True, inside[1:] != inside[:-1] + 1])
+    starts, lengths = inside[heads], np.diff(np.r_[heads, len(inside)])
+    place, longest = inside - np.repeat(starts, lengths), int(lengths.max())
+    places = _PLACES if longest <= len(_PLACES) else _mix((np.arange(1, longest + 1, dtype=np.uint64) << np.uint64(9)) * _M)
+    sums = np.add.reduceat(_BYTES[codes[inside]] * places[place], heads)
+    return starts, _mix(_mix(sums) + lengths.astype(np.uint64))
+
+
 class Shingler:
     """Sorted, distinct 64-bit hashes of a text's shingles."""
 
     def __init__(self, width: int):
         self.width = width
-        self.words = Remembered(lambda word: hash64(word) & (2**64 - 1), 100_000)
 
     def hashes(self, data: bytes | None) -> np.ndarray:
-        words = (data or b"").lower().split()
-        if len(words) < self.width:
-            return np.array([hash64(b"\n" + b" ".join(words)) & (2**64 - 1)] if words else [], np.uint64)
-        each = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
-        n = len(words) - self.width + 1
-        x = each[:n]
+        return self.all_hashes([data])[0]
+
+    def all_hashes(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """Of many texts: their words are hashed together, some TOGETHER bytes at a time."""
+        found, held, size = [], [], 0
+        for data in texts:
+            if size and size + len(data or b"") > TOGETHER:
+                found += self._hashes(held)
+                held, size = [], 0
+            held.append((data or b"").lower())
+            size += len(held[-1]) + 1
+        return found + self._hashes(held)
+
+    def _hashes(self, texts: list[bytes]) -> list[np.ndarray]:
+        data, at, parts = b"\n".join(texts), 0, []
+        while at < len(data):  # a long text in parts, cut between words
+            cut = _NEXT_BLANK(data, at + TOGETHER)
+            starts, each = word_hashes(data[at : cut.start() if cut else len(data)])
+            parts.append((starts + at, each))
+            at = cut.start() if cut else len(data)
+        starts, each = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        ends = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in texts]))  # words up to the end of each text
+        x = each
         for k in range(1, self.width):
-            x = _mix(x) + each[k : k + n]
-        x = _mix(x)
-        x.sort()
-        return x[np.r_[True, x[1:] != x[:-1]]]
+            x = _mix(x[: max(0, len(each) - k)]) + each[k:]
+        x, found, first = _mix(x), [], 0
+        for end in ends.tolist():
+            if end - first >= self.width:
+                own = np.sort(x[first : end - self.width + 1])
+                found.append(own[np.r_[True, own[1:] != own[:-1]]])
+            elif end > first:
+                found.append(self._few(each[first:end]))
+            else:
+                found.append(np.zeros(0, np.uint64))
+            first = end
+        return found
+
+    def _few(self, words: np.ndarray) -> np.ndarray:
+        """The whole sequence as one shingle, unlike that of any other number of words."""
+        x = np.array([len(words)], np.uint64) * _N
+        for k in range(len(words)):
+            x = _mix(x) + words[k : k + 1]
+        return _mix(x)
 
 
 def set_id(hashes: np.ndarray) -> bytes:
@@ -269,7 +325,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
         for batch in slices(batches):
             own = [batch.column(c) for c in kept]
             kinds = [*(x.type for x in own), pa.int64(), pa.binary()]
-            found = [shingler.hashes(x) for x in batch.column("_text").to_pylist()]
+            found = shingler.all_hashes(batch.column("_text").to_pylist())
             identities = [set_id(x) for x in found]
             nulls = pa.nulls(len(found), pa.int64())
             yield pa.RecordBatch.from_arrays([*own, pa.array([len(x) for x in found], pa.int64()), pa.array(identities, pa.binary()), nulls, nulls], names=names)
@@ -321,8 +377,7 @@ def _signatures(docs: DataFrame, width: int, similarity: Similarity, frequent: t
             return pa.RecordBatch.from_arrays([pa.array(np.r_[k, u]), pa.array(np.r_[n, u]), pa.concat_arrays([pa.nulls(len(k), pa.int64()), pa.array(v)])], names=["key", "node", "center"])
 
         for batch in slices(batches):
-            for data in batch.column("_text").to_pylist():
-                hashes = shingler.hashes(data)
+            for hashes in shingler.all_hashes(batch.column("_text").to_pylist()):
                 identity = set_id(hashes)
                 if len(hashes) and identity not in fresh and fresh[identity]:
                     keys.append(signatures.keys(hashes, times_of(hashes, shared.value)))
@@ -353,7 +408,7 @@ def _members(docs: DataFrame, width: int, similarity: Similarity) -> DataFrame:
     def work(batches):
         shingler, firsts, fresh = Shingler(width), similarity.bounds(), Remembered(lambda identity: True)
         for batch in slices(batches):
-            found = [shingler.hashes(x) for x in batch.column("_text").to_pylist()]
+            found = shingler.all_hashes(batch.column("_text").to_pylist())
             own = []
             for i, (x, y) in enumerate(zip(found, batch.column("_wanted").to_pylist())):
                 if set_id(x) == y and y not in fresh and fresh[y]:

@@ -19,8 +19,6 @@ they are, and so do extra columns, whatever they are called, but for those that
 
 from __future__ import annotations
 
-from array import array
-from collections import defaultdict
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -201,19 +199,21 @@ class Labeller:
         """For chunks of texts, longest texts together: their positions, numbers of words, and per word label, letters and known letters."""
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         while order:
-            at, sizes, k = array("i"), [], 0
-            places: defaultdict = defaultdict()
-            places.default_factory = places.__len__  # distinct words by first occurrence
-            while k < len(order) and len(at) < self.most:
-                before = len(at)
-                at.extend(map(places.__getitem__, texts[order[k]].lower().split()))
-                sizes.append(len(at) - before)
+            held, parts, sizes, n, k = [], [], [], 0, 0
+            while k < len(order) and n < self.most:
+                words = texts[order[k]].lower().split()
+                held += words
+                n += len(words)
+                sizes.append(len(words))
                 k += 1
-            chunk, order = order[:k], order[k:]
-            scores, counts = self.model.words(list(places))
-            places.default_factory = None  # which refers to the dictionary itself: it would stay until the collector runs
-            del places
-            own, lengths = np.frombuffer(at, np.int32) if at else np.zeros(0, np.int32), np.array(sizes)
+                if len(held) >= 20_000:
+                    parts.append(pa.array(held, pa.large_string()))
+                    held = []
+            chunk, order, lengths = order[:k], order[k:], np.array(sizes)
+            parts = pa.chunked_array([*parts, pa.array(held, pa.large_string())]).combine_chunks().dictionary_encode()  # distinct words by first occurrence
+            scores, counts = self.model.words(parts.dictionary.to_pylist())
+            own = parts.indices.to_numpy()
+            del held, parts, words
             yield chunk, lengths, best_paths(scores[own], lengths, self.model.switch_penalty), counts[own]
 
     def languages(self, texts: list[str]) -> list[tuple[str, float, float]]:

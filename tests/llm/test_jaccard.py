@@ -73,6 +73,22 @@ def test_one_key_in_a_third_of_all_sets(spark, copies):
     assert found(df, 3, 90, 100, sets_at_once=40) == brute(rows, 3, 90, 100)
 
 
+def test_words_of_many_texts_are_hashed_together(copies, monkeypatch):
+    """In a few array operations, whatever the number of words; as each text alone, and however texts are cut."""
+    texts = [t.encode() for _, t in copies] + [None, b"", b" \t\n\x0b\x0c\r", b"a", b"A", b"a b c d", b"a b  c\td", b"b a c d", b"x" * 9000 + b" y", "\u00a0é\x1c 日本".encode()]
+    passes, plain = [], jaccard.word_hashes
+    monkeypatch.setattr(jaccard, "word_hashes", lambda data: passes.append(data) or plain(data))
+    whole = jaccard.Shingler(5).all_hashes(texts)
+    assert len(passes) <= 1 + sum(len(t or b"") + 1 for t in texts) // 100_000
+    assert [len(x) for x in whole] == [len({*shingles((t or b"").decode(), 5)}) for t in texts]
+    monkeypatch.setattr(jaccard, "TOGETHER", 300)
+    assert all((a == b).all() and (a == c).all() for a, b, c in zip(whole, jaccard.Shingler(5).all_hashes(texts), map(jaccard.Shingler(5).hashes, texts)))
+    sets = {x.tobytes() for x in whole[-10:]}
+    assert len(sets) == 6 and whole[-7] == whole[-6] and whole[-5] == whole[-4] != whole[-3]
+    words = sorted({w for t in texts for w in (t or b"").split()})
+    assert len(np.unique(plain(b" ".join(words))[1])) == len(words)
+
+
 def test_stars_lose_no_key():
     rng = np.random.default_rng(4)
     keys, nodes = rng.integers(0, 40, 500), rng.integers(0, 60, 500)

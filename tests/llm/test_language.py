@@ -121,3 +121,12 @@ def test_draw_with_repeated_and_missing_identifiers(spark):
         assert [x[0] for x in language.Labeller(model).languages(["hello you", "привет мир"])] == ["en", "ru"]
     one = spark.createDataFrame([(1, "hello world", "en")] * 500 + [(2, "привет мир", "ru")] * 500, "doc_id long, text string, lang string")
     assert [x[0] for x in language.Labeller(language.train(one, docs_per_language=1)).languages(["hello", "мир"])] == ["en", "ru"]
+
+
+def test_words_are_told_apart_by_arrow(model, monkeypatch):
+    """Each distinct word is scored once, in order of first occurrence, however many words a part holds."""
+    asked, plain = [], language.LanguageModel.words
+    monkeypatch.setattr(language.LanguageModel, "words", lambda self, words, *how: asked.append(words) or plain(self, words, *how))
+    texts = ["Der Hund und der Hund", "", "und\x1cdie Katze", "é " * 25_000]
+    found = language.Labeller(model).languages(texts)
+    assert asked == [["é", "der", "hund", "und", "die", "katze"]] and [language.Labeller(model).languages([t])[0] for t in texts] == found
