@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import combinations, product
+from math import factorial
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.ordering import running_totals
 from riskloom.functions.scalars import direction, logit, sigmoid
+from riskloom.operators import grown
 
 
 def linear_margin(coefficients: dict[str, float], intercept: float) -> Column:
@@ -177,3 +181,136 @@ def tree_shap(df: DataFrame, row_id: str, features: list[str], trees: list[Tree]
 
     rows = df.select(F.col(row_id).cast("long").alias(row_id), *(F.col(f"`{f}`").cast("double").alias(f) for f in features))
     return rows.repartition(df.sparkSession.sparkContext.defaultParallelism).mapInArrow(work, f"`{row_id}` long, feature string, value double, phi double")
+
+
+# ---- forests over few cells
+
+#: Cells between all cuts of all features, at most; a table holds a number for each.
+CELLS = 1 << 22
+#: Leaves whose boxes are added to the tables at once.
+LEAVES = 200_000
+
+
+def leaf_boxes(tree: Tree, sizes: list[int]) -> tuple[np.ndarray, ...]:
+    """Of a tree whose thresholds are bin numbers: each leaf's value, first and last bin by feature, and the product of cover shares along its path by feature."""
+    m, n = len(sizes), len(tree.feature)
+    low, high, share = np.zeros((n, m), np.int64), np.tile(np.array(sizes, np.int64) - 1, (n, 1)), np.ones((n, m))
+    at = np.zeros(1, np.int64)
+    while len(at := at[tree.feature[at] >= 0]):
+        f, cut = tree.feature[at], tree.threshold[at].astype(np.int64)
+        for child in (tree.left[at], tree.right[at]):
+            low[child], high[child], share[child] = low[at], high[at], share[at]
+            share[child, f] *= tree.cover[child] / tree.cover[at]
+        high[tree.left[at], f] = cut  # cuts lie inside of the parent's box
+        low[tree.right[at], f] = cut + 1
+        at = np.concatenate([tree.left[at], tree.right[at]])
+    leaf = tree.feature < 0
+    return tree.value[leaf], low[leaf], high[leaf], share[leaf]
+
+
+def known_sets(m: int) -> list[tuple[int, ...]]:
+    return [s for k in range(m + 1) for s in combinations(range(m), k)]
+
+
+def add_boxes(tables: list[np.ndarray], boxes: list[tuple[np.ndarray, ...]]) -> None:
+    """Adds leaves to a table of differences for each set of known features: at the corners of a leaf's box in these features stands its value times the cover shares of the
+    others, with changing signs, so that running sums along all axes give what the trees expect of a row of which just these features are known."""
+    value, low, high, share = (np.concatenate(x) for x in zip(*boxes))
+    m = low.shape[1]
+    for table, known in zip(tables, known_sets(m)):
+        worth = value * np.prod(share[:, [f for f in range(m) if f not in known]], axis=1)
+        for ends in product((0, 1), repeat=len(known)):
+            corner = np.zeros(len(value), np.int64)
+            for f, end, size in zip(known, ends, table.shape):
+                corner = corner * size + (high[:, f] + 1 if end else low[:, f])
+            table += np.bincount(corner, -worth if sum(ends) % 2 else worth, table.size).reshape(table.shape)
+
+
+def expectations(tables: list[np.ndarray]) -> list[np.ndarray]:
+    """The running sums of these tables."""
+    for k, table in enumerate(tables):
+        for axis in range(table.ndim):
+            table = np.cumsum(table, axis=axis)
+        tables[k] = table[tuple(slice(0, -1) for _ in range(table.ndim))].ravel()
+    return tables
+
+
+def shapley_of_bins(expected: list[np.ndarray], sizes: list[int], bins: np.ndarray) -> np.ndarray:
+    """Shapley values of rows given by their bins: what each set of known features makes the trees expect, weighted as the definition says."""
+    m = len(sizes)
+    out = np.zeros((len(bins), m))
+    weight = [factorial(a) * factorial(m - a - 1) / factorial(m) for a in range(m)]
+    for table, known in zip(expected, known_sets(m)):
+        at = np.zeros(len(bins), np.int64)
+        for f in known:
+            at = at * sizes[f] + bins[:, f]
+        worth = table[at]
+        for g in range(m):
+            out[:, g] += worth * weight[len(known) - 1] if g in known else -worth * weight[len(known)]
+    return out
+
+
+def tree_means(tree: Tree, x: np.ndarray) -> np.ndarray:
+    """The value of each row's leaf."""
+    node, at = np.zeros(len(x), np.int64), np.arange(len(x))
+    while len(at := at[tree.feature[node[at]] >= 0]):
+        here = node[at]
+        node[at] = np.where(x[at, tree.feature[here]] <= tree.threshold[here], tree.left[here], tree.right[here])
+    return tree.value[node]
+
+
+def forest_rows(df: DataFrame, row_id: str, features: list[str], label: str, trees: int = 300, depth: int = 30, seed: int = 42) -> DataFrame:
+    """row_id, feature, value, phi, p, gap of every row: a random forest (Gini, at least two rows a leaf, the root of the number of features asked a node, rows drawn with
+    replacement) and its attributions on the scale of probabilities; gap is how far base and sum lie from p, the mean of the row's leaves.
+
+    Bins are at most 32 a feature, so rows meet in cells, and rows of a cell and label differ in nothing that a tree could ask: they are counted once, and how often they are
+    drawn is one Poisson number. A tree is grown from these counts by one task, and its leaves' boxes are added up in tables over the bins. Neither trees nor rows pass through
+    the driver; it gets the counts and the tables, whose size the rows play no part in. Attributions are then looked up in one pass over the rows.
+    """
+    spark, m = df.sparkSession, len(features)
+    context = spark.sparkContext
+    cuts = grown.split_points(df.withColumn("fold", F.lit(1)), features, 2)[0]  # no row is of fold 0
+    sizes = [len(c) + 1 for c in cuts]
+    if np.prod([s + 1.0 for s in sizes]) > CELLS:
+        raise ValueError(f"{features} have too many cells for tables; use tree_shap")
+    bins, n, pos = grown.counted_cells(df, features, label, cuts)
+    cells = context.broadcast((bins, n, pos))
+
+    def explained(numbers: Iterator[int]) -> Iterator[list[np.ndarray]]:
+        bins, n, pos = cells.value
+        both, y = np.concatenate([bins, bins]), np.repeat([0, 1], len(bins))
+        tables, p, held, size = [np.zeros([sizes[f] + 1 for f in known]) for known in known_sets(m)], np.zeros(len(bins)), [], 0
+        for t in numbers:
+            w = np.random.default_rng([seed, t]).poisson(np.concatenate([n - pos, pos]))
+            met = np.flatnonzero(w)
+            feature, cut, left, right, share, cover = grown.whole_tree(both[met], y[met], w[met], t, seed, depth)
+            tree = Tree(feature, cut, left, right, share / trees, cover)
+            p += tree_means(tree, bins)
+            held.append(leaf_boxes(tree, sizes))
+            size += len(held[-1][0])
+            if size >= LEAVES:
+                add_boxes(tables, held)
+                held, size = [], 0
+        if held:
+            add_boxes(tables, held)
+        yield [*tables, p]
+
+    tasks = max(1, min(trees, context.defaultParallelism))
+    *tables, p = context.parallelize(range(trees), tasks).mapPartitions(explained).treeReduce(lambda a, b: [x + y for x, y in zip(a, b)])
+    order = np.ravel_multi_index(tuple(bins.T.astype(np.int64)), sizes) if len(bins) else np.zeros(0, np.int64)
+    shared = context.broadcast((cuts, expectations(tables), order, p))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts, expected, order, p = shared.value
+        for batch in batches:
+            cell = grown.cells_of(batch, cuts)
+            met, of_row = np.unique(cell, return_inverse=True)
+            own = shapley_of_bins(expected, sizes, np.stack(np.unravel_index(met, sizes), axis=1))
+            score = p[np.searchsorted(order, met)]
+            gap = np.abs(float(expected[0][0]) + own.sum(axis=1) - score)
+            ids = batch.column(row_id).take(pa.array(np.repeat(np.arange(batch.num_rows), m)))
+            x = np.stack([np.asarray(batch.column(f"_x{j}").to_numpy(zero_copy_only=False), float) for j in range(m)], axis=1)
+            columns = [ids, pa.array(features * batch.num_rows, pa.string()), pa.array(x.ravel()), pa.array(own[of_row].ravel()), pa.array(np.repeat(score[of_row], m)), pa.array(np.repeat(gap[of_row], m))]
+            yield pa.RecordBatch.from_arrays(columns, names=[row_id, "feature", "value", "phi", "p", "gap"])
+
+    return grown.binned_input(df, features, [F.col(f"`{row_id}`").cast("long").alias(row_id)]).mapInArrow(work, f"`{row_id}` long, feature string, value double, phi double, p double, gap double")
